@@ -21,7 +21,6 @@ from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keydrift.functions import paths
 from keydrift.functions.languages import LANGUAGES, Language
 from keydrift.functions.text import (
     first_string,
@@ -216,17 +215,6 @@ def first_per_line(usages: Column) -> Column:
     return let(ranked, keep)
 
 
-def code_files(source_files: DataFrame) -> DataFrame:
-    """Files of a known language outside the directories never scanned, with their language."""
-    path = F.col("path")
-    return source_files.filter(~paths.in_pruned_dir(path)).transform(with_language)
-
-
-def with_language(source_files: DataFrame) -> DataFrame:
-    out = source_files.withColumn("language", paths.detect_language(F.col("path")))
-    return out.filter(F.col("language") != paths.UNKNOWN)
-
-
 @lru_cache(maxsize=32)
 def _usages_of_file(gateway: object, languages: Sequence[Language], dedup: bool) -> tuple[Column, Column]:
     """The file test and the usages array, built once per JVM: they depend on the rules only."""
