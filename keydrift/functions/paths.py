@@ -63,7 +63,7 @@ def directories(path: Column) -> Column:
 def ancestors(path: Column) -> Column:
     """Every leading path of a file, itself included: a, a/b, a/b/c.js."""
     depth = F.size(F.split(path, "/"))
-    return F.transform(F.sequence(F.lit(1), depth), lambda n: F.substring_index(path, "/", n))
+    return F.transform(F.sequence(F.lit(1), depth), lambda n: F.call_function("substring_index", path, F.lit("/"), n))
 
 
 def detect_language(path: Column) -> Column:

@@ -27,12 +27,20 @@ EXPORTED_VALUE = "[from environment]"
 LINE_LIMIT = 65536
 
 EXPLICIT, DETECTED = 0, 1
+# Partition column of a stored corpus: 'config' or 'code'.
+AREA = "area"
 ORDER = ["load_tier", "load_pos", "path", "seq"]
 
 
 # ---------------------------------------------------------------- which files
 
 
+def is_config(path: Column, extra: Sequence[str] = ()) -> Column:
+    """Whether a file may define variables: named, or detected in the scan root."""
+    detected = ~path.contains("/") & ((paths.detect_file_type(path) != "env") | path.startswith(".env"))
+    return detected | path.isin(*DEFAULT_ENV_FILES, *map(posixpath.normpath, extra))
+
+
 def select_env_files(source_files: DataFrame, extra: Sequence[str] = (), auto_detect: bool = True) -> DataFrame:
     """Files that define variables, with their load order.
 
@@ -43,17 +51,18 @@ def select_env_files(source_files: DataFrame, extra: Sequence[str] = (), auto_de
     """
     named = {posixpath.normpath(p): pos for pos, p in enumerate([*DEFAULT_ENV_FILES, *extra])}
     path = F.col("path")
-    load_pos = F.lit(None).cast("int")
+    load_pos = F
     for name, pos in named.items():
-        load_pos = F.when(path == name, F.lit(pos)).otherwise(load_pos)
-    at_root = ~path.contains("/")
-    detected = at_root & ((F.col("file_type") != "env") | path.startswith(".env")) & ~path.isin(*DEFAULT_ENV_FILES)
+        load_pos = load_pos.when(path == name, F.lit(pos))
     explicit = path.isin(*named)
+    kept = source_files.filter(is_config(path, extra) if auto_detect else explicit)
+    if AREA in source_files.columns:
+        # the layout of ``write_corpus``: leave the code partition unread
+        kept = kept.filter(F.col(AREA) == "config").drop(AREA)
     return (
-        source_files.withColumn("file_type", paths.detect_file_type(path))
-        .filter(explicit | detected if auto_detect else explicit)
+        kept.withColumn("file_type", paths.detect_file_type(path))
         .withColumn("load_tier", F.when(explicit, F.lit(EXPLICIT)).otherwise(F.lit(DETECTED)))
-        .withColumn("load_pos", F.coalesce(load_pos, F.lit(0)))
+        .withColumn("load_pos", load_pos.otherwise(F.lit(0)))
     )
 
 
@@ -195,23 +204,18 @@ def parse_k8s_secret(leaves: Column) -> Column:
     return _k8s_entries(leaves, "Secret", decode_base64)
 
 
-def parse_compose(content: Column) -> Column:
-    return let(yaml.leaves(content), lambda lv: F.concat(parse_compose_map(lv), parse_compose_list(lv)))
+YAML_TYPES = ("docker-compose", "k8s")
 
 
-def parse_k8s(content: Column) -> Column:
-    return let(yaml.leaves(content), lambda lv: F.concat(parse_k8s_configmap(lv), parse_k8s_secret(lv)))
+def parse_yaml(file_type: Column) -> Column:
+    """Entries of a Compose or Kubernetes file; its leaves are listed once."""
 
+    def entries(leaves: Column) -> Column:
+        compose = F.concat(parse_compose_map(leaves), parse_compose_list(leaves))
+        k8s = F.concat(parse_k8s_configmap(leaves), parse_k8s_secret(leaves))
+        return F.when(file_type == "docker-compose", compose).otherwise(k8s)
 
-PARSERS = {
-    "env": parse_dotenv,
-    "envrc": parse_envrc,
-    "shell": parse_shell,
-    "systemd": parse_systemd,
-    "docker-compose": parse_compose,
-    "k8s": parse_k8s,
-}
-YAML_TYPES = ("docker-compose", "k8s")
+    return let(yaml.leaves(), entries)
 
 
 def parse_with(env_files: DataFrame, entries: Column) -> DataFrame:
@@ -221,16 +225,19 @@ def parse_with(env_files: DataFrame, entries: Column) -> DataFrame:
 
 def parse_block_yaml(files: DataFrame) -> DataFrame:
     """repo_id, path and one row per YAML leaf."""
-    return files.select("repo_id", "path", F.inline(yaml.leaves(F.col("content"))))
+    return files.select("repo_id", "path", F.inline(yaml.leaves()))
 
 
 @lru_cache(maxsize=8)
 def _entries_of_file(gateway: object) -> Column:
     """CASE over the file types, built once per JVM."""
-    out = F
-    for file_type, parser in PARSERS.items():
-        out = out.when(F.col("file_type") == file_type, parser(F.col("content")))
-    return out
+    file_type, content = F.col("file_type"), F.col("content")
+    return (
+        F.when(file_type.isin(*YAML_TYPES), parse_yaml(file_type))
+        .when(file_type.isin("envrc", "shell"), parse_exports(content))
+        .when(file_type == "systemd", parse_systemd(content))
+        .otherwise(parse_dotenv(content))
+    )
 
 
 def parse_definitions(env_files: DataFrame) -> DataFrame:

@@ -1,182 +1,157 @@
-"""Block YAML as Column expressions: content -> array of (path, value, quoted) leaves.
-
-Config files use a small part of YAML: nested mappings, lists of scalars, plain
-and quoted scalars, block scalars and one level of flow style. ``children`` cuts
-a block at the lines of its own indent, which is linear in the text; applying it
-four levels deep lists every leaf the configuration formats need. Aliases and
-merge keys are not resolved: such an entry yields no leaf.
+"""Block YAML as one SQL expression: content -> array of (yaml_path, value, quoted) leaves.
+
+Config files use a small part of YAML: nested mappings, lists, plain and quoted
+scalars, block scalars and one level of flow style. The text is cut into logical
+lines (a block or quoted scalar is one of them), each line becomes a node with
+its indent, and a fold over the nodes with the stack of open parents yields the
+path of every leaf. Aliases and merge keys are not resolved: such an entry
+yields no leaf. The expression is SQL text, because thousands of single Column
+calls would cost more than the query.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from keydrift.functions.text import let, trim_space
+from keydrift.functions.text import WHITE_SPACE
 
 ITEM = "-"
-DEPTH = 4
-
-_DOUBLE = r'"((?:[^"\\]++|\\(?s:.))*+)"'
-_SINGLE = r"'((?:[^']++|'')*+)'"
-_KEY = rf"""^[ ]*(?:{_DOUBLE}|{_SINGLE}|([^\s"'#\[\]{{}},&*!|>@%`][^\n]*?))[ \t]*:(?=\s|$)"""
-_FLOW_ITEM = r"""(?:"(?:[^"\\]++|\\(?s:.))*+"|'[^']*+'|[^,"'{}\[\]]++)++"""
-
-NODE = "struct<key:string,value:string,quoted:boolean,body:string>"
 LEAVES = "array<struct<yaml_path:array<string>,value:string,quoted:boolean>>"
 
+_DOUBLE = r'"(?:[^"\\]++|\\(?s:.))*+"'
+_SINGLE = r"'(?:[^']++|'')*+'"
+_PLAIN_KEY = r"""[^\s"'#\[\]{},&*!|>@%`-](?:[^\n:#]|:(?!\s|$)|(?<!\s)#)*+|-(?!\s|$)(?:[^\n:#]|:(?!\s|$)|(?<!\s)#)*+"""
+_KEY = rf"(?:{_DOUBLE}|{_SINGLE}|{_PLAIN_KEY})"
+_START = rf"(?:- +)*+(?:{_KEY}[ \t]*:[ \t]+)?+(?:&\S+[ \t]+)?+"
+# A logical line: one with a block scalar and its deeper lines, one whose quoted
+# or flow value may span lines, or any other line.
+_ENTRY = (
+    rf"(?m)^( *){_START}[|>][-+0-9]*[ \t]*(?:#[^\n]*)?$(?:\n(?:\1 [^\n]*|[ \t]*$))*+"
+    rf"|^ *{_START}(?:{_DOUBLE}|{_SINGLE}|[\[{{](?:{_DOUBLE}|{_SINGLE}|[^\]}}\"'])*+[\]}}])[^\n]*+"
+    r"|^[^\n]+"
+)
+_FLOW_ITEM = rf"""(?:{_DOUBLE}|{_SINGLE}|[^,"'{{}}\[\]]++)++"""
+_ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "/": "/", '"': '"'}
+_FIRST_DOCUMENT = r"^﻿?(?:(?:[ \t]*(?:#[^\n]*)?|%[^\n]*)\n)*---[ \t]*(?=\n|$)"
 
-def first_document(content: Column) -> Column:
-    """Only the first document of a stream counts."""
-    text = F.regexp_replace(F.translate(content, "\r", ""), r"^﻿?(?:(?:[ \t]*(?:#[^\n]*)?|%[^\n]*)\n)*---[ \t]*(?=\n|$)", "")
-    return F.regexp_replace(text, r"(?s)\n(?:---|\.\.\.)(?=\s|$).*", "")
 
+def q(text: str) -> str:
+    """SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-def _significant(text: Column) -> Column:
-    return text.rlike(r"(?m)^[ \t]*[^\s#]")
 
+def _let(name: str, value: str, body: str) -> str:
+    return f"transform(array({value}), {name} -> {body})[0]"
 
-def _unescape_double(s: Column) -> Column:
-    folded = F.regexp_replace(s, r"\\\n[ \t]*", "")
-    folded = F.regexp_replace(folded, r"[ \t]*\n[ \t]*", " ")
-    for escape, char in (("n", "\n"), ("t", "\t"), ("r", "\r"), ("0", "\0"), ("/", "/"), ('"', '"')):
-        # an escape counts only after an even number of backslashes
-        folded = F.regexp_replace(folded, rf"(?<!\\)((?:\\\\)*+)\\{escape}", f"$1{char}")
-    return F.replace(folded, F.lit("\\\\"), F.lit("\\"))
 
+def _trim(s: str) -> str:
+    return f"trim(BOTH {q(WHITE_SPACE)} FROM {s})"
 
-def _block_scalar(header: Column, body: Column) -> Column:
-    """``|`` keeps lines, ``>`` joins them; ``-`` and ``+`` set what happens to the last newlines."""
-    indent = F.regexp_extract(body, r"(?m)^( *)\S", 1)
-    lines = F.transform(
-        F.split(body, "\n"),
-        lambda line: F.when(line.startswith(indent), F.substring(line, F.length(indent) + 1, F.length(line))).otherwise(
-            F.lit("")
-        ),
-    )
 
-    def finish(text: Column) -> Column:
-        bare = F.regexp_replace(text, r"\n+$", "")
-        folded = F.regexp_replace(bare, r"(?<![\n])\n(?![\n \t])", " ")
-        folded = F.regexp_replace(folded, r"(?<=\S)\n\n", "\n")
-        kept = F.when(header.startswith(">"), folded).otherwise(bare)
-        return (
-            F.when(header.contains("-"), kept)
-            .when(header.contains("+"), F.concat(kept, F.regexp_extract(text, r"(\n*)$", 1)))
-            .otherwise(F.when(kept == "", kept).otherwise(F.concat(kept, F.lit("\n"))))
-        )
-
-    return let(F.array_join(lines, "\n"), finish)
-
-
-def _node(key: Column, after: Column, nested: Column) -> Column:
-    """A node from the text after its ``key:`` or ``-``; ``nested`` is its block body, if any."""
-
-    def build(rest: Column) -> Column:
-        first_line = F.substring_index(rest, "\n", 1)
-        header = F.regexp_replace(trim_space(first_line), r"^&\S+\s*|(?:^|\s+)#.*$", "")
-        single = F.regexp_extract(rest, rf"^\s*{_SINGLE}", 1)
-        double = F.regexp_extract(rest, rf"^\s*{_DOUBLE}", 1)
-        text = trim_space(rest)
-        plain = F.regexp_replace(F.regexp_replace(text, r"(?m)(?:^|[ \t]+)#.*$", ""), r"[ \t]*\n\s*", " ")
-
-        def node(value: Column, quoted: Column, body: Column) -> Column:
-            return F.struct(
-                key.alias("key"), value.cast("string").alias("value"), quoted.alias("quoted"), body.alias("body")
-            )
-
-        no, yes, null = F.lit(False), F.lit(True), F.lit(None).cast("string")
-        return (
-            F.when((header == "") & _significant(nested), node(null, no, nested))
-            .when(header.rlike(r"^[|>][-+0-9]*$"), node(_block_scalar(header, nested), yes, null))
-            .when(header.rlike(r"^[\[{]"), node(null, no, text))
-            .when(header.startswith('"'), node(_unescape_double(double), yes, null))
-            .when(header.startswith("'"), node(F.replace(single, F.lit("''"), F.lit("'")), yes, null))
-            .when(header == "", node(F.lit("null"), no, null))
-            .otherwise(node(trim_space(plain), no, null))
-        )
+def _unquote(s: str) -> str:
+    """Text of a quoted scalar, or ``s`` itself."""
+    inner = f"substring({s}, 2, length({s}) - 2)"
+    double = f"regexp_replace(regexp_replace({inner}, {q(chr(92) * 2 + r'\n[ \t]*')}, ''), {q(r'[ \t]*\n[ \t]*')}, ' ')"
+    for escape, char in _ESCAPES.items():
+        # an escape counts only after an even number of backslashes
+        double = f"regexp_replace({double}, {q(rf'(?<!\\)((?:\\\\)*+)\\{escape}')}, concat('$1', {q(char)}))"
+    double = f"replace({double}, {q(chr(92) * 2)}, {q(chr(92))})"
+    single = f"""replace({inner}, "''", "'")"""
+    return f"""CASE WHEN {s} LIKE '"%' THEN {double} WHEN {s} LIKE "'%" THEN {single} ELSE {s} END"""
 
-    return let(after, build)
-
-
-def _key_of(piece: Column) -> Column:
-    plain, double, single = (F.regexp_extract(piece, _KEY, n) for n in (3, 1, 2))
-    quoted = F.when(piece.rlike(r'^\s*"'), _unescape_double(double)).otherwise(F.replace(single, F.lit("''"), F.lit("'")))
-    # no key at all: the text is not a mapping, which makes the file invalid
-    return F.when(piece.rlike(_KEY), F.when(plain != "", plain).otherwise(quoted))
-
-
-def children(text: Column) -> Column:
-    """Direct children of a block, in order, as ``NODE`` structs."""
-
-    def block(t: Column) -> Column:
-        indent = F.regexp_extract(t, r"(?m)^( *)[^\s#]", 1)
-        listed = t.rlike(r"\A(?:[ \t]*(?:#[^\n]*)?\n)*[ ]*-(?:\s|$)")
-
-        def mapping(piece: Column) -> Column:
-            after = F.regexp_replace(piece, _KEY, "")
-            nested = F.when(after.contains("\n"), F.regexp_replace(after, r"^[^\n]*+\n", "")).otherwise(F.lit(""))
-            return _node(_key_of(piece), after, nested)
-
-        def item(piece: Column) -> Column:
-            # the dash becomes a space: what follows keeps its column
-            inner = F.concat(indent, F.lit(" "), piece)
-            is_map = piece.rlike(_KEY) & ~piece.rlike(r"^\s*[\[{]")
-            nested = F.struct(
-                F.lit(ITEM).alias("key"),
-                F.lit(None).cast("string").alias("value"),
-                F.lit(False).alias("quoted"),
-                inner.alias("body"),
-            )
-            below = F.when(piece.contains("\n"), F.regexp_replace(piece, r"^[^\n]*+\n", "")).otherwise(F.lit(""))
-            return F.when(is_map, nested).otherwise(_node(F.lit(ITEM), piece, below))
-
-        def cut(at: Column, each) -> Column:
-            pieces = F.split(F.concat(F.lit("\n"), t), F.concat(F.lit(r"\n"), indent, at))
-            return F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), each)
-
-        return F.when(listed, cut(F.lit(r"-(?=\s|$)"), item)).otherwise(cut(F.lit(r"(?=[^\s#-]|-\S)"), mapping))
-
-    def flow(t: Column) -> Column:
-        inner = F.regexp_replace(trim_space(t), r"^[\[{]|[\]}](?:\s*#[^\n]*)?$", "")
-        items = F.filter(F.regexp_extract_all(inner, F.lit(_FLOW_ITEM), F.lit(0)), lambda s: trim_space(s) != "")
-        none = F.lit("")
-        as_map = F.transform(items, lambda s: _node(_key_of(trim_space(s)), F.regexp_replace(trim_space(s), _KEY, ""), none))
-        as_list = F.transform(items, lambda s: _node(F.lit(ITEM), trim_space(s), none))
-        return F.when(trim_space(t).startswith("{"), as_map).otherwise(as_list)
-
-    return let(text, lambda t: F.when(t.rlike(r"^\s*[\[{]"), flow(t)).otherwise(block(t)))
-
-
-def leaves(content: Column) -> Column:
-    """All leaves up to ``DEPTH`` levels, or none when the file is not valid YAML."""
-    invalid = F.array(F.struct(F.array(F.lit(None).cast("string")).alias("yaml_path"), F.lit("").alias("value"), F.lit(False).alias("quoted")))
-
-    def walk(text: Column, prefix: list[Column], depth: int) -> Column:
-        def visit(node: Column) -> Column:
-            path = [*prefix, node["key"]]
-            leaf = F.array(F.struct(F.array(*path).alias("yaml_path"), node["value"].alias("value"), node["quoted"].alias("quoted")))
-            if depth == 1:
-                return leaf
-            return F.when(node["body"].isNull(), leaf).otherwise(walk(node["body"], path, depth - 1))
-
-        def listing(nodes: Column) -> Column:
-            keys = F.filter(F.transform(nodes, lambda n: n["key"]), lambda k: k.isNull() | (k != ITEM))
-            broken = F.exists(keys, lambda k: k.isNull()) | (F.size(F.array_distinct(keys)) < F.size(keys))
-            return F.when(F.coalesce(broken, F.lit(True)), invalid).otherwise(F.flatten(F.transform(nodes, visit)))
-
-        return let(children(text), listing)
-
-    def checked(all_: Column) -> Column:
-        bad = F.exists(all_, lambda leaf: F.exists(leaf["yaml_path"], lambda k: k.isNull()))
-        unresolved = lambda leaf: F.array_contains(leaf["yaml_path"], "<<") | (
-            ~leaf["quoted"] & F.coalesce(leaf["value"].startswith("*"), F.lit(False))
-        )
-        return F.when(bad, F.array().cast(LEAVES)).otherwise(F.filter(all_, lambda leaf: ~unresolved(leaf)))
 
-    has_text = _significant(content)
-    found = let(walk(first_document(content), [], DEPTH), checked)
-    return F.when(has_text, found).otherwise(F.array().cast(LEAVES))
+def _block_scalar(header: str, body: str) -> str:
+    """``|`` keeps lines, ``>`` joins them; ``-`` and ``+`` set what happens to the last newlines."""
+    indent = f"regexp_extract({body}, {q(r'(?m)^( *)\S')}, 1)"
+    dedent = f"regexp_replace({body}, concat('(?m)^(?:', {indent}, '|[ \\\\t]+$)'), '')"
+    bare = f"regexp_replace(text, {q(r'\n+$')}, '')"
+    folded = f"regexp_replace(regexp_replace({bare}, {q(r'(?<!\n)\n(?![\n \t])')}, ' '), {q(r'(?<=\S)\n\n')}, {q(chr(10))})"
+    kept = f"CASE WHEN {header} LIKE '>%' THEN {folded} ELSE {bare} END"
+    finish = f"""CASE WHEN {header} LIKE '%-%' OR {bare} = '' THEN {kept}
+        WHEN {header} LIKE '%+%' THEN concat({kept}, regexp_extract(text, {q(r'(\n*)$')}, 1))
+        ELSE concat({kept}, {q(chr(10))}) END"""
+    return _let("text", dedent, finish)
+
+
+def _scalar(rest: str) -> str:
+    """struct<value, quoted, flow> of what follows ``key:`` or ``-``; all NULL when nothing does."""
+    line = f"substring_index({rest}, {q(chr(10))}, 1)"
+    header = f"regexp_replace({_trim(line)}, {q(r'^&\S+\s*|(?:^|\s+)#.*$')}, '')"
+    below = f"substring({rest}, length({line}) + 2)"
+    quoted = f"regexp_extract({rest}, {q(rf'^\s*(?:&\S+\s+)?({_DOUBLE}|{_SINGLE})')}, 1)"
+    flow = f"regexp_extract({rest}, {q(r'^\s*(?:&\S+\s+)?([\[{](?s:.*)[\]}])')}, 1)"
+    node = "named_struct('value', {}, 'quoted', {}, 'flow', {})".format
+    return _let("header", header, f"""CASE
+        WHEN header = '' THEN {node("CAST(NULL AS string)", "false", "CAST(NULL AS string)")}
+        WHEN header RLIKE {q(r'^[|>][-+0-9]*$')} THEN {node(_block_scalar("header", below), "true", "NULL")}
+        WHEN header RLIKE {q(r'^[\[{]')} THEN {node("NULL", "false", flow)}
+        WHEN header RLIKE {q(r"""^["']""")} THEN {node(_let("s", quoted, _unquote("s")), "true", "NULL")}
+        ELSE {node("header", "false", "NULL")} END""")
+
+
+def _node(entry: str) -> str:
+    """struct<ind, key, value, quoted, flow> of a logical line; NULL key when it is no node."""
+    spaces = f"length(regexp_extract({entry}, '^( *)', 1))"
+    is_item = f"{entry} RLIKE {q(r'^ *-(?:\s|$)')}"
+    key = f"regexp_extract({entry}, {q(rf'^ *({_KEY})[ \t]*:(?=\s|$)')}, 1)"
+    rest = f"regexp_replace({entry}, {q(rf'^ *(?:-(?=\s|$)|{_KEY}[ \t]*:(?=\s|$))')}, '')"
+    body = _let("k", f"CASE WHEN {is_item} THEN '-' ELSE trim({key}) END", _let("sc", _scalar(rest), f"""
+        named_struct('ind', 2 * {spaces} + CAST({is_item} AS int),
+                     'key', CASE WHEN k <> '' THEN {_unquote("k")} END,
+                     'value', sc.value, 'quoted', sc.quoted, 'flow', sc.flow)"""))
+    return body
+
+
+@lru_cache(maxsize=1)
+def _leaves_sql() -> str:
+    doc = f"""regexp_replace(regexp_replace(translate(content, '\\r', ''), {q(_FIRST_DOCUMENT)}, ''),
+                             {q(r'(?s)\n(?:---|\.\.\.)(?=\s|$).*')}, '')"""
+    entries = f"""filter(regexp_extract_all({doc}, {q(_ENTRY)}, 0), e -> e RLIKE {q(r'^[ \t]*[^\s#]')})"""
+    # '- key: value' is an item holding a mapping: the dash gets a line of its own
+    split_items = f"""flatten(transform({entries}, e ->
+        CASE WHEN e RLIKE {q(rf'^ *- +{_KEY}[ \t]*:(?=\s|$)')}
+             THEN array(regexp_extract(e, '^ *-', 0), regexp_replace(e, '^( *)-', '$1 ')) ELSE array(e) END))"""
+    nodes = f"transform({split_items}, e -> {_node('e')})"
+    # a key with nothing after it and nothing below it is null
+    filled = """transform(nodes, (x, i) -> named_struct(
+        'ind', x.ind, 'key', x.key, 'quoted', x.quoted, 'flow', x.flow,
+        'parent', x.value IS NULL AND x.flow IS NULL AND coalesce(get(nodes, i + 1).ind > x.ind, false),
+        'value', CASE WHEN x.value IS NULL AND x.flow IS NULL THEN 'null' ELSE x.value END))"""
+    state = "CAST(array() AS array<struct<ind:int,key:string>>)"
+    found = "array<struct<yaml_path:array<string>,value:string,quoted:boolean,flow:string,parent:boolean>>"
+    open_parents = "concat(filter(acc.stack, p -> p.ind < x.ind), array(named_struct('ind', x.ind, 'key', x.key)))"
+    step = _let("st", open_parents, """named_struct('stack', st, 'found', concat(acc.found, array(named_struct(
+        'yaml_path', transform(st, p -> p.key), 'value', x.value, 'quoted', x.quoted, 'flow', x.flow,
+        'parent', x.parent))))""")
+    folded = f"""aggregate({_let("nodes", nodes, filled)},
+        named_struct('stack', {state}, 'found', CAST(array() AS {found})), (acc, x) -> {step}, acc -> acc.found)"""
+    items = f"filter(regexp_extract_all(substring(n.flow, 2, length(n.flow) - 2), {q(_FLOW_ITEM)}, 0), s -> {_trim('s')} <> '')"
+    flow_leaf = f"""transform({items}, s -> {_let("t", f"CASE WHEN n.flow LIKE '[%' THEN concat('- ', {_trim('s')}) ELSE {_trim('s')} END",
+        _let("y", _node("t"), "named_struct('yaml_path', concat(n.yaml_path, array(y.key)), 'value', coalesce(y.value, 'null'), 'quoted', y.quoted)"))})"""
+    plain_leaf = "array(named_struct('yaml_path', n.yaml_path, 'value', n.value, 'quoted', n.quoted))"
+    leaves = f"""flatten(transform(filter(ns, n -> NOT n.parent), n ->
+        CASE WHEN n.flow IS NOT NULL THEN {flow_leaf} ELSE {plain_leaf} END))"""
+    usable = """filter(all, l -> NOT array_contains(l.yaml_path, '<<') AND (l.quoted OR NOT l.value LIKE '*%'))"""
+    named = "filter(transform(ns, n -> array_join(n.yaml_path, '\\0', '\\0')), p -> NOT p RLIKE '(?:^|\\\\x00)-(?:\\\\x00|$)')"
+    # a line that is no node, or a key twice in one mapping, makes the file invalid
+    valid = f"""NOT exists(ns, n -> exists(n.yaml_path, k -> k IS NULL))
+        AND {_let("ps", named, "size(array_distinct(ps)) = size(ps)")}"""
+    none = f"CAST(array() AS {LEAVES})"
+    return _let("ns", folded, f"CASE WHEN {valid} THEN {_let('all', leaves, usable)} ELSE {none} END")
+
+
+@lru_cache(maxsize=2)
+def _leaves(gateway: object) -> Column:
+    return F.expr(_leaves_sql())
+
+
+def leaves() -> Column:
+    """All leaves of the ``content`` column in document order; none when it is not valid YAML."""
+    return _leaves(SparkContext._gateway)
 
 
 # ------------------------------------------------------------- plain scalars

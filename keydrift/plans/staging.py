@@ -21,13 +21,16 @@ def staging_dir(spark: SparkSession) -> str:
     return _own_dir[0]
 
 
+def staging_path(spark: SparkSession, name: str) -> str:
+    return f"{staging_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and read it back.
 
     The written table cuts the lineage, survives the loss of executors and is
     columnar, so later passes read only the columns they use.
     """
-    spark = df.sparkSession
-    path = f"{staging_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = staging_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from keydrift.functions.text import let
 from keydrift.operators import yaml
+from keydrift.operators.definitions import AREA
 
 RULES_FILE = ".envdrift.config"
 _KINDS = {"missing": "missing", "folders": "folder"}
@@ -39,7 +40,9 @@ def read_ignore_rules(source_files: DataFrame, rules_file: str = RULES_FILE) ->
         return F.when(F.exists(leaves, misplaced), F.array().cast("array<struct<kind:string,pattern:string>>")).otherwise(both)
 
     files = source_files.filter(F.col("path") == rules_file)
-    return files.select("repo_id", F.inline(let(yaml.leaves(F.col("content")), rules)))
+    if AREA in source_files.columns and rules_file.startswith(".env"):
+        files = files.filter(F.col(AREA) == "config")
+    return files.select("repo_id", F.inline(let(yaml.leaves(), rules)))
 
 
 def exported_names(exported: DataFrame) -> DataFrame:

@@ -9,13 +9,14 @@ each call is a small helper that lists one directory or reads one file.
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keydrift.functions import paths
+from keydrift.operators.definitions import AREA, is_config
 
 BATCH_BYTES = 64 << 20
 _LISTED = "repo_id string, root string, path string, is_dir boolean"
@@ -95,20 +96,17 @@ def read_contents(listed: DataFrame) -> DataFrame:
     return spread.mapInPandas(_read, "repo_id string, path string, content string")
 
 
-def wanted(listed: DataFrame, extra_env_files: tuple[str, ...] = ()) -> DataFrame:
-    """Only files a scan reads: code, root-level config, and extra env files."""
-    path = F.col("path")
-    code = paths.detect_language(path) != paths.UNKNOWN
-    config = ~path.contains("/") & ((paths.detect_file_type(path) != "env") | path.startswith(".env") | (path == "env.example"))
-    return listed.filter(code | config | path.isin(*extra_env_files))
+def wanted(listed: DataFrame, extra_env_files: Sequence[str] = ()) -> DataFrame:
+    """Only files a scan reads: code, config of the scan root, and extra env files."""
+    code = paths.detect_language(F.col("path")) != paths.UNKNOWN
+    return listed.filter(code | is_config(F.col("path"), extra_env_files))
 
 
-def write_corpus(source_files: DataFrame, path: str) -> None:
+def write_corpus(source_files: DataFrame, path: str, extra_env_files: Sequence[str] = ()) -> None:
     """Store ``source_files`` as Parquet, code and config apart.
 
-    ``is_config`` is a partition column, so reading definitions never touches
+    ``area`` is a partition column, so reading definitions never touches
     the code, which is nearly all of the bytes.
     """
-    p = F.col("path")
-    config = ~p.contains("/") & ((paths.detect_file_type(p) != "env") | p.startswith(".env") | (p == "env.example"))
-    source_files.withColumn("is_config", config).write.mode("overwrite").partitionBy("is_config").parquet(path)
+    area = F.when(is_config(F.col("path"), extra_env_files), F.lit("config")).otherwise(F.lit("code"))
+    source_files.withColumn(AREA, area).write.mode("overwrite").partitionBy(AREA).parquet(path)
