@@ -8,14 +8,24 @@ text, the oracle computes it from the columns.
 """
 
 
+def pick(choices: str, index: str, separator: str = "|") -> str:
+    """Entry ``index`` (from 0) of a separated list."""
+    return f"split_part('{choices}', '{separator}', CAST({index} AS int) + 1)"
+
+
 def key(n: str) -> str:
     """Name of variable number ``n`` modulo 60."""
     m = f"(({n}) % 60)"
-    return (
-        f"(CASE {m} % 5 WHEN 0 THEN 'DB' WHEN 1 THEN 'API' WHEN 2 THEN 'CACHE' WHEN 3 THEN 'QUEUE' ELSE 'MAIL' END"
-        f" || '_' || CAST({m} AS string))"
-    )
+    return f"({pick('DB|API|CACHE|QUEUE|MAIL', f'({m} % 5)')} || '_' || CAST({m} AS string))"
+
 
+# By language number, then parity of the order key.
+_OPENINGS = (
+    "process.env[|process.env[|process.env[|process.env[|os.Getenv(|os.Getenv(|os.environ[|os.getenv(|"
+    "std::env::var(|env::var_os(|System.getenv().get(|System.getenv(|System.getenv(|System.getenv("
+)
+_CLOSINGS = "]|]|]|]|)|)|]|)|)|)|)|)|)|)"
+_EXTENSIONS = ".js|.MJS|.tsx|.tsx|.go|.go|.py|.py|.rs|.rs|.java|.java|.txt|.txt"
 
 ORDER_FILES = f"""
 SELECT o.*, {key("n")} AS k, {key("n + 7")} AS k2, 'PRE' || CAST(n AS string) || '_' AS prefix,
@@ -24,8 +34,8 @@ FROM (
   SELECT o_orderkey AS id, (o_orderkey - o_orderkey % 8) AS id8,
          CASE WHEN o_orderkey % 3 = 0 THEN 'r0' ELSE 'r' || CAST(o_custkey AS string) END AS repo_id,
          (o_custkey + o_orderkey) % 60 AS n,
-         CASE o_orderkey % 7 WHEN 0 THEN 'javascript' WHEN 1 THEN 'typescript' WHEN 2 THEN 'go' WHEN 3 THEN 'python'
-              WHEN 4 THEN 'rust' WHEN 5 THEN 'java' ELSE 'unknown' END AS language,
+         o_orderkey % 7 AS lang_no, (o_orderkey % 7) * 2 + o_orderkey % 2 AS form_no,
+         {pick("javascript|typescript|go|python|rust|java|unknown", "(o_orderkey % 7)")} AS language,
          CASE WHEN o_orderkey % 29 = 0 THEN 'node_modules/x' WHEN o_orderkey % 31 = 0 THEN 'gen/y'
               WHEN o_orderstatus = 'P' THEN 'legacy/conf' ELSE 'src' END AS dir,
          o_custkey % 20 AS pad,
@@ -51,21 +61,11 @@ SELECT f.*,
        '"' || k2 || '"' || closing || ';' AS late_text
 FROM (
   SELECT g.*,
-         language IN ('javascript', 'typescript') AND id % 2 = 0 AS dotted,
-         CASE language WHEN 'javascript' THEN CASE WHEN id % 2 = 0 THEN '.js' ELSE '.MJS' END
-              WHEN 'typescript' THEN '.tsx' WHEN 'go' THEN '.go' WHEN 'python' THEN '.py' WHEN 'rust' THEN '.rs'
-              WHEN 'java' THEN '.java' ELSE '.txt' END AS ext,
-         CASE WHEN language IN ('javascript', 'typescript') THEN 'process.env['
-              WHEN language = 'go' THEN 'os.Getenv('
-              WHEN language = 'python' AND id % 2 = 0 THEN 'os.environ['
-              WHEN language = 'python' THEN 'os.getenv('
-              WHEN language = 'rust' AND id % 2 = 0 THEN 'std::env::var('
-              WHEN language = 'rust' THEN 'env::var_os('
-              WHEN language = 'java' AND id % 2 = 0 THEN 'System.getenv().get('
-              ELSE 'System.getenv(' END AS opening,
-         CASE WHEN language IN ('javascript', 'typescript') OR (language = 'python' AND id % 2 = 0) THEN ']'
-              ELSE ')' END AS closing,
-         CASE language WHEN 'python' THEN '# ' ELSE '// ' END AS remark
+         lang_no < 2 AND id % 2 = 0 AS dotted,
+         {pick(_EXTENSIONS, "form_no")} AS ext,
+         {pick(_OPENINGS, "form_no")} AS opening,
+         {pick(_CLOSINGS, "form_no")} AS closing,
+         CASE WHEN lang_no = 3 THEN '# ' ELSE '// ' END AS remark
   FROM ({ORDER_FILES}) g
 ) f
 """

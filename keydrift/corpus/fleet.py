@@ -97,10 +97,12 @@ def _once(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     at = (spark.sparkContext.applicationId, sf_dir, name)
     if at not in _written:
         path = staging_path(spark, f"fleet-{name}")
+        # small benchmark tables are one file each: spread what is derived from them
+        rows = build(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism)
         if name == "source_files":
-            write_corpus(build(spark, sf_dir), path)
+            write_corpus(rows, path)
         else:
-            build(spark, sf_dir).write.parquet(path)
+            rows.write.parquet(path)
         _written[at] = path
     return spark.read.parquet(_written[at])
 

@@ -122,4 +122,5 @@ class DriftScan:
 
     @cached_property
     def json_report(self) -> DataFrame:
-        return report.json_report(self.report_rows, self.summary, self.options.rows_per_document)
+        rows = stage(self.report_rows, "report")
+        return report.json_report(rows, self.summary, self.options.rows_per_document)
