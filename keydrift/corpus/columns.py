@@ -51,6 +51,7 @@ SELECT f.*,
        CAST(pad + 2 AS int) AS static_line,
        CAST(pad + 3 AS int) AS dynamic_line,
        CAST(pad + 3 + CASE WHEN has_dynamic THEN 1 ELSE 0 END AS int) AS var_ref_line,
+       -- the key of the last access stands on the line below its start
        CAST(pad + 4 + CASE WHEN has_dynamic THEN 1 ELSE 0 END + CASE WHEN has_var_ref THEN 1 ELSE 0 END AS int)
          AS late_line,
        '"' || prefix || '" + ' || v AS expr,

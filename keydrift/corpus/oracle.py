@@ -50,7 +50,7 @@ def usages_of(files: str, extra: str = "") -> str:
   UNION ALL
   SELECT {head}, name, var_ref_line, var_ref_text, true, true, '' FROM {files} WHERE has_var_ref
   UNION ALL
-  SELECT {head}, k2, CAST(late_line + 1 AS int), late_text, false, false, '' FROM {files} WHERE has_late
+  SELECT {head}, k2, late_line, late_text, false, false, '' FROM {files} WHERE has_late
 """
 
 
