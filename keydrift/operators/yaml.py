@@ -184,7 +184,9 @@ def scalar_text(value: Column, quoted: Column) -> Column:
     )
     number = F.regexp_replace(value, r"^\+", "").cast("double")
     decimal = F.regexp_replace(F.regexp_replace(number.cast("decimal(38,17)").cast("string"), r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
-    special = F.regexp_replace(F.lower(value), r"^\.", "+.")
+    special = (
+        F.when(F.lower(value).contains("nan"), F.lit("NaN")).when(value.startswith("-"), F.lit("-Inf")).otherwise(F.lit("+Inf"))
+    )
     return (
         F.when(quoted, value)
         .when(value.rlike(_NULL), F.lit("<nil>"))
@@ -192,7 +194,7 @@ def scalar_text(value: Column, quoted: Column) -> Column:
         .when(value.rlike(_INT), F.regexp_replace(digits, r"^\+|^-(?=0$)", ""))
         .when(value.rlike(_RADIX), F.concat(sign, radix))
         .when(value.rlike(_FLOAT), F.coalesce(decimal, value))
-        .when(value.rlike(_SPECIAL), F.when(special == "+.nan", F.lit("NaN")).otherwise(F.initcap(F.replace(special, F.lit("."), F.lit("")))))
+        .when(value.rlike(_SPECIAL), special)
         .when(
             value.rlike(_DATE),
             F.concat_ws(
