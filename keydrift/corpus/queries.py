@@ -263,8 +263,7 @@ def _documents_as_dotenv(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     as_files = documents.select(F.concat(F.lit("d"), "doc_id").alias("path"), F.col("text").alias("content"))
     as_files = as_files.unionByName(pages.select(F.concat(F.lit("p"), "page_id").alias("path"), F.col("html").alias("content")))
-    entries = F.inline(definitions.parse_dotenv(F.col("content")))
-    return as_files.repartition("path").select("path", entries)
+    return text.inline_once(as_files.repartition("path"), ["path"], definitions.parse_dotenv(F.col("content")))
 
 
 add(

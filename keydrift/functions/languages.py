@@ -45,6 +45,7 @@ class Language:
     comments      comment forms
     skipped       what is consumed whole besides literals and comments
     interpolated  string form whose holes are code, with the regex of a hole's start
+    holding       literals that ``interpolated`` covers
     operators     operators of the binary node kind
     prefixes      unary operators allowed before an operand
     operand       one operand after blanking
@@ -66,6 +67,7 @@ class Language:
     keywords: tuple[str, ...]
     skipped: tuple[str, ...] = ()
     interpolated: str | None = None
+    holding: tuple[str, ...] = ()
     hole: str = r"\{"
     operand: str = WORD
     stray: str = r"/(?![/*])|#"
@@ -95,11 +97,13 @@ class Language:
 
     @property
     def mark_regex(self) -> str:
-        """Group 1: an access; 2: text to leave alone; 3: an interpolated string."""
-        whole = [x for x in (*self.comments, *self.skipped, *self.literals) if x != self.interpolated]
-        third = f"|({self.interpolated})" if self.interpolated else ""
-        # the leading class rejects most positions with a single test
-        return f"(?=[{self.starts}])(?:({self._expand(self.access)})|({'|'.join(whole)}){third})"
+        """Group 1: text up to an access, with strings and comments taken whole; 2: the access;
+        3: an interpolated string instead. One match per access: a file is copied in few pieces."""
+        access = self._expand(self.access)
+        stops = [access, self.interpolated] if self.interpolated else [access]
+        whole = "|".join((*self.comments, *self.skipped, *(x for x in self.literals if x not in self.holding)))
+        text = rf"(?:[^{self.starts}]++|{whole}|(?!{'|'.join(stops)})(?s:.))*+"
+        return rf"\G({text})(?:{'|'.join(f'({stop})' for stop in stops)})"
 
     @property
     def hole_regex(self) -> str:
@@ -146,7 +150,8 @@ JAVASCRIPT = Language(
         r"(?:[=(,:\[!&|?{};]|\breturn\b)\s*+"
         r"/(?![/*])(?:[^/\\\[\n]++|\\[^\n]|\[(?:[^\]\\\n]++|\\[^\n])*+\])++/",
     ),
-    interpolated=BACKTICK,
+    interpolated=f"(?!{PLAIN_BACKTICK}){BACKTICK}",
+    holding=(BACKTICK,),
     hole=r"\$\{",
     one_argument=True,
 )

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The code points with the Unicode White_Space property.
@@ -16,6 +16,20 @@ WHITE_SPACE = (
 QUOTES = ('"', "'", "`")
 
 
+def inline_once(df: DataFrame, kept: Sequence[str | Column], structs: Column) -> DataFrame:
+    """One row per struct of an array column.
+
+    A plain ``inline`` makes the optimizer add a filter on the size of the array,
+    which evaluates the array a second and a third time. The outer form does
+    not; the row it gives for an empty array is dropped by its marker.
+    """
+    marked = F.transform(structs, lambda s: F.struct(F.lit(True).alias("_found"), s.alias("_row")))
+    rows = df.select(*kept, F.inline_outer(marked)).filter(F.col("_found"))
+    names = [f.name for f in rows.schema["_row"].dataType]
+    columns = [c for c in rows.columns if c not in ("_found", "_row")]
+    return rows.select(*columns, *[F.col("_row")[n].alias(n) for n in names])
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once per row and use it in ``body``.
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keydrift.functions import paths
-from keydrift.functions.text import decode_base64, let, trim_quotes_env, trim_space
+from keydrift.functions.text import decode_base64, inline_once, let, trim_quotes_env, trim_space
 from keydrift.operators import yaml
 
 # The files looked for by name, in load order.
@@ -220,12 +220,12 @@ def parse_yaml(file_type: Column) -> Column:
 
 def parse_with(env_files: DataFrame, entries: Column) -> DataFrame:
     """One row per entry of a parser applied to each file."""
-    return env_files.select("repo_id", "path", "file_type", "load_tier", "load_pos", F.inline(entries))
+    return inline_once(env_files, ["repo_id", "path", "file_type", "load_tier", "load_pos"], entries)
 
 
 def parse_block_yaml(files: DataFrame) -> DataFrame:
     """repo_id, path and one row per YAML leaf."""
-    return files.select("repo_id", "path", F.inline(yaml.leaves()))
+    return inline_once(files, ["repo_id", "path"], yaml.leaves())
 
 
 @lru_cache(maxsize=8)

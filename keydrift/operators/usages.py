@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from keydrift.functions.languages import LANGUAGES, Language
 from keydrift.functions.text import (
     first_string,
+    inline_once,
     last_string,
     let,
     newlines,
@@ -64,11 +65,10 @@ def mark_accesses(content: Column, language: Column, languages: Sequence[Languag
     def mark(rule: Language) -> Column:
         bracket = f"{OPEN}$1{CLOSE}"
         holes = f"{HOLES_OPEN}$3{HOLES_CLOSE}" if rule.interpolated else ""
-        text = F.regexp_replace(clean, F.lit(rule.mark_regex), F.lit(f"{bracket}$2{holes}"))
-        text = F.replace(text, F.lit(OPEN + CLOSE), F.lit(""))
+        text = F.regexp_replace(clean, F.lit(rule.mark_regex), F.lit(f"$1{OPEN}$2{CLOSE}{holes}"))
         if not rule.interpolated:
             return text
-        text = F.replace(text, F.lit(HOLES_OPEN + HOLES_CLOSE), F.lit(""))
+        text = F.replace(F.replace(text, F.lit(OPEN + CLOSE), F.lit("")), F.lit(HOLES_OPEN + HOLES_CLOSE), F.lit(""))
         return let(
             text,
             lambda t: F.when(
@@ -226,11 +226,9 @@ def _usages_of_file(gateway: object, languages: Sequence[Language], dedup: bool)
 def extract_usages(files: DataFrame, languages: Sequence[Language] = LANGUAGES, dedup: bool = True) -> DataFrame:
     """``code_files`` -> repo_id, file, language, key, line, code_snippet, is_partial, is_var_ref, full_expr."""
     worth_a_look, usages = _usages_of_file(SparkContext._gateway, tuple(languages), dedup)
-    return (
-        files.filter(worth_a_look)
-        .select("repo_id", F.col("path").alias("file"), "language", F.inline(usages))
-        .select("repo_id", "file", "language", *USAGE_COLUMNS)
-    )
+    kept = ["repo_id", F.col("path").alias("file"), "language"]
+    rows = inline_once(files.filter(worth_a_look), kept, usages)
+    return rows.select("repo_id", "file", "language", *USAGE_COLUMNS)
 
 
 def extract(files: DataFrame, language: Language, kind: str) -> DataFrame:

@@ -32,8 +32,8 @@ class DriftScan:
     """Lazy plan over ``source_files`` (repo_id, path, content) and exported names (repo_id, key).
 
     Text is read twice at most, once as code and once as config, in narrow
-    projections that never shuffle it. The three small tables that several
-    results read (``usages``, ``env``, ``ledger``) are written once.
+    projections that never shuffle it. The small tables that several results
+    read (``usages``, ``env``, ``ledger``, ``groups``) are written once.
     """
 
     def __init__(
@@ -99,7 +99,7 @@ class DriftScan:
 
     @cached_property
     def reported_groups(self) -> DataFrame:
-        return drift.reported_groups(drift.partial_groups(self.usages), self.env)
+        return stage(drift.reported_groups(drift.partial_groups(self.usages), self.env), "groups")
 
     @cached_property
     def partial_matches(self) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keydrift.functions.text import let
+from keydrift.functions.text import inline_once, let
 from keydrift.operators import yaml
 from keydrift.operators.definitions import AREA
 
@@ -42,7 +42,7 @@ def read_ignore_rules(source_files: DataFrame, rules_file: str = RULES_FILE) ->
     files = source_files.filter(F.col("path") == rules_file)
     if AREA in source_files.columns and rules_file.startswith(".env"):
         files = files.filter(F.col(AREA) == "config")
-    return files.select("repo_id", F.inline(let(yaml.leaves(), rules)))
+    return inline_once(files, ["repo_id"], let(yaml.leaves(), rules))
 
 
 def exported_names(exported: DataFrame) -> DataFrame:
