@@ -62,30 +62,33 @@ def group_locations(rows: DataFrame) -> DataFrame:
 def json_report(rows: DataFrame, summary: DataFrame, limit: int = ROWS_PER_DOCUMENT) -> DataFrame:
     """repo_id, part, report: one JSON document per repository, or per part of a large one.
 
-    Every document has the same five fields; keys ascend by bytes, locations as text.
+    Every document has the same five fields; keys ascend by bytes, locations as
+    text. The counters stand in part 0 and are 0 elsewhere, so the parts of a
+    repository add up. The summary joins the rows as one more row per repository:
+    a repository without rows gets its document too, and nothing is joined.
     """
     grouped = group_locations(with_document_part(rows, limit))
+    zero = F.lit(0).cast("bigint")
+    listed = grouped.withColumns({"ignored_missing": zero, "ignored_from_folders": zero})
+    counters = summary.select("repo_id", F.lit(0).alias("part"), "ignored_missing", "ignored_from_folders")
 
     def entries(section: str, value: Column) -> Column:
-        return F.array_sort(F.collect_list(F.when(F.col("section") == section, value)))
-
-    keyed = F.struct("key", "locations")
-    documents = grouped.groupBy("repo_id", "part").agg(
-        entries(MISSING, keyed).alias(MISSING),
-        entries(PARTIAL, keyed).alias(PARTIAL),
-        entries(UNUSED, F.col("key")).alias(UNUSED),
-    )
-    counters = summary.select("repo_id", "ignored_missing", "ignored_from_folders")
-    whole = counters.join(documents, "repo_id", "left")
-    none = F.array()
-    body = F.struct(
-        F.coalesce(MISSING, none.cast("array<struct<key:string,locations:array<string>>>")).alias(MISSING),
-        F.coalesce(PARTIAL, none.cast("array<struct<key:string,locations:array<string>>>")).alias(PARTIAL),
-        F.coalesce(UNUSED, none.cast("array<string>")).alias(UNUSED),
-        "ignored_missing",
-        "ignored_from_folders",
+        return F.array_sort(F.collect_list(F.when(F.col("section") == section, value))).alias(section)
+
+    located = F.struct("key", "locations")
+    documents = (
+        listed.unionByName(counters, allowMissingColumns=True)
+        .groupBy("repo_id", "part")
+        .agg(
+            entries(MISSING, located),
+            entries(PARTIAL, located),
+            entries(UNUSED, F.col("key")),
+            F.sum("ignored_missing").alias("ignored_missing"),
+            F.sum("ignored_from_folders").alias("ignored_from_folders"),
+        )
     )
-    return whole.select("repo_id", F.coalesce("part", F.lit(0)).alias("part"), F.to_json(body).alias("report"))
+    fields = [c for c in documents.columns if c not in ("repo_id", "part")]
+    return documents.select("repo_id", "part", F.to_json(F.struct(*fields)).alias("report"))
 
 
 def sort_keys(df: DataFrame) -> DataFrame:
