@@ -161,7 +161,7 @@ def access_keys(sites: Column, language: Column, languages: Sequence[Language] =
 
     def usage(arg: Column, kind: Column) -> Column:
         expr = arg["expr"]
-        snippet = F.split(arg["text"], "\n")[arg["down"]]
+        snippet = F.coalesce(F.get(F.split(arg["text"], "\n"), arg["down"]), F.lit(""))
         dynamic_key = F.when(language.isin("javascript", "typescript"), _javascript_key(expr)).otherwise(expr)
         return F.struct(
             F.when(kind == "static", trim_quotes_code(expr))

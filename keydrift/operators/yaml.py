@@ -159,7 +159,8 @@ def leaves() -> Column:
 _NULL = r"^(?:|~|null|Null|NULL)$"
 _BOOL = r"^(?:true|True|TRUE|false|False|FALSE)$"
 _INT = r"^[-+]?(?:0|[1-9][0-9_]*)$"
-_RADIX = r"^[-+]?0(?:[xX][0-9a-fA-F_]+|[bB][01_]+|[oO]?[0-7_]+)$"
+# digit counts that fit 63 bits; longer ones stay text
+_RADIX = r"^[-+]?0(?:[xX][0-9a-fA-F_]{1,15}|[bB][01_]{1,62}|[oO]?[0-7_]{1,20})$"
 _FLOAT = r"^[-+]?(?:\.[0-9]+|[0-9]+(?:\.[0-9]*)?)(?:[eE][-+]?[0-9]+)?$"
 _SPECIAL = r"^(?:[-+]?\.(?:inf|Inf|INF)|\.(?:nan|NaN|NAN))$"
 _DATE = r"^([0-9]{4})-([0-9]{1,2})-([0-9]{1,2})$"
@@ -182,8 +183,8 @@ def scalar_text(value: Column, quoted: Column) -> Column:
         .when(body.startswith("b"), F.conv(F.substring(body, F.lit(2), F.length(body)), 2, 10))
         .otherwise(F.conv(F.regexp_replace(body, "^o", ""), 8, 10))
     )
-    number = F.regexp_replace(value, r"^\+", "").cast("double")
-    decimal = F.regexp_replace(F.regexp_replace(number.cast("decimal(38,17)").cast("string"), r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+    number = F.regexp_replace(value, r"^\+", "").try_cast("double")
+    decimal = F.regexp_replace(F.regexp_replace(number.try_cast("decimal(38,17)").cast("string"), r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
     special = (
         F.when(F.lower(value).contains("nan"), F.lit("NaN")).when(value.startswith("-"), F.lit("-Inf")).otherwise(F.lit("+Inf"))
     )

@@ -165,7 +165,7 @@ def test_ignore_rules(source):
 
 
 def test_scalar_text_matches_typed_printing(spark):
-    cases = {"-3": "-3", "+3": "3", "0b11": "3", "0o17": "15", "08": "8", "1e3": "1000", ".5": "0.5", "-0": "0", ".inf": "+Inf", "-.Inf": "-Inf", ".nan": "NaN", "FALSE": "false", "yes": "yes", "1.2.3": "1.2.3", "null": "<nil>"}
+    cases = {"-3": "-3", "+3": "3", "0b11": "3", "0o17": "15", "08": "8", "1e3": "1000", ".5": "0.5", "-0": "0", ".inf": "+Inf", "-.Inf": "-Inf", ".nan": "NaN", "FALSE": "false", "yes": "yes", "1.2.3": "1.2.3", "null": "<nil>", "1e40": "1e40", "0x" + "F" * 20: "0x" + "F" * 20, "9" * 30: "9" * 30}
     df = spark.createDataFrame([(k,) for k in cases], "v string")
     got = {r[0]: r[1] for r in df.select("v", yaml.scalar_text(F.col("v"), F.lit(False))).collect()}
     assert got == cases
