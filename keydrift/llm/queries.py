@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from keydrift.llm import quality
+from keydrift.llm import decontamination, mixing, quality, sharding
 
 QUERIES = {
+    "op1_reshard": sharding.query,
+    "op2_decontaminate": decontamination.query,
+    "op3_mix_sources": mixing.query,
     "op8_quality_rules": quality.query,
 }
 
 ORACLE = {
+    "op2_decontaminate": decontamination.SQL,
     "op8_quality_rules": quality.SQL,
 }
