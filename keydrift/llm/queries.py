@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from keydrift.llm import decontamination, mixing, quality, sharding
+from keydrift.llm import decontamination, mixing, pii, quality, secrets, sharding
 
 QUERIES = {
     "op1_reshard": sharding.query,
     "op2_decontaminate": decontamination.query,
     "op3_mix_sources": mixing.query,
+    "op6_scan_secrets": secrets.query,
     "op8_quality_rules": quality.query,
+    "op10_find_pii": pii.query,
 }
 
 ORACLE = {
