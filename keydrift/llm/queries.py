@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from keydrift.llm import decontamination, mixing, pii, quality, secrets, sharding
+from keydrift.llm import classifier, decontamination, mixing, pii, quality, secrets, sharding, token_counts
 
 QUERIES = {
     "op1_reshard": sharding.query,
     "op2_decontaminate": decontamination.query,
     "op3_mix_sources": mixing.query,
+    "op4_classify_quality": classifier.query,
     "op6_scan_secrets": secrets.query,
+    "op7_count_tokens": token_counts.query,
     "op8_quality_rules": quality.query,
     "op10_find_pii": pii.query,
 }
