@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from keydrift.llm import classifier, decontamination, mixing, pii, quality, secrets, sharding, token_counts
+from keydrift.llm import classifier, decontamination, html_text, mixing, pii, quality, secrets, sharding, token_counts
 
 QUERIES = {
     "op1_reshard": sharding.query,
     "op2_decontaminate": decontamination.query,
     "op3_mix_sources": mixing.query,
     "op4_classify_quality": classifier.query,
+    "op5_extract_html": html_text.query,
     "op6_scan_secrets": secrets.query,
     "op7_count_tokens": token_counts.query,
     "op8_quality_rules": quality.query,
