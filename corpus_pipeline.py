@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from keydrift.llm import quality, tables
+from keydrift.llm import decontamination, mixing, ngram_join, quality, sharding, tables
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,9 +12,35 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.judge(docs).where("kept").select(*docs.columns)
 
 
-STAGES = [("quality rules", quality_rules)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one with the smallest doc_id."""
+    return ngram_join.representatives(docs)
 
-#: SQL can't express the resharding by minimum-cost flow nor the seeded draws of the mix.
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no window of a benchmark item."""
+    return decontamination.without_documents(docs, tables.table(spark, sf_dir, "benchmark"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix by source: a row for each document and pass over its source that takes words of it."""
+    return mixing.mixed_texts(docs)
+
+
+def resharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row's place in shards of equal bytes, with what identifies it."""
+    return sharding.documents_resharded(sharding.sized(docs, "lang", "n_chars"))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontaminated),
+    ("mixing sources to target weights", mixed),
+    ("sharding", resharded),
+]
+
+#: SQL can't express the resharding by minimum-cost flow nor the keyed permutations of the mix.
 ORACLE_SQL = None
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from keydrift.llm import classifier, decontamination, html_text, mixing, pii, quality, secrets, sharding, token_counts
+from keydrift.llm import classifier, decontamination, html_text, mixing, ngram_join, pii, quality, secrets, sharding, token_counts
 
 QUERIES = {
     "op1_reshard": sharding.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_scan_secrets": secrets.query,
     "op7_count_tokens": token_counts.query,
     "op8_quality_rules": quality.query,
+    "op9_ngram_join": ngram_join.query,
     "op10_find_pii": pii.query,
 }
 
