@@ -9,7 +9,7 @@ from keydrift.llm import decontamination, mixing, ngram_join, quality, sharding,
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep."""
-    return quality.judge(docs).where("kept").select(*docs.columns)
+    return quality.accepted(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -375,9 +375,32 @@ def representatives(docs: DataFrame) -> DataFrame:
     again = found.where("doc_id = component_id").select("doc_id")
     kept = only(docs, found.select("doc_id"), "doc_id", "left_anti")
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    several = only(docs, again, "doc_id", "left_semi").withColumn("_rank", rank).where("_rank = 1")
-    return kept.unionByName(several.select(*docs.columns))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    several = only(docs, again, "doc_id", "left_semi").select(row, rank.alias("rank")).where("rank = 1")
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns)).union(several.select("row.*"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked(tables.table(spark, sf_dir, "documents"))
+
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents
+), s AS (
+  SELECT DISTINCT r, array_to_string(w[i:i + 4], ' ') AS g
+  FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)
+), n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+pairs AS (SELECT a.r AS x, b.r AS y, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.r <> b.r GROUP BY a.r, b.r),
+link AS (
+  SELECT x, y FROM pairs JOIN n nx ON nx.r = x JOIN n ny ON ny.r = y WHERE 100 * o >= 75 * (nx.n + ny.n - o)
+), reach AS (
+  SELECT r AS x, r AS y FROM d UNION SELECT reach.x, link.y FROM reach JOIN link ON reach.y = link.x
+)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id
+FROM d LEFT JOIN n USING (r)
+JOIN (SELECT x, min(e.doc_id) AS component_id FROM reach JOIN d e ON e.r = reach.y GROUP BY x) c ON c.x = d.r
+"""

@@ -1,7 +1,7 @@
 """Quality rules: a table of thresholds compiled into one projection of built-in functions.
 
 Defined cases: a null text has no words and fails; an empty table gives an empty table; repeated rows are judged one by
-one; further columns of the input, whatever their names, are kept by ``judge`` and never read. A ratio whose divisor is
+one; further columns of the input, whatever their names, are kept by ``accepted`` and never read. A ratio whose divisor is
 0 counts as 0. There is no limit on a text's length.
 """
 
@@ -72,24 +72,23 @@ def _let(value: Column, body) -> Column:
 
 
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The input with the base counts, the ratios and nothing else added; one narrow projection, no shuffle."""
-    t = F.coalesce(F.col(text), F.lit(""))
+    """``row``, the input's columns, and the counts; one narrow projection, no shuffle."""
+    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     stop = sorted({v for ws in STOP_WORDS.values() for x in ws for v in (x, x.capitalize())})
-    lines = F.filter(F.split(t, "\n"), lambda x: F.regexp_like(x, F.lit(r"[^\x20\x09-\x0D]")))
-    kept = docs.columns
-    out = docs.withColumns({"_w": tables.words(F.col(text)), "_lines": lines})
-    out = out.select(
-        *(F.col(f"`{c}`") for c in kept),
+    lines = F.filter(F.split("_t", "\n"), lambda x: F.regexp_like(x, F.lit(r"[^\x20\x09-\x0D]")))
+    out = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), t.alias("_t"))
+    out = out.withColumns({"_w": tables.words(F.col("_t")), "_lines": lines})
+    return out.select(
+        "row",
         F.size("_w").cast("long").alias("n_words"),
-        F.length(F.regexp_replace(t, f"{tables.SPACE}+", "")).cast("long").alias("word_chars"),
-        F.length(F.regexp_replace(t, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
+        F.length(F.regexp_replace("_t", f"{tables.SPACE}+", "")).cast("long").alias("word_chars"),
+        F.length(F.regexp_replace("_t", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         _repeat_words(F.col("_w")).alias("n_repeat_words"),
         F.size("_lines").cast("long").alias("n_lines"),
         F.size(F.filter("_w", lambda x: x.isin(stop))).cast("long").alias("n_stop_words"),
-        F.length(F.regexp_replace(t, r"[^!]+", "")).cast("long").alias("n_exclamations"),
+        F.length(F.regexp_replace("_t", r"[^!]+", "")).cast("long").alias("n_exclamations"),
     )
-    return out
 
 
 def _ratio(a: str, b: str) -> Column:
@@ -119,13 +118,27 @@ def failed(rules: tuple[Rule, ...]) -> Column:
     return broken
 
 
+COUNTS = "n_words word_chars n_symbols n_dup_lines n_repeat_words n_lines n_stop_words n_exclamations".split()
+
+
+def verdicts(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
+    """``row``, the input's columns, and the counts with ``base_failed`` and ``kept``."""
+    base = failed(BASE_RULES)
+    verdict = F.struct(*COUNTS, base.alias("base_failed"), (~base & ~failed(rules)).alias("kept"))
+    # the verdict leaves as one generated row: a later filter on it can't be pushed below and repeat the measures
+    return measured(docs, text).select("row", F.inline(F.array(verdict)))
+
+
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
-    """The documents' columns with the counts, ``base_failed`` and ``kept``."""
-    return (
-        measured(docs, text)
-        .withColumn("base_failed", failed(BASE_RULES))
-        .withColumn("kept", ~F.col("base_failed") & ~failed(rules))
-    )
+    """The documents' columns, followed by the counts and the verdict, which replace columns of the same names."""
+    found = verdicts(docs, rules, text)
+    own = found.columns[1:]
+    return found.select(*(F.col(f"row.`{c}`") for c in docs.columns if c not in own), *own)
+
+
+def accepted(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
+    """The rows that the rules keep, with their own columns."""
+    return verdicts(docs, rules, text).where("kept").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

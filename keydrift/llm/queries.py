@@ -20,4 +20,5 @@ QUERIES = {
 ORACLE = {
     "op2_decontaminate": decontamination.SQL,
     "op8_quality_rules": quality.SQL,
+    "op9_ngram_join": ngram_join.SQL,
 }

@@ -6,7 +6,8 @@ numbers, whatever the number of rows). Flow between shards is solved exactly; th
 blocks, the largest that still fits first, so a new shard misses its capacity by less than its smallest movable block.
 
 Defined cases: a null text has size 1 and CRC 0; null keys share a block; repeated rows get slots of their own, in any
-order, since they are equal; an empty table gives an empty table; extra columns of any name are kept by ``reshard``.
+order, since they are equal; an empty table gives an empty table; extra columns are kept by ``reshard``,
+but for columns named as those it adds.
 """
 
 from __future__ import annotations
@@ -106,7 +107,7 @@ def equal_capacities(total: int, shards: int) -> list[int]:
 def reshard(rows: DataFrame, old_shard: Column, size: Column, key: Column, tie: list[Column], capacity=None) -> DataFrame:
     """The rows with ``shard`` and ``slot``. ``capacity``: bytes of each new shard; equal ones if none. ``tie``: what
     orders rows of a block, beside the key."""
-    spark, columns = rows.sparkSession, [F.col(f"`{c}`") for c in rows.columns]
+    spark, columns = rows.sparkSession, [F.col(f"`{c}`") for c in rows.columns if c not in ("old_shard", "shard", "slot")]
     work = tables.stored(
         rows.select(
             F.struct(*columns).alias("row"), old_shard.cast("int").alias("old"), size.cast("long").alias("size"),
