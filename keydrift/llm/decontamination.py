@@ -145,9 +145,9 @@ def without_spans(docs: DataFrame, items: DataFrame, n: int = WINDOW) -> DataFra
     """All documents, hit words cut from their texts; what stands between words stays."""
     raw, gaps = _words(F.col("t.text")), F.split("t.text", WORD, -1)
     cut = _let(raw, lambda w: _let(gaps, lambda g: F.array_join(F.flatten(F.transform(g, lambda x, i: F.array(x, F.when(
-        F.exists("spans", lambda s: (s["at"] <= i) & (i < s["at"] + s["len"])), F.lit("")
+        F.exists("h.spans", lambda s: (s["at"] <= i) & (i < s["at"] + s["len"])), F.lit("")
     ).otherwise(F.coalesce(F.get(w, i), F.lit("")))))), "")))
-    text = F.when(F.size("spans") > 0, cut).otherwise(F.col("t.text"))
+    text = F.when(F.size("h.spans") > 0, cut).otherwise(F.col("t.text"))
     out = _matched(docs, _hit_documents(docs, items, n), "left")
     return out.select(*(text.alias("text") if c == "text" else F.col(f"t.`{c}`").alias(c) for c in docs.columns))
 
