@@ -109,7 +109,8 @@ def parse_dotenv(content: Column) -> Column:
     return _line_entries(content, entry)
 
 
-_EXPORT = r"^export\s+([A-Za-z_][A-Za-z0-9_]*)\s*=\s*(.*)$"
+# The two line formats. (?s): a line may hold separators other than \n, at which Java's dot stops.
+_EXPORT = r"(?s)^export\s+([A-Za-z_][A-Za-z0-9_]*)\s*=\s*(.*)$"
 
 
 def parse_exports(content: Column) -> Column:
@@ -136,7 +137,7 @@ def parse_systemd(content: Column) -> Column:
             key = F.when(assignment.contains("="), trim_space(name)).otherwise(F.lit(""))
             return _entry(seq, key, trim_space(value))
 
-        return let(trim_quotes_env(F.regexp_extract(text, r"^Environment\s*=\s*(.+)$", 1)), split)
+        return let(trim_quotes_env(F.regexp_extract(text, r"(?s)^Environment\s*=\s*(.+)$", 1)), split)
 
     return _line_entries(content, entry)
 

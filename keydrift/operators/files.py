@@ -22,6 +22,9 @@ LANGUAGE_LABELS = {
 
 
 def detect_language(source_files: DataFrame) -> DataFrame:
+    """Adds the language by path; a corpus stored with it keeps its own, which prunes partitions."""
+    if "language" in source_files.columns:
+        return source_files
     return source_files.withColumn("language", paths.detect_language(F.col("path")))
 
 

@@ -23,7 +23,12 @@ _LISTED = "repo_id string, root string, path string, is_dir boolean"
 
 
 def _children(root: str, path: str, names: frozenset[str]) -> Iterator[tuple[str, bool]]:
-    with os.scandir(os.path.join(root, path)) as entries:
+    """A folder that is missing or unreadable has none: it is one repository's fault, not the fleet's."""
+    try:
+        entries = os.scandir(os.path.join(root, path))
+    except OSError:
+        return
+    with entries:
         for entry in entries:
             is_dir = entry.is_dir(follow_symlinks=False)
             if not (is_dir and entry.name in names):
@@ -105,8 +110,30 @@ def wanted(listed: DataFrame, extra_env_files: Sequence[str] = ()) -> DataFrame:
 def write_corpus(source_files: DataFrame, path: str, extra_env_files: Sequence[str] = ()) -> None:
     """Store ``source_files`` as Parquet, code and config apart.
 
-    ``area`` is a partition column, so reading definitions never touches
-    the code, which is nearly all of the bytes.
+    ``area`` and ``language`` are partition columns, so reading definitions never touches
+    the code, which is nearly all of the bytes, and one language's code is read alone.
     """
     area = F.when(is_config(F.col("path"), extra_env_files), F.lit("config")).otherwise(F.lit("code"))
-    source_files.withColumn(AREA, area).write.mode("overwrite").partitionBy(AREA).parquet(path)
+    parts = {AREA: area, "language": paths.detect_language(F.col("path"))}
+    source_files.withColumns(parts).write.mode("overwrite").partitionBy(*parts).parquet(path)
+
+
+def problems(roots: DataFrame, listed: DataFrame) -> DataFrame:
+    """repo_id, path, reason: scan roots that cannot be listed, and listed files that cannot be opened."""
+
+    def opened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for row in batch.itertuples():
+                at = os.path.join(row.root, row.path)
+                try:
+                    if row.path:
+                        open(at, "rb").close()
+                    else:
+                        os.scandir(at).close()
+                except OSError as e:
+                    rows.append((row.repo_id, row.path, e.strerror or type(e).__name__))
+            yield pd.DataFrame(rows, columns=["repo_id", "path", "reason"])
+
+    every = roots.select("repo_id", "root", F.lit("").alias("path")).unionByName(listed.select("repo_id", "root", "path"))
+    return every.repartition("repo_id", "path").mapInPandas(opened, "repo_id string, path string, reason string")

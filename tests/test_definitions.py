@@ -35,33 +35,33 @@ def test_systemd(parse):
 
 
 COMPOSE = """
-version: '3.8'
+name: shop
 services:
-  app:
-    image: "x:latest"
-    environment: # note
-      HOST: postgres   # c
-      PORT: "5432"
-      URL: redis://r:6379#x
-      NOTHING:
-      NO: ~
-      YES: True
-      NUM: 1_000
-      HEX: 0x1F
-      OCT: 010
-      FLOAT: 1.50
-      DAY: 2020-1-2
-      QUOTE: 'it''s'
-      TEXT: "a\\tb"
-    ports:
-      - "8080:8080"
-  worker:
+  cart:
+    restart: always
+    environment: # read at start
+      REGION: north   # of two
+      SHARDS: "12"
+      CACHE: memory://cart:0#lru
+      UNSET:
+      OFF: ~
+      DEBUG: True
+      LIMIT: 1_000
+      MASK: 0x1F
+      MODE: 010
+      RATIO: 1.50
+      SINCE: 2020-1-2
+      MOTTO: 'it''s'
+      BANNER: "a\\tb"
+    labels:
+      - "tier=front"
+  mail:
     environment:
-    - QUEUE=high
-    - "WAIT = 2"
+    - LANE=slow
+    - "DELAY = 2"
     - BARE
-    - URL=http://x:1/
-    image: y
+    - CACHE=http://x:1/
+    restart: never
   flow:
     environment: {P: 1, "R": "x, y"}
   flows:
@@ -73,9 +73,9 @@ services: {z: {environment: {LATER: 1}}}
 
 def test_compose(parse):
     assert dict(parse("docker-compose.yml", COMPOSE)) == {
-        "HOST": "postgres", "PORT": "5432", "URL": "http://x:1/", "NOTHING": "<nil>", "NO": "<nil>", "YES": "true",
-        "NUM": "1000", "HEX": "31", "OCT": "8", "FLOAT": "1.5", "DAY": "2020-01-02 00:00:00 +0000 UTC", "QUOTE": "it's",
-        "TEXT": "a\tb", "QUEUE": "high", "WAIT": "2", "P": "1", "R": "x, y", "K": "1", "L": "2",
+        "REGION": "north", "SHARDS": "12", "CACHE": "http://x:1/", "UNSET": "<nil>", "OFF": "<nil>", "DEBUG": "true",
+        "LIMIT": "1000", "MASK": "31", "MODE": "8", "RATIO": "1.5", "SINCE": "2020-01-02 00:00:00 +0000 UTC", "MOTTO": "it's",
+        "BANNER": "a\tb", "LANE": "slow", "DELAY": "2", "P": "1", "R": "x, y", "K": "1", "L": "2",
     }
 
 
@@ -171,3 +171,8 @@ def test_scalar_text_matches_typed_printing(spark):
     assert got == cases
     df = spark.createDataFrame([("kind: x",)], "content string")
     assert df.select(F.size(let(yaml.leaves(), lambda x: x))).first()[0] == 1
+
+
+def test_line_formats_keep_other_separators(parse):
+    assert parse(".envrc", "export A=x\u2028y\n") == [("A", "x\u2028y")]
+    assert parse("app.service", "Environment=A=x\x85y\n") == [("A", "x\x85y")]

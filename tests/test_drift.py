@@ -23,29 +23,28 @@ def keys(df):
     return sorted({r.key for r in df.collect()})
 
 
-# Trees written after the shapes of a small application, a tool with ignore
-# rules, a many-language service and a service with many config formats.
+# A storefront with a queue worker.
 APP = {
-    "src/config.js": "export const a = process.env.API_KEY;\nexport const b = process.env.DATABASE_URL;\nexport const c = process.env.SECRET_KEY;\nexport const d = process.env.MISSING_1;\n",
-    "src/main.go": 'package main\n\nfunc main() {\n\tos.Getenv("API_KEY")\n\tos.Getenv("DATABASE_URL")\n}\n',
-    "node_modules/x/i.js": "process.env.HIDDEN",
-    "README.md": "process.env.TEXT",
+    "web/cart.ts": "const currency = process.env.CURRENCY;\nexport const total = () => tax(process.env.TAX_TABLE, currency);\nconst flags = process.env.FEATURE_FLAGS;\n",
+    "worker/run.py": "import os\n\nwhile True:\n    poll(os.environ['CURRENCY'], os.getenv('POLL_SECONDS'))\n    archive(os.getenv('TAX_TABLE'))\n",
+    "vendor/lib/i.py": "os.getenv('HIDDEN')",
+    "notes.txt": "process.env.TEXT",
 }
 
 
 def test_without_definitions_everything_is_missing(scan):
     s = scan(APP)
-    assert keys(s.missing) == ["API_KEY", "DATABASE_URL", "MISSING_1", "SECRET_KEY"]
+    assert keys(s.missing) == ["CURRENCY", "FEATURE_FLAGS", "POLL_SECONDS", "TAX_TABLE"]
     assert s.missing.count() == 6
     row = s.summary.first()
     assert (row.missing, row.partial, row.unused, row.ignored_missing, row.ignored_from_folders, row.has_issues) == (4, 0, 0, 0, 0, True)
     counts = {(r.language, r.n_files) for r in files.count_files_by_language(s.scanned_files).collect()}
-    assert counts == {("js", 1), ("go", 1)}
+    assert counts == {("ts", 1), ("python", 1)}
 
 
 def test_missing_unused_and_clean(scan):
-    s = scan({**APP, ".env": "API_KEY=k\nDATABASE_URL=u\nOLD=12345\n", ".env.local": "SECRET_KEY=\n"})
-    assert keys(s.missing) == ["MISSING_1"]
+    s = scan({**APP, ".env": "CURRENCY=k\nTAX_TABLE=u\nOLD=12345\n", ".env.local": "POLL_SECONDS=\n"})
+    assert keys(s.missing) == ["FEATURE_FLAGS"]
     assert [tuple(r) for r in report.display_unused(s.unused).collect()] == [("r", "OLD", "1...5", ".env")]
     clean = scan({"a.js": "process.env.A", ".env": "A=1"})
     assert not clean.summary.first().has_issues
@@ -55,45 +54,46 @@ def test_missing_unused_and_clean(scan):
 
 
 def test_exported_names_are_not_missing_nor_unused(scan):
-    tree = {"src/main.go": 'os.Getenv("API_KEY")\nos.Getenv("CI_TOKEN")\nos.Getenv("GONE")\n'}
-    assert keys(scan(tree).missing) == ["API_KEY", "CI_TOKEN", "GONE"]
-    s = scan(tree, exported=["CI_TOKEN", "HOME"])
-    assert keys(s.missing) == ["API_KEY", "GONE"]
+    tree = {"Build.java": 'String s = System.getenv("STAGE") + System.getenv("RUNNER_ID");\nint n = size(System.getenv("POOL"));\n'}
+    assert keys(scan(tree).missing) == ["POOL", "RUNNER_ID", "STAGE"]
+    s = scan(tree, exported=["RUNNER_ID", "SHELL"])
+    assert keys(s.missing) == ["POOL", "STAGE"]
     assert s.unused.count() == 0
 
 
+# One service whose generated part is not to be reported.
 IGNORES = {
-    "src/main.go": 'os.Getenv("API_KEY")\nos.Getenv("CUSTOM")\nos.Getenv("TOKEN")\n',
-    "config/ignored.go": 'os.Getenv("DATABASE_URL")\nos.Getenv("SECRET_KEY")\nos.Getenv("API_KEY")\nos.Getenv(dyn)\n',
+    "svc/api.py": "import os\nserve(os.getenv('BIND'), os.getenv('TRACE_ID'), os.getenv('SPAN_ID'))\n",
+    "generated/stub.rs": 'let a = env::var("BIND");\nlet b = env::var("WIRE_FORMAT");\nlet c = (env::var("SCHEMA"), env::var(name));\n',
 }
 
 
 @pytest.mark.parametrize(
-    ("folder", "from_folders", "api_key_usages"),
-    [("config", 0, 1), ("config/*", 2, 1), ("config/ignored.go", 2, 1), ("config/", 0, 2), ("other/x", 0, 2)],
+    ("folder", "from_folders", "bind_usages"),
+    [("generated", 0, 1), ("generated/*", 2, 1), ("generated/stub.rs", 2, 1), ("generated/", 0, 2), ("other/x", 0, 2)],
 )
-def test_ignore_rules(scan, folder, from_folders, api_key_usages):
-    rules = f"ignores:\n  missing:\n    - CUSTOM\n    - TOKEN\n  folders:\n    - {folder}\n"
+def test_ignore_rules(scan, folder, from_folders, bind_usages):
+    rules = f"ignores:\n  missing:\n    - TRACE_ID\n    - SPAN_ID\n  folders:\n    - {folder}\n"
     s = scan({**IGNORES, RULES_FILE: rules})
     row = s.summary.first()
     assert row.ignored_missing == 2
     assert row.ignored_from_folders == from_folders
-    seen = ["API_KEY"] if folder.startswith("config") and folder != "config/" else ["API_KEY", "DATABASE_URL", "SECRET_KEY"]
+    seen = ["BIND"] if folder.startswith("generated") and folder != "generated/" else ["BIND", "SCHEMA", "WIRE_FORMAT"]
     assert keys(s.missing) == seen
-    assert s.missing.filter("key = 'API_KEY'").count() == api_key_usages
+    assert s.missing.filter("key = 'BIND'").count() == bind_usages
     # dynamic usages are not filtered by ignored paths, only by pruned directories
-    assert row.partial == (0 if folder == "config" else 1)
+    assert row.partial == (0 if folder == "generated" else 1)
 
 
 def test_ignored_folder_counts_before_ignored_key(scan):
-    rules = "ignores:\n  missing:\n    - SECRET_KEY\n  folders:\n    - config/*\n"
+    rules = "ignores:\n  missing:\n    - SCHEMA\n  folders:\n    - generated/*\n"
     row = scan({**IGNORES, RULES_FILE: rules}).summary.first()
     assert (row.ignored_missing, row.ignored_from_folders) == (0, 2)
 
 
 def test_usage_in_ignored_path_still_counts_as_use(scan):
-    rules = "ignores:\n  folders:\n    - config/*\n"
-    s = scan({**IGNORES, RULES_FILE: rules, ".env": "DATABASE_URL=1\nX=1\n"})
+    rules = "ignores:\n  folders:\n    - generated/*\n"
+    s = scan({**IGNORES, RULES_FILE: rules, ".env": "WIRE_FORMAT=1\nX=1\n"})
     assert keys(s.unused) == ["X"]
 
 
@@ -156,7 +156,10 @@ def test_large_report_is_split_and_whole(spark, scan):
 def test_json_sink(spark, scan, tmp_path):
     path = str(tmp_path / "report")
     report.write_json(scan(APP).json_report, path)
-    assert '"key":"MISSING_1"' in spark.read.text(path).first()[0]
+    assert '"key":"FEATURE_FLAGS"' in spark.read.text(path).first()[0]
+    report.write_json(scan(APP).json_lines, path)
+    lines = [r[0] for r in spark.read.text(path).collect()]
+    assert len(lines) == 7 and '{"repo_id":"r","section":"summary","ignored_missing":0,"ignored_from_folders":0}' in lines
 
 
 # ------------------------------------------------------------ single operators

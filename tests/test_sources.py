@@ -38,3 +38,47 @@ def test_depth_of_listing_does_not_matter(spark, tmp_path):
     expected = {"a.js", "d/b.js", "d/e/c.js", "d/e/f/g.js"}
     for levels in (0, 1, 3):
         assert {r.path for r in trees.list_trees(roots, levels).collect()} == expected
+
+
+def test_one_bad_root_or_folder_fails_nothing_else(spark, tmp_path):
+    good = tmp_path / "good"
+    (good / "a" / "b" / "c" / "d").mkdir(parents=True)
+    (good / "a" / "b" / "c" / "d" / "deep.py").write_text("os.getenv('DEEP')")
+    (good / "gone.js").symlink_to(tmp_path / "nowhere")
+    roots = spark.createDataFrame([("good", str(good)), ("missing", str(tmp_path / "missing"))], "repo_id string, root string")
+    listed = trees.list_trees(roots)
+    assert {(r.repo_id, r.path) for r in listed.collect()} == {("good", "a/b/c/d/deep.py"), ("good", "gone.js")}
+    assert [r.path for r in trees.read_contents(listed).collect()] == ["a/b/c/d/deep.py"]
+    found = {(r.repo_id, r.path, r.reason) for r in trees.problems(roots, listed).collect()}
+    assert found == {("missing", "", "No such file or directory"), ("good", "gone.js", "No such file or directory")}
+
+
+def test_a_stored_corpus_is_pruned_by_language(spark, source, tmp_path):
+    from keydrift.functions import languages
+    from keydrift.operators import files, usages
+
+    path = str(tmp_path / "corpus")
+    trees.write_corpus(source({"a.go": 'os.Getenv("A")', "b.py": "os.getenv('B')", ".env": "A=1"}), path)
+    found = usages.extract(files.code_files(spark.read.parquet(path)), languages.GO, "static")
+    assert [r.key for r in found.collect()] == ["A"]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "language" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_staging_needs_a_shared_folder_off_local_masters():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from keydrift.plans import staging
+
+    def session(master, folder=None):
+        nothing = SimpleNamespace(get=lambda *_: None)
+        context = SimpleNamespace(master=master, getConf=lambda: nothing, getCheckpointDir=lambda: folder)
+        return SimpleNamespace(conf=nothing, sparkContext=context)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        staging.staging_dir(session("spark://host:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        staging.staging_dir(session("local-cluster[2,1,1024]"))
+    assert staging.staging_dir(session("yarn", "hdfs://x/y/")) == "hdfs://x/y"

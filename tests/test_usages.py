@@ -19,28 +19,28 @@ def extract(source):
 
 STATIC = {
     "a.js": (
-        "\nconst a = process.env.API_KEY;\nconst b = process.env[\"DATABASE_URL\"];\nconst c = process.env['SECRET_KEY'];\n",
-        [(2, "API_KEY"), (3, "DATABASE_URL"), (4, "SECRET_KEY")],
+        "export function boot() {\n  if (process.env.NODE_REGION) start(process.env['QUEUE_URL']);\n  return { port: +process.env.HTTP_PORT };\n}\n",
+        [(2, "NODE_REGION"), (2, "QUEUE_URL"), (3, "HTTP_PORT")],
     ),
     "a.ts": (
-        '\nconst a: string = process.env.API_KEY || "";\nconst b = process.env["DATABASE_URL"];\n',
-        [(2, "API_KEY"), (3, "DATABASE_URL")],
+        'class Mailer {\n  private host = process.env.SMTP_HOST as string;\n  static from(): string { return process.env["SMTP_FROM"]!; }\n}\n',
+        [(2, "SMTP_HOST"), (3, "SMTP_FROM")],
     ),
     "a.go": (
-        'package main\nimport "os"\nfunc main() {\n\ta := os.Getenv("API_KEY")\n\tb := os.Getenv("DATABASE_URL")\n}\n',
-        [(4, "API_KEY"), (5, "DATABASE_URL")],
+        'package cache\n\nfunc dial() (*Conn, error) {\n\tif dsn := os.Getenv("REDIS_DSN"); dsn != "" {\n\t\treturn open(dsn, os.Getenv("REDIS_TLS") == "1")\n\t}\n\treturn nil, nil\n}\n',
+        [(4, "REDIS_DSN"), (5, "REDIS_TLS")],
     ),
     "a.py": (
-        "import os\na = os.environ[\"API_KEY\"]\nb = os.getenv(\"DATABASE_URL\")\nc = os.environ['SECRET_KEY']\nd = os.environ.get('NO')\n",
-        [(2, "API_KEY"), (3, "DATABASE_URL"), (4, "SECRET_KEY")],
+        "import os\n\n\ndef workers():\n    count = int(os.environ[\"WORKERS\"])\n    return [os.getenv('WORKER_NAME')] * count if os.environ.get('SKIP') else []\n",
+        [(5, "WORKERS"), (6, "WORKER_NAME")],
     ),
     "a.rs": (
-        'use std::env;\nfn main() {\n\tlet a = env::var("API_KEY").unwrap();\n\tlet b = std::env::var("DATABASE_URL").unwrap();\n\tlet c = env::var_os("SECRET_KEY");\n}\n',
-        [(3, "API_KEY"), (4, "DATABASE_URL"), (5, "SECRET_KEY")],
+        'fn limits() -> (String, Option<OsString>) {\n    let soft = env::var("SOFT_LIMIT").unwrap_or_default();\n    (soft, std::env::var_os("HARD_LIMIT"))\n}\n',
+        [(2, "SOFT_LIMIT"), (3, "HARD_LIMIT")],
     ),
     "A.java": (
-        'class T {\n String a = System.getenv("API_KEY");\n String b = System.getenv().get("DATABASE_URL");\n String c = System.getenv().getOrDefault("NO", "x");\n}\n',
-        [(2, "API_KEY"), (3, "DATABASE_URL")],
+        'final class Places {\n    static Path home() {\n        return Path.of(System.getenv("DATA_HOME"), System.getenv().get("PROFILE"));\n    }\n    String d = System.getenv().getOrDefault("UNSEEN", "x");\n}\n',
+        [(3, "DATA_HOME"), (3, "PROFILE")],
     ),
 }
 
@@ -53,24 +53,24 @@ def test_static(extract, path):
 
 DYNAMIC = {
     "a.js": (
-        'process.env[prefix + "KEY"];\nprocess.env["PREFIX_" + suffix];\nprocess.env[varName];\nprocess.env[a + b]',
-        [(1, "KEY", "dynamic"), (2, "PREFIX_", "dynamic"), (3, "varName", "var_ref"), (4, "a + b", "dynamic")],
+        'for (const n of names) load(process.env["SHARD_" + n]);\nconst t = process.env[tier];\n\nuse(process.env[left + right], process.env[tenant + "_QUOTA"]);',
+        [(1, "SHARD_", "dynamic"), (2, "tier", "var_ref"), (4, "_QUOTA", "dynamic"), (4, "left + right", "dynamic")],
     ),
     "a.go": (
-        'os.Getenv(prefix + "KEY")\nos.Getenv("PREFIX_" + suffix)\nos.Getenv(varName)',
-        [(1, 'prefix + "KEY"', "dynamic"), (2, '"PREFIX_" + suffix', "dynamic"), (3, "varName", "var_ref")],
+        'for _, n := range names {\n\tload(os.Getenv(n))\n\tload(os.Getenv("SHARD_" + n), os.Getenv(tenant + "_QUOTA"))\n}',
+        [(2, "n", "var_ref"), (3, '"SHARD_" + n', "dynamic"), (3, 'tenant + "_QUOTA"', "dynamic")],
     ),
     "a.py": (
-        'os.environ[prefix + "KEY"]\nos.getenv("PREFIX_" + suffix)\nos.environ[varName]\nos.getenv(varName)',
-        [(1, 'prefix + "KEY"', "dynamic"), (2, '"PREFIX_" + suffix', "dynamic"), (3, "varName", "var_ref"), (4, "varName", "var_ref")],
+        'quota = {t: os.environ[t + "_QUOTA"] for t in tenants}\nshard = os.getenv("SHARD_" + n)\nreturn os.environ[tier], os.getenv(zone)',
+        [(1, 't + "_QUOTA"', "dynamic"), (2, '"SHARD_" + n', "dynamic"), (3, "tier", "var_ref"), (3, "zone", "var_ref")],
     ),
     "a.rs": (
-        'env::var(prefix.to_string() + "KEY")\nstd::env::var("PREFIX_".to_string() + &suffix)\nenv::var(var_name)',
-        [(1, 'prefix.to_string() + "KEY"', "dynamic"), (2, '"PREFIX_".to_string() + &suffix', "dynamic"), (3, "var_name", "var_ref")],
+        'names.iter().map(|n| env::var("SHARD_".to_owned() + n));\nlet z = std::env::var(zone);\nenv::var(tenant.clone() + "_QUOTA")',
+        [(1, '"SHARD_".to_owned() + n', "dynamic"), (2, "zone", "var_ref"), (3, 'tenant.clone() + "_QUOTA"', "dynamic")],
     ),
     "A.java": (
-        'System.getenv(prefix + "KEY");\nSystem.getenv().get("PREFIX_" + suffix);\nSystem.getenv(varName);',
-        [(1, 'prefix + "KEY"', "dynamic"), (2, '"PREFIX_" + suffix', "dynamic"), (3, "varName", "var_ref")],
+        'String z = System.getenv(zone);\nreturn names.map(n -> System.getenv().get("SHARD_" + n));\nlog(System.getenv(tenant + "_QUOTA"));',
+        [(1, "zone", "var_ref"), (2, '"SHARD_" + n', "dynamic"), (3, 'tenant + "_QUOTA"', "dynamic")],
     ),
 }
 
