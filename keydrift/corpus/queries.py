@@ -80,6 +80,16 @@ on_scan(
       'ignored_missing': ignored_missing, 'ignored_from_folders': ignored_from_folders}}) AS string) AS report
     FROM summary s""",
 )
+on_scan(
+    "sink_json_lines",
+    lambda s: s.json_lines,
+    f"""{o.WITH_REPORT}
+    SELECT repo_id, CAST(to_json({{'repo_id': repo_id, 'section': section, 'key': key, 'location': location}}) AS string) AS line
+    FROM lines WHERE location IS NOT NULL
+    UNION ALL SELECT repo_id, CAST(to_json({{'repo_id': repo_id, 'section': section, 'key': key}}) AS string) FROM lines WHERE location IS NULL
+    UNION ALL SELECT repo_id, CAST(to_json({{'repo_id': repo_id, 'section': 'summary', 'ignored_missing': ignored_missing,
+      'ignored_from_folders': ignored_from_folders}}) AS string) FROM summary""",
+)
 
 # ------------------------------------------------------------ filters, predicates, paths
 

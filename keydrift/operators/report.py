@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from keydrift.functions.text import format_location, redact_value
 from keydrift.operators.skew import hot_groups, spread_join
 
-# Report rows per JSON document; larger repositories get several documents.
-ROWS_PER_DOCUMENT = 50_000
-
 MISSING, PARTIAL, UNUSED = "missing", "partial_matches", "unused"
 
 
@@ -39,13 +36,25 @@ def report_rows(
     )
 
 
-def with_document_part(rows: DataFrame, limit: int = ROWS_PER_DOCUMENT) -> DataFrame:
-    """Number of the document a report row goes to.
+def json_lines(rows: DataFrame, summary: DataFrame) -> DataFrame:
+    """repo_id, line: a JSON object for each report row and one with the counters of each repository.
+
+    The layout is the same for every size, and nothing is shuffled or gathered for it.
+    """
+    places = rows.select("repo_id", F.to_json(F.struct("repo_id", "section", "key", "location")).alias("line"))
+    counters = F.struct("repo_id", F.lit("summary").alias("section"), "ignored_missing", "ignored_from_folders")
+    return places.unionByName(summary.select("repo_id", F.to_json(counters).alias("line")))
+
+
+def with_document_part(rows: DataFrame, limit: int | None = None) -> DataFrame:
+    """Number of the nested document a report row goes to.
 
-    A repository with up to ``limit`` rows is one document. A larger one is
-    spread by hash over as many as it needs, so neither a hot repository nor a
-    hot key is ever gathered in one task; every row is in exactly one document.
+    Without ``limit`` a repository is one document. With it, one of more rows is
+    spread by hash over as many documents as it needs, so that neither a hot
+    repository nor a hot key is gathered in one task; every row is in exactly one.
     """
+    if limit is None:
+        return rows.withColumn("part", F.lit(0))
     counts = rows.groupBy("repo_id").agg(F.count(F.lit(1)).alias("n"))
     parts = counts.select("repo_id", F.ceil(F.col("n") / limit).cast("int").alias("parts"))
     spread = ["section", "key", "location"]
@@ -59,7 +68,7 @@ def group_locations(rows: DataFrame) -> DataFrame:
     return rows.groupBy("repo_id", "part", "section", "key").agg(located.alias("locations"))
 
 
-def json_report(rows: DataFrame, summary: DataFrame, limit: int = ROWS_PER_DOCUMENT) -> DataFrame:
+def json_report(rows: DataFrame, summary: DataFrame, limit: int | None = None) -> DataFrame:
     """repo_id, part, report: one JSON document per repository, or per part of a large one.
 
     Every document has the same five fields; keys ascend by bytes, locations as
@@ -97,5 +106,5 @@ def sort_keys(df: DataFrame) -> DataFrame:
 
 
 def write_json(report: DataFrame, path: str) -> None:
-    """One JSON line per document, written in parallel."""
-    report.select("report").write.mode("overwrite").text(path)
+    """One JSON line per document or ``json_lines`` row, written in parallel."""
+    report.select("report" if "report" in report.columns else "line").write.mode("overwrite").text(path)

@@ -7,21 +7,21 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Rows of a group from which it is cut into parts. The option changes the plan only, never the result.
 HOT_ROWS = 1_000_000
-MAX_HOT = 2_000
 
 
 def hot_groups(counts: DataFrame, keys: Sequence[str], n: str = "n", hot_rows: int = HOT_ROWS) -> DataFrame:
-    """The heaviest groups and the number of parts each is split into.
+    """Every group of more than ``hot_rows`` rows and the number of parts it is split into.
 
-    ``counts`` has one row per group. At most ``MAX_HOT`` groups come back, so
-    the result can always be broadcast; any group left out holds at most one
-    in ``MAX_HOT`` of all rows and needs no splitting. Groups are named by a
-    hash: a collision only splits a group that did not need it.
+    ``counts`` has one row per group. There is at most one such group for every
+    ``hot_rows`` rows counted, twelve bytes each, which bounds what is broadcast:
+    a million entries for 10^12 rows. Groups are named by a hash: a collision
+    only splits a group that did not need it.
     """
     parts = F.ceil(F.max(n) / hot_rows).cast("int")
     heavy = counts.filter(F.col(n) > hot_rows).groupBy(F.xxhash64(*keys).alias("_group"))
-    return heavy.agg(parts.alias("_parts")).orderBy(F.desc("_parts"), "_group").limit(MAX_HOT)
+    return heavy.agg(parts.alias("_parts"))
 
 
 def spread_join(

@@ -25,12 +25,13 @@ class ScanOptions:
     skip_unused: bool = False
     no_dynamic: bool = False
     rules_file: str = RULES_FILE
-    rows_per_document: int = report.ROWS_PER_DOCUMENT
+    rows_per_document: int | None = None
 
 
 class DriftScan:
-    """Lazy plan over ``source_files`` (repo_id, path, content) and exported names (repo_id, key).
+    """Results over ``source_files`` (repo_id, path, content) and exported names (repo_id, key).
 
+    Nothing runs until a result is asked for; asking starts the jobs that write what it stands on.
     Text is read twice at most, once as code and once as config, in narrow
     projections that never shuffle it. The small tables that several results
     read (``usages``, ``env``, ``ledger``, ``groups``) are written once.
@@ -120,7 +121,13 @@ class DriftScan:
         flags = self.options.skip_unused, self.options.no_dynamic
         return report.report_rows(self.missing, self.partial_matches, self.unused, *flags)
 
+    @cached_property
+    def json_lines(self) -> DataFrame:
+        """The report in the layout for every size: one line for each listed place, one for each repository."""
+        return report.json_lines(self.report_rows, self.summary)
+
     @cached_property
     def json_report(self) -> DataFrame:
+        """The nested view: a document per repository, or several where ``rows_per_document`` asks for it."""
         rows = stage(self.report_rows, "report")
         return report.json_report(rows, self.summary, self.options.rows_per_document)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,10 +13,17 @@ _own_dir: list[str] = []
 
 
 def staging_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a local folder only where none is set (tests)."""
-    configured = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(CHECKPOINT_DIR, None)
+    """``spark.checkpoint.dir`` of the session, or the context's checkpoint folder.
+
+    A local master is one process and may do without; anywhere else executors
+    would write to disks of their own, so a missing setting is an error.
+    """
+    context = spark.sparkContext
+    configured = spark.conf.get(CHECKPOINT_DIR, None) or context.getConf().get(CHECKPOINT_DIR, None) or context.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+        raise ValueError(f"set {CHECKPOINT_DIR} to a folder that the driver and all executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="keydrift-"))
     return _own_dir[0]
