@@ -24,7 +24,7 @@ from keydrift.llm import tables
 
 BITS = 18
 GRAMS = (3, 5)
-FIT_ROWS = 6000
+FIT_ROWS = 4000
 COST = 1.0
 ROUNDS = 12
 FOLDS = 5
@@ -89,7 +89,7 @@ def dual_descent(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, cost:
     """Weights of the linear hinge-loss model, the intercept last; classes weigh alike in sum."""
     w = np.zeros((1 << BITS) + 1)
     alpha, rng = np.zeros(len(rows)), np.random.default_rng(7)
-    values = [_scaled(c, ratio) for c in rows]
+    values = [_scaled(c, ratio).astype(np.float32) for c in rows]
     norm = np.array([v @ v + 1 for v in values])
     share = {c: max(1, (y == c).sum()) / max(1, len(y)) * 2 for c in (-1, 1)}
     top = np.array([cost / share[c] for c in y])
@@ -125,7 +125,8 @@ def train(docs: DataFrame, labels: DataFrame, training: Column, fit_rows: int =
     texts = docs.select("doc_id", "text")
     labels = labels.where(training & F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").cast("int").alias("quality"))
     counts = (
-        texts.join(labels, "doc_id").select("text", "quality")
+        # shuffled at every size: whether the labels are few enough to be sent depends on the corpus
+        texts.join(labels.hint("merge"), "doc_id").select("text", "quality")
         .mapInArrow(_class_counts, "column long, n0 long, n1 long")
         .groupBy("column").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     )
