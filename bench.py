@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import statistics
+import tempfile
 import time
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +31,7 @@ def main() -> None:
         .config("spark.driver.memory", os.environ.get("BENCH_MEMORY", "16g"))
         # many small input files: pack scan tasks by bytes, not by the default 4 MB per file
         .config("spark.sql.files.openCostInBytes", str(64 << 10))
+        .config("spark.checkpoint.dir", os.environ.get("STAGING_DIR") or tempfile.mkdtemp(prefix="keydrift-"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
