@@ -12,8 +12,9 @@
    as soon as the budget of one of its sets suffices, since both index what the other looks up.
 4. *Postings.* Signatures meet in hash buckets as packed blocks; those of one set alone are dropped there.
 5. *Verification.* Each group of sets with a signature in common links its members to its smallest one; candidates that
-   pass size and sketch are verified on the whole sets, and links are joined into components. Only groups that still span
-   several components compare the rest of their pairs by sketch, large ones in blocks, and verify those that pass.
+   pass size and sketch are verified on the whole sets, and links are joined into components. In groups that still span
+   several components, compared by sketch in blocks, the closest pair of each two components is tried, as long as that
+   joins many; at last all pairs across components that pass the sketch are verified.
 
 Pairs are never emitted for a whole group; a group inside one component needs no more than its links to one member.
 
@@ -39,6 +40,8 @@ WORDS = 5
 SIMILAR = (75, 100)
 #: Members of a group that one task compares by sketch; larger groups are cut into blocks of this size.
 GROUP = 1000
+#: Pairs that are held in memory at a time while a task compares sketches.
+PAIRS = 500_000
 #: Signatures of a bucket, and of a packed block.
 BUCKET = 2_000_000
 #: Identifiers that may be broadcast: 8 bytes each.
@@ -261,32 +264,76 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], ["id", "set"])
 
 
-def _blocks(table: pa.Table) -> pa.Table:
-    """Pairs of different components, in one cell of one group each, that pass size and sketch."""
-    sig, cell = table.column("sig").to_numpy(), table.column("cell").to_numpy()
-    order = np.lexsort((cell, sig))
-    table = table.take(pa.array(order))
-    sig, cell = sig[order], cell[order]
-    ids, comp, n, block, side = (table.column(c).to_numpy() for c in ("id", "comp", "n", "block", "side"))
-    odd = table.column("odd").to_pylist()
-    cut = np.flatnonzero(np.r_[True, (sig[1:] != sig[:-1]) | (cell[1:] != cell[:-1])])
-    a, b = [], []
-    for start, end in zip(cut, np.r_[cut[1:], len(sig)], strict=True):
-        if end - start < 2:
-            continue
-        size = min(len(odd[k]) for k in range(start, end)) // 8
-        m = np.stack([folded(np.frombuffer(odd[k], np.uint64), size) for k in range(start, end)])
-        i, c, s, blk, other = ids[start:end], comp[start:end], n[start:end], block[start:end], side[start:end]
-        for k in range(len(i) - 1):
-            later = slice(k + 1, None)
-            ok = _fits(s[later], s[k], np.bitwise_count(m[later] ^ m[k]).sum(axis=1, dtype=np.int64)) & (c[later] != c[k])
+def _cell_pairs(start: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row pairs inside runs of rows, some millions at a time."""
+    shape: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    p, q, waiting = [], [], 0
+    for at, g in zip(start.tolist(), size.tolist(), strict=True):
+        if g not in shape:
+            shape[g] = np.triu_indices(g, 1)
+        p.append(shape[g][0] + at)
+        q.append(shape[g][1] + at)
+        waiting += len(shape[g][0])
+        if waiting >= PAIRS:
+            yield np.concatenate(p), np.concatenate(q)
+            p, q, waiting = [], [], 0
+    if p:
+        yield np.concatenate(p), np.concatenate(q)
+
+
+def _distances(odd: list[bytes], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sketch distances of pairs of sets, by index, the larger sketch folded to the smaller one's size."""
+    words = np.array([len(o) for o in odd], np.int64) // 8
+    least, out = np.minimum(words[a], words[b]), np.zeros(len(a), np.int64)
+    for size in np.unique(least).tolist():
+        at = np.flatnonzero(least == size)
+        used, where = np.unique(np.concatenate([a[at], b[at]]), return_inverse=True)
+        m = np.stack([folded(np.frombuffer(odd[k], np.uint64), size) for k in used])
+        step = max(1, PAIRS // size)
+        for k in range(0, len(at), step):
+            x, y = where[: len(at)][k : k + step], where[len(at) :][k : k + step]
+            out[at[k : k + step]] = np.bitwise_count(m[x] ^ m[y]).sum(axis=1, dtype=np.int64)
+    return out
+
+
+def _compared(closest: bool):
+    """Compares the members of each cell of a group by size and sketch, across components, and gives candidate pairs.
+
+    ``closest``: of each two components the closest pair only; otherwise every pair that passes.
+    """
+
+    def compare(table: pa.Table) -> pa.Table:
+        sig, cell = table.column("sig").to_numpy(), table.column("cell").to_numpy()
+        order = np.lexsort((cell, sig))
+        table, sig, cell = table.take(pa.array(order)), sig[order], cell[order]
+        ids, comp, n, block, side = (table.column(c).to_numpy() for c in ("id", "comp", "n", "block", "side"))
+        # a node of several sets (rows that share a doc_id) is looked up by its row
+        key, first, row = np.unique(np.stack([ids, n]), axis=1, return_index=True, return_inverse=True)
+        odd = table.column("odd").take(pa.array(first)).to_pylist()
+        row = row.ravel()
+        cut = np.flatnonzero(np.r_[True, (sig[1:] != sig[:-1]) | (cell[1:] != cell[:-1])])
+        size = np.diff(np.r_[cut, len(sig)])
+        mixed_cell = np.maximum.reduceat(comp, cut) != np.minimum.reduceat(comp, cut)
+        found = [np.zeros((3, 0), np.int64)]
+        for p, q in _cell_pairs(cut[mixed_cell], size[mixed_cell]):
             # a cell of two blocks compares across them, a cell of one inside it
-            ok &= (blk[k] == other[k]) | (blk[later] != blk[k])
-            hit = i[later][ok]
-            a.append(np.minimum(hit, i[k]))
-            b.append(np.maximum(hit, i[k]))
-    join = lambda x: np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)[x] if a else np.zeros(0, np.int64)
-    return pa.table({"a": join(0), "b": join(1)})
+            ok = (comp[p] != comp[q]) & _fits(n[p], n[q], np.zeros(len(p), np.int64)) & ((block[p] == side[p]) | (block[p] != block[q]))
+            p, q = p[ok], q[ok]
+            pair = np.unique(np.minimum(row[p], row[q]) * len(first) + np.maximum(row[p], row[q]))
+            x, y = pair // len(first), pair % len(first)
+            distance = _distances(odd, x, y)
+            ok = _fits(key[1][x], key[1][y], distance)
+            found.append(np.stack([first[x[ok]], first[y[ok]], distance[ok]]))
+        x, y, distance = np.concatenate(found, axis=1)
+        if closest and len(x):
+            lo, hi = np.minimum(comp[x], comp[y]), np.maximum(comp[x], comp[y])
+            order = np.lexsort((distance, hi, lo))
+            new = np.r_[True, (lo[order][1:] != lo[order][:-1]) | (hi[order][1:] != hi[order][:-1])]
+            x, y = x[order[new]], y[order[new]]
+        pairs = np.unique(np.stack([np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])]), axis=1)
+        return pa.table({"a": pairs[0], "b": pairs[1]})
+
+    return compare
 
 
 def only(docs: DataFrame, ids: DataFrame, column: str, how: str) -> DataFrame:
@@ -328,7 +375,7 @@ def components(edges: DataFrame) -> DataFrame:
     return tables.stored(ends.union(ends.select(F.col("comp").alias("id"), "comp").distinct()))
 
 
-def _unsettled(groups: DataFrame, comp: DataFrame, nodes: DataFrame) -> DataFrame:
+def _unsettled(groups: DataFrame, comp: DataFrame, nodes: DataFrame, closest: bool) -> DataFrame:
     """Candidate edges inside groups that span several components."""
     rows = groups.join(comp, "id", "left").select("sig", "id", F.coalesce("comp", "id").alias("comp"))
     spread = rows.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("g"))
@@ -339,9 +386,25 @@ def _unsettled(groups: DataFrame, comp: DataFrame, nodes: DataFrame) -> DataFram
         "sig", "id", "comp", "block", F.col("o").alias("side"), (F.least("block", "o") * F.col("k") + F.greatest("block", "o")).alias("cell")
     )
     rows = rows.join(nodes.select("id", "n", "odd"), "id")
-    parts = tables.cut_buckets(groups.select("sig"), 100_000)
+    parts = tables.cut_buckets(groups.select("sig"), 50_000)
     rows = rows.withColumn("part", F.pmod(F.xxhash64("sig", "cell"), F.lit(parts)))
-    return rows.groupBy("part").applyInArrow(_blocks, "a long, b long").distinct()
+    return rows.groupBy("part").applyInArrow(_compared(closest), "a long, b long").distinct()
+
+
+def _links(docs: DataFrame, nodes: DataFrame, groups: DataFrame) -> DataFrame:
+    """Links enough to join every two sets that links join: first to the smallest member of each group, then the closest
+    pair of each two components that share one, again as long as a tenth of these are links; at last all pairs that are
+    left and may be links."""
+    tried = tables.stored(groups.where("id != first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct())
+    links = _confirmed(docs, nodes, tried)
+    closest = True
+    while True:
+        more = tables.stored(_unsettled(groups, components(links), nodes, closest).join(tried, ["a", "b"], "left_anti"))
+        found = _confirmed(docs, nodes, more)
+        links = tables.stored(links.union(found))
+        if not closest:
+            return links
+        tried, closest = tables.stored(tried.union(more)), 10 * found.count() > more.count()
 
 
 def linked(docs: DataFrame) -> DataFrame:
@@ -358,10 +421,7 @@ def linked(docs: DataFrame) -> DataFrame:
     one = only(docs.where("doc_id is not null"), tables.stored(copies), "doc_id", "left_anti")
     index = one.mapInArrow(_indexed(largest, buckets), "bucket long, sigs binary, ids binary")
     groups = tables.stored(index.groupBy("bucket").applyInArrow(_grouped, "sig long, id long, first long"))
-    star = groups.where("id != first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
-    edges = _confirmed(one, nodes, star)
-    more = _confirmed(one, nodes, _unsettled(groups, components(edges), nodes))
-    comp = components(edges.union(more))
+    comp = components(_links(one, nodes, groups))
     rows = profile.alias("p").join(equal.select("n", "f1", "f2", "id"), ["n", "f1", "f2"], "left").join(comp, "id", "left")
     own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("comp", "id"))
     return rows.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
