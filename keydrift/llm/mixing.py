@@ -139,7 +139,8 @@ def mixed(docs: DataFrame, more: tuple[str, ...] = ()) -> tuple[DataFrame, DataF
     same = F.col("d.source").eqNullSafe(F.col("p.source"))
     placed = packed(sizes).alias("d").join(plan.alias("p"), same).select("d.*", "sid", "source_size", "target")
     placed = tables.stored(placed.drop("bucket", "inside"))
-    taken = pieces(placed).join(slots(plan), ["sid", "block"]).select(
+    # the planner takes the slots for as few as the sources they are expanded from: both sides must be shuffled
+    taken = pieces(placed).join(slots(plan).hint("merge"), ["sid", "block"]).select(
         "sid", "start", "word", (F.least("hi", "take") - F.col("lo")).alias("words"), "pass", "slot", "out_shard"
     )
     return placed, taken.where("words > 0")
@@ -154,18 +155,20 @@ def mixed_texts(docs: DataFrame) -> DataFrame:
     )
     # rows that agree in (doc_id, tie) are told apart by their rank on either side
     keyed = ("doc_id", "tie")
-    texts = docs.withColumn("tie", tables.crc(F.col("text"))).where(tables.n_words(F.col("text")) > 0)
-    texts = texts.withColumn("_rank", F.row_number().over(Window.partitionBy(*keyed).orderBy("source", "lang")))
-    ranks = placed.where("size > 0").withColumn("_rank", F.row_number().over(Window.partitionBy(*keyed).orderBy("source", "start")))
-    rows = ranks.join(spans, ["sid", "start"]).select(*keyed, "size", "pass", "words", "spans", "_rank")
-    w = tables.words(F.col("text"))
-    part = F.array_join(F.flatten(F.transform("spans", lambda s: F.slice(w, s["word"].cast("int") + 1, s["words"].cast("int")))), " ")
-    text = F.when(F.col("words") == F.col("size"), F.col("text")).otherwise(part)
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    texts = docs.where(tables.n_words(F.col("text")) > 0).select(row, "doc_id", tables.crc(F.col("text")).alias("tie"))
+    texts = texts.withColumn("rank", F.row_number().over(Window.partitionBy(*keyed).orderBy("row.source")))
+    ranks = placed.where("size > 0").withColumn("rank", F.row_number().over(Window.partitionBy(*keyed).orderBy("source", "start")))
+    rows = ranks.join(spans, ["sid", "start"]).select(*keyed, "size", "pass", "words", "spans", "rank")
+    w = tables.words(F.col("t.row.text"))
+    cut = lambda s, all_: F.slice(all_, s["word"].cast("int") + 1, s["words"].cast("int"))
+    part = F.transform(F.array(w), lambda all_: F.array_join(F.flatten(F.transform("spans", lambda s: cut(s, all_))), " "))[0]
+    text = F.when(F.col("words") == F.col("size"), F.col("t.row.text")).otherwise(part)
     same = F.col("t.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("t.tie") == F.col("r.tie"))
-    same &= F.col("t._rank") == F.col("r._rank")
-    joined = texts.alias("t").join(rows.alias("r"), same).withColumn("_text", text)
-    value = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
-    return joined.select(*(value.get(c, F.col(f"t.`{c}`")).alias(c) for c in docs.columns))
+    same &= F.col("t.rank") == F.col("r.rank")
+    joined = texts.alias("t").join(rows.alias("r"), same).select("row", text.alias("text"))
+    value = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return joined.select(*(value.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
