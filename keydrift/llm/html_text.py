@@ -8,12 +8,14 @@ all below them stay under the cut are noise on that host.
 
 What HTML itself declares is taken at its word, on hosts of any number of pages: elements for navigation, forms, scripts
 and the like are no content, and an ``article`` or ``main`` is, however often its text occurs. The tree decides on all
-other branches.
+other branches. A word of class, id or role ("sidebar") is evidence only. It never removes what holds an ``article``,
+``main`` or ``body``; any other branch goes if the tree confirms it by an importance under ``NAMED_CUT``, or if it stands
+outside the page's article and holds less text than that.
 
 Per host only (path, importance) pairs are kept; texts count as hashes, and no page is gathered with others.
 
 Defined cases: null or empty html gives an empty text; a null or odd url is a host of its own kind; a host with one page
-has no repetition, so only the declared elements are removed; repeated rows count as pages each; broken markup is read as
+has no repetition, so only the declared elements, and named ones beside a longer article, are removed; repeated rows count as pages each; broken markup is read as
 browsers do in the common cases (open paragraphs, stray end tags, an unclosed comment); extra columns are not read.
 """
 
@@ -31,6 +33,8 @@ from pyspark.sql import functions as F
 from keydrift.llm import tables
 
 CUT = 0.25
+#: The same for branches that a word names: no text of theirs is a single page's own, on average.
+NAMED_CUT = 0.8
 DAMPING = 0.9
 #: Element names of the HTML standard.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -45,7 +49,7 @@ DECLARED = set(
 )
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}}
-#: Words of class, id and role that name what is no article.
+#: Words of class, id and role that may name what is no article.
 NAMED = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu|breadcrumbs?|sidebar|footer|masthead|cookies?|consent|"
     r"notice|newsletter|subscribe|share|social|related|comments?|disqus|replies|popup|modal|pagination|search)(?:$|[\s_-])",
@@ -56,17 +60,20 @@ ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'
 
 
 class Page:
-    """One reading of a page: text blocks with the path and declared state of the element that holds them, and the
-    children of every element."""
+    """One reading of a page: text blocks with the path and declared state of the element that holds them, the children
+    of every element, and the branches that a word names."""
 
     def __init__(self, html: str):
         self.blocks: list[tuple[str, bool, bool, str]] = []  # path, declared noise, inside an article, text
+        self.under: list[tuple[int, ...]] = []  # of each block: the named branches it stands in
+        self.named: list[tuple[str, bool]] = []  # path, inside an article
+        self.wrappers: set[int] = set()  # the named branches that hold an article
         self.children: dict[str, list[tuple[str, ...]]] = {}
         self._read(html)
 
     def _read(self, html: str) -> None:
-        # an element: name, path, noise, protected, labels of its children
-        stack: list[tuple[str, str, bool, bool, list[str]]] = [("", "", False, False, [])]
+        # an element: name, path, noise, protected, labels of its children, named branches, a word on an inline element above
+        stack: list[tuple[str, str, bool, bool, list[str], tuple[int, ...], bool]] = [("", "", False, False, [], (), False)]
         parts: list[str] = []
 
         def flush() -> None:
@@ -76,9 +83,10 @@ class Page:
                 if text:
                     holder = next(e for e in reversed(stack) if e[0] in BLOCKS or not e[0])
                     self.blocks.append((holder[1], holder[2] or stack[-1][2], holder[3], text))
+                    self.under.append(holder[5])
 
         def pop() -> None:
-            name, path, *_, labels = stack[-1]
+            name, path, labels = stack[-1][0], stack[-1][1], stack[-1][4]
             if name in BLOCKS:
                 flush()
                 self.children.setdefault(path, []).append(tuple(labels))
@@ -140,28 +148,48 @@ class Page:
             classes = sorted(set(re.sub(r"[0-9]+", "0", marks.get("class", "")).split()))
             label = name + "".join(f".{c}" for c in classes) + ("#" + re.sub(r"[0-9]+", "0", marks["id"]) if marks.get("id") else "")
             up = stack[-1]
-            named = any(NAMED.search(v) for v in marks.values())
-            article = up[3] or (name in ("article", "main") and not named)
-            noise = up[2] or name in DECLARED or named or (name == "header" and not up[3])
+            whole = name in ("article", "main", "body", "html")
+            named = not whole and (up[6] or any(NAMED.search(v) for v in marks.values()))
+            article = up[3] or name in ("article", "main")
+            noise = up[2] or name in DECLARED or (name == "header" and not up[3])
+            if whole and name != "html":
+                self.wrappers.update(up[5])
             if name in BLOCKS:
                 up_block = next(e for e in reversed(stack) if e[0] in BLOCKS or not e[0])
                 up_block[4].append(label)
-                stack.append((name, f"{up_block[1]}>{label}", noise, article, []))
+                path, under = f"{up_block[1]}>{label}", up[5]
+                if named:
+                    under += (len(self.named),)
+                    self.named.append((path, up[3]))
+                stack.append((name, path, noise, article, [], under, False))
             else:
-                stack.append((name, up[1], noise, article, []))
+                # an inline element is no branch: its word names the blocks below it
+                stack.append((name, up[1], noise, article, [], up[5], named))
         while len(stack) > 1:
             pop()
         flush()
 
-    def text(self, noise: set[str]) -> str:
-        """The blocks outside declared and noisy branches, one a line."""
+    def text(self, noise: set[str], named: set[str] | None = None) -> str:
+        """The blocks outside declared and noisy branches, one a line. ``named``: the named branches that the tree
+        confirms; without a tree (None) words stand alone."""
+        size, articles = [0] * len(self.named), 0
+        for (_, declared, article, text), under in zip(self.blocks, self.under, strict=True):
+            articles += len(text) * (article and not declared)
+            for k in under:
+                size[k] += len(text)
 
-        def kept(path: str, declared: bool, article: bool) -> bool:
-            if declared:
+        def removed(k: int) -> bool:
+            path, inside = self.named[k]
+            return k not in self.wrappers and (named is None or path in named or (not inside and size[k] < articles))
+
+        gone = {k for k in range(len(self.named)) if removed(k)}
+
+        def kept(path: str, declared: bool, article: bool, under: tuple[int, ...]) -> bool:
+            if declared or not gone.isdisjoint(under):
                 return False
             return article or not any(path == n or path.startswith(f"{n}>") for n in noise)
 
-        return "\n".join(t for path, declared, article, t in self.blocks if kept(path, declared, article))
+        return "\n".join(t for (path, declared, article, t), under in zip(self.blocks, self.under, strict=True) if kept(path, declared, article, under))
 
 
 def host_of(url: Column) -> Column:
@@ -176,13 +204,15 @@ def _hash(value: object) -> int:
 
 
 def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, path, kind, feature, pages): pages of the batch that show a style (kind 0) or a text (kind 1) of an element."""
+    """(host, path, kind, feature, pages): pages of the batch that show a style (kind 0) or a text (kind 1) of an element,
+    or name it by a word (kind 3)."""
     for batch in batches:
         seen: Counter = Counter()
         for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
             page = Page(html or "")
             facts = {(host, p, 0, _hash(c)) for p, all_ in page.children.items() for c in all_}
             facts |= {(host, p, 1, _hash(t)) for p, _, _, t in page.blocks}
+            facts |= {(host, p, 3, 0) for p, _ in page.named}
             facts.add((host, "", 2, 0))
             seen.update(facts)
         columns = list(zip(*seen, strict=True)) or [[], [], [], []]
@@ -200,13 +230,13 @@ def importances(pages: DataFrame) -> DataFrame:
     """(host, path, kind, shown, m, value): the entropy-based importances of each element.
 
     Presentation (kind 0): -sum p log_m p over its styles, p a style's share and m the host's pages; content (kind 1):
-    1 - mean of log_m (pages that have the text) over its texts. Both are 1 where m is 1.
+    1 - mean of log_m (pages that have the text) over its texts. Both are 1 where m is 1. Kind 3 has the named branches.
     """
     facts = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(_facts, "host string, path string, kind int, feature long, pages long")
     counted = facts.groupBy("host", "path", "kind", "feature").agg(F.sum("pages").alias("n"))
     counted = tables.stored(counted)
     m = counted.where("kind = 2").groupBy("host").agg(F.sum("n").alias("m"))
-    each = counted.where("kind < 2").groupBy("host", "path", "kind").agg(
+    each = counted.where("kind != 2").groupBy("host", "path", "kind").agg(
         F.sum("n").alias("shown"), F.sum(F.col("n") * F.log2("n")).alias("nlogn"), F.avg(F.log2("n")).alias("logn")
     )
     rows = each.join(m, "host")
@@ -215,8 +245,8 @@ def importances(pages: DataFrame) -> DataFrame:
     return rows.select("host", "path", "kind", "shown", "m", value.alias("value"))
 
 
-def noise_of(rows: list[tuple[str, int, float]], cut: float = CUT) -> list[str]:
-    """The topmost noisy branches of one host's tree, from (path, kind, value)."""
+def highest_of(rows: list[tuple[str, int, float]]) -> dict[str, float]:
+    """The highest importance in each branch of one host's tree, from (path, kind, value)."""
     style = {p: v for p, k, v in rows if k == 0}
     content = {p: v for p, k, v in rows if k == 1}
     below: dict[str, list[str]] = {}
@@ -232,20 +262,34 @@ def noise_of(rows: list[tuple[str, int, float]], cut: float = CUT) -> list[str]:
         inner = sum(kids) / len(kids) if kids else 0.0
         value[p] = (1 - damped) * style.get(p, 0.0) + damped * inner if below.get(p) else inner
         highest[p] = max([value[p], *own, *(highest[c] for c in below.get(p, []))])
-    noisy = {p for p in every if highest[p] < cut}
+    return highest
+
+
+def noise_of(rows: list[tuple[str, int, float]], cut: float = CUT) -> list[str]:
+    """The topmost noisy branches of one host's tree, from (path, kind, value)."""
+    return _topmost(highest_of(rows), cut)
+
+
+def _topmost(highest: dict[str, float], cut: float) -> list[str]:
+    noisy = {p for p, v in highest.items() if v < cut}
     return sorted(p for p in noisy if p.rpartition(">")[0] not in noisy)
 
 
 def _noise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [noise_of([(r["path"], r["kind"], r["value"]) for r in rows]) for rows in batch.column("tree").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(found, pa.list_(pa.string()))], ["host", "noise"])
+        found, confirmed = [], []
+        for rows in batch.column("tree").to_pylist():
+            highest = highest_of([(r["path"], r["kind"], r["value"]) for r in rows])
+            found.append(_topmost(highest, CUT))
+            confirmed.append(sorted(r["path"] for r in rows if r["kind"] == 3 and highest.get(r["path"], 1.0) < NAMED_CUT))
+        lists = [pa.array(x, pa.list_(pa.string())) for x in (found, confirmed)]
+        yield pa.RecordBatch.from_arrays([batch.column("host"), *lists], ["host", "noise", "named"])
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = zip(batch.column("html").to_pylist(), batch.column("noise").to_pylist(), strict=True)
-        texts = [Page(h or "").text(set(n or ())) for h, n in rows]
+        rows = zip(*(batch.column(c).to_pylist() for c in ("html", "noise", "named")), strict=True)
+        texts = [Page(h or "").text(set(n or ()), set(w or ())) for h, n, w in rows]
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
 
@@ -254,9 +298,9 @@ def extracted(pages: DataFrame) -> DataFrame:
     pages = pages.select("page_id", "url", "html")
     # a host's tree holds what its templates have, not its pages
     trees = importances(pages).groupBy("host").agg(F.collect_list(F.struct("path", "kind", "value")).alias("tree"))
-    noise = trees.mapInArrow(_noise, "host string, noise array<string>").where(F.size("noise") > 0)
+    noise = trees.mapInArrow(_noise, "host string, noise array<string>, named array<string>").where("size(noise) > 0 or size(named) > 0")
     noise = tables.stored(noise)
-    rows = pages.withColumn("host", host_of(F.col("url"))).join(noise, "host", "left").select("page_id", "url", "html", "noise")
+    rows = pages.withColumn("host", host_of(F.col("url"))).join(noise, "host", "left").select("page_id", "url", "html", "noise", "named")
     return rows.mapInArrow(_extracted, "page_id long, url string, text string")
 
 
