@@ -28,8 +28,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def resharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row's place in shards of equal bytes, with what identifies it."""
-    return sharding.documents_resharded(sharding.sized(docs, "lang", "n_chars"))
+    """The rows of the rewritten shards, of equal bytes, with their texts and places."""
+    return sharding.documents_rewritten(docs, "lang", "n_chars", "text")
 
 
 STAGES = [

@@ -22,6 +22,7 @@ from keydrift.llm import tables
 
 SHARDS = 8
 BLOCKS = 512
+ADDED = ("old_shard", "shard", "slot")
 
 
 def minimum_cost_flow(supply: list[int], capacity: list[int], cost=lambda s, t: int(s != t)) -> dict[tuple[int, int], int]:
@@ -104,16 +105,31 @@ def equal_capacities(total: int, shards: int) -> list[int]:
     return [total // shards + (t < total % shards) for t in range(shards)]
 
 
+def _block(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(BLOCKS)).cast("int")
+
+
 def reshard(rows: DataFrame, old_shard: Column, size: Column, key: Column, tie: list[Column], capacity=None) -> DataFrame:
     """The rows with ``shard`` and ``slot``. ``capacity``: bytes of each new shard; equal ones if none. ``tie``: what
     orders rows of a block, beside the key."""
-    spark, columns = rows.sparkSession, [F.col(f"`{c}`") for c in rows.columns if c not in ("old_shard", "shard", "slot")]
+    columns = [F.col(f"`{c}`") for c in rows.columns if c not in ADDED]
     work = tables.stored(
         rows.select(
             F.struct(*columns).alias("row"), old_shard.cast("int").alias("old"), size.cast("long").alias("size"),
-            F.pmod(F.xxhash64(key), F.lit(BLOCKS)).cast("int").alias("block"), F.struct(key, *tie).alias("tie"),
+            _block(key).alias("block"), F.struct(key, *tie).alias("tie"),
         )
     )
+    plan = transfer_plan(work, capacity)
+    at = F.row_number().over(Window.partitionBy("old", "block").orderBy("tie")).cast("long")
+    return (
+        work.withColumn("at", at)
+        .join(F.broadcast(plan), ["old", "block"])
+        .select("row.*", F.col("old").alias("old_shard"), "shard", (F.col("first") + F.col("at") - 1).alias("slot"))
+    )
+
+
+def transfer_plan(work: DataFrame, capacity: list[int] | None = None) -> DataFrame:
+    """old, block, shard and the block's first slot, from rows with old, block and size."""
     # shards x BLOCKS rows at most, whatever the table's size
     sums = work.groupBy("old", "block").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()
     sums.sort(key=lambda r: (r["old"], r["block"]))
@@ -124,13 +140,7 @@ def reshard(rows: DataFrame, old_shard: Column, size: Column, key: Column, tie:
         t = to[r["old"], r["block"]]
         first.append((r["old"], r["block"], t, filled[t]))
         filled[t] += r["n"]
-    plan = spark.createDataFrame(first, "old int, block int, shard int, first long")
-    at = F.row_number().over(Window.partitionBy("old", "block").orderBy("tie")).cast("long")
-    return (
-        work.withColumn("at", at)
-        .join(F.broadcast(plan), ["old", "block"])
-        .select("row.*", F.col("old").alias("old_shard"), "shard", (F.col("first") + F.col("at") - 1).alias("slot"))
-    )
+    return work.sparkSession.createDataFrame(first, "old int, block int, shard int, first long")
 
 
 def rewrite(spark: SparkSession, old: dict[int, str], assigned: DataFrame, target: str) -> dict[int, list[str]]:
@@ -142,19 +152,25 @@ def rewrite(spark: SparkSession, old: dict[int, str], assigned: DataFrame, targe
     pairs = [tuple(r) for r in assigned.select("old_shard", "shard").distinct().collect()]  # shards x shards at most
     losing = {s for s, t in pairs if s != t}
     change = assigned.where((F.col("old_shard") != F.col("shard")) | F.col("old_shard").isin(sorted(losing)))
-    change.drop("old_shard", "slot").repartition("shard", F.expr("cast(rand(0) * 16 as int)")).write.partitionBy("shard").parquet(target)
+    # no shuffle of the texts: every task writes its part of each shard it has rows of
+    change.drop("old_shard", "slot").write.partitionBy("shard").parquet(target)
     written = {t for s, t in pairs if s != t or s in losing}
     return {
-        t: [old[t]] * (t in old and t not in losing) + [f"{target}/shard={t}"] * (t in written)
+        t: ([old[t]] if t in old and t not in losing else []) + [f"{target}/shard={t}"] * (t in written)
         for t in sorted(set(old) - losing | written)
     }
 
 
+def _old_shard(source: Column) -> Column:
+    """A layout that keeps each source in one shard."""
+    return F.pmod(tables.crc(source), F.lit(SHARDS)).cast("int")
+
+
 def documents_resharded(docs: DataFrame) -> DataFrame:
     """The documents' shards, from a layout that keeps each source in one shard to one of equal bytes."""
     return reshard(
         docs,
-        old_shard=F.pmod(tables.crc(F.col("source")), F.lit(SHARDS)),
+        old_shard=_old_shard(F.col("source")),
         size=F.col("size"),
         key=F.col("doc_id"),
         tie=[F.col("text_crc32"), F.col("size")],
@@ -170,8 +186,40 @@ def sized(docs: DataFrame, *more: str) -> DataFrame:
     )
 
 
+def layout_rewritten(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The documents, texts included, read from the new layout's files, with ``old_shard`` and ``shard``; and the plan.
+
+    The old layout is written first, each source in one shard. The plan follows from its block sizes; a row's shard
+    follows from its old shard and block, so texts meet the plan by a broadcast and are not shuffled.
+    """
+    spark, layout = docs.sparkSession, tables.shared_folder(docs.sparkSession)
+    rows = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in ADDED))
+    rows.withColumn("old_shard", _old_shard(F.col("source"))).write.partitionBy("old_shard").parquet(layout)
+    written = spark.read.schema(rows.withColumn("old_shard", F.lit(0)).schema).parquet(layout)
+    sizes = sized(written, "old_shard").select(F.col("old_shard").alias("old"), "size", _block(F.col("doc_id")).alias("block"))
+    plan = transfer_plan(sizes)
+    same = (F.col("r.old_shard") == F.col("p.old")) & (_block(F.col("r.doc_id")) == F.col("p.block"))
+    assigned = written.alias("r").join(F.broadcast(plan.alias("p")), same).select("r.*", "p.shard")
+    old = {r["old"]: f"{layout}/old_shard={r['old']}" for r in plan.select("old").distinct().collect()}
+    new = spark.createDataFrame([], rows.schema).withColumn("shard", F.lit(0))
+    for shard, folders in rewrite(spark, old, assigned, tables.shared_folder(spark)).items():
+        new = new.unionByName(spark.read.schema(rows.schema).parquet(*folders).withColumn("shard", F.lit(shard)))
+    return new.withColumn("old_shard", _old_shard(F.col("source"))), plan
+
+
+def documents_rewritten(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, source, ``more``, size, text_crc32, old_shard, shard and slot of every row in the new layout's files."""
+    new, plan = layout_rewritten(docs)
+    rows = sized(new, *more, "old_shard", "shard").withColumn("block", _block(F.col("doc_id")))
+    at = F.row_number().over(Window.partitionBy("old_shard", "block").orderBy("doc_id", "text_crc32", "size")).cast("long")
+    first = F.broadcast(plan.select(F.col("old").alias("old_shard"), "block", "first"))
+    kept = [c for c in rows.columns if c not in (*ADDED, "block")]
+    rows = rows.withColumn("at", at).join(first, ["old_shard", "block"])
+    return rows.select(*kept, "old_shard", "shard", (F.col("first") + F.col("at") - 1).alias("slot"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = documents_resharded(sized(tables.table(spark, sf_dir, "documents")))
+    out = documents_rewritten(tables.table(spark, sf_dir, "documents"))
     return out.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"), "old_shard",
