@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from keydrift.functions import paths
 from keydrift.operators.skew import spread_join
 
+# Partition column of ``write_corpus``: no input has it by chance.
+LANGUAGE_PART = "keydrift_language"
+
 # Report order and short names of the languages.
 LANGUAGE_LABELS = {
     "javascript": "js",
@@ -22,10 +25,13 @@ LANGUAGE_LABELS = {
 
 
 def detect_language(source_files: DataFrame) -> DataFrame:
-    """Adds the language by path; a corpus stored with it keeps its own, which prunes partitions."""
-    if "language" in source_files.columns:
-        return source_files
-    return source_files.withColumn("language", paths.detect_language(F.col("path")))
+    """Adds the language by path; a corpus stored by ``write_corpus`` keeps its own, which prunes partitions.
+
+    A column named ``language`` that the input happens to have is replaced.
+    """
+    stored = LANGUAGE_PART in source_files.columns
+    found = F.col(LANGUAGE_PART) if stored else paths.detect_language(F.col("path"))
+    return source_files.withColumn("language", found).drop(LANGUAGE_PART)
 
 
 def filter_known_language(files: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from keydrift.functions import paths
 from keydrift.operators.definitions import AREA, is_config
+from keydrift.operators.files import LANGUAGE_PART
 
 BATCH_BYTES = 64 << 20
 _LISTED = "repo_id string, root string, path string, is_dir boolean"
@@ -110,11 +111,11 @@ def wanted(listed: DataFrame, extra_env_files: Sequence[str] = ()) -> DataFrame:
 def write_corpus(source_files: DataFrame, path: str, extra_env_files: Sequence[str] = ()) -> None:
     """Store ``source_files`` as Parquet, code and config apart.
 
-    ``area`` and ``language`` are partition columns, so reading definitions never touches
+    ``area`` and ``keydrift_language`` are partition columns, so reading definitions never touches
     the code, which is nearly all of the bytes, and one language's code is read alone.
     """
     area = F.when(is_config(F.col("path"), extra_env_files), F.lit("config")).otherwise(F.lit("code"))
-    parts = {AREA: area, "language": paths.detect_language(F.col("path"))}
+    parts = {AREA: area, LANGUAGE_PART: paths.detect_language(F.col("path"))}
     source_files.withColumns(parts).write.mode("overwrite").partitionBy(*parts).parquet(path)
 
 
