@@ -2,7 +2,19 @@
 
 from __future__ import annotations
 
-from keydrift.llm import classifier, decontamination, html_text, mixing, ngram_join, pii, quality, secrets, sharding, token_counts
+from keydrift.llm import (
+    classifier,
+    decontamination,
+    html_text,
+    manifest,
+    mixing,
+    ngram_join,
+    pii,
+    quality,
+    secrets,
+    sharding,
+    token_counts,
+)
 
 QUERIES = {
     "op1_reshard": sharding.query,
@@ -15,10 +27,12 @@ QUERIES = {
     "op8_quality_rules": quality.query,
     "op9_ngram_join": ngram_join.query,
     "op10_find_pii": pii.query,
+    "op13_merkle_manifest": manifest.query,
 }
 
 ORACLE = {
     "op2_decontaminate": decontamination.SQL,
     "op8_quality_rules": quality.SQL,
     "op9_ngram_join": ngram_join.SQL,
+    "op13_merkle_manifest": manifest.SQL,
 }
