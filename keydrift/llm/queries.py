@@ -14,6 +14,8 @@ from keydrift.llm import (
     secrets,
     sharding,
     token_counts,
+    url_filter,
+    whitening,
 )
 
 QUERIES = {
@@ -27,6 +29,8 @@ QUERIES = {
     "op8_quality_rules": quality.query,
     "op9_ngram_join": ngram_join.query,
     "op10_find_pii": pii.query,
+    "op11_filter_urls": url_filter.query,
+    "op12_whiten_embeddings": whitening.query,
     "op13_merkle_manifest": manifest.query,
 }
 
