@@ -54,20 +54,33 @@ SELECT f.*,
        -- the key of the last access stands on the line below its start
        CAST(pad + 4 + CASE WHEN has_dynamic THEN 1 ELSE 0 END + CASE WHEN has_var_ref THEN 1 ELSE 0 END AS int)
          AS late_line,
-       '"' || prefix || '" + ' || v AS expr,
-       CASE WHEN dotted THEN 'let s = process.env.' || k || ';'
-            ELSE 'let s = ' || opening || '"' || k || '"' || closing || ';' END AS static_text,
-       'let d = ' || opening || '"' || prefix || '" + ' || v || closing || ';' AS dynamic_text,
+       'let s = ' || before || access || behind || ';' AS static_text,
+       'let d = ' || opening || expr || closing || ';' AS dynamic_text,
        'let r = ' || opening || name || closing || ';' AS var_ref_text,
-       '"' || k2 || '"' || closing || ';' AS late_text
+       '"' || k2 || '"' || closing || CASE WHEN holed THEN chr(125) || '`' ELSE '' END || ';' AS late_text
+FROM (
+  SELECT h.*,
+         CASE WHEN lang_no < 2 AND id % 2 = 0 THEN 'process.env.' || k ELSE opening || '"' || k || '"' || closing END AS access,
+         '"' || prefix || '" + ' || CASE WHEN id % 17 = 5 THEN repeat('g(', depth) || v || repeat(')', depth) ELSE v END AS expr,
+         -- a call's brackets, a hole, an element's text, a regular expression: what an access may stand in
+         CASE form WHEN 'calls' THEN repeat('f(', depth) WHEN 'hole' THEN '`a $' || chr(123) || 'c ? ' || chr(123) || 'b: 1' || chr(125) || ' : '
+                   WHEN 'element' THEN '<p>don' || chr(39) || 't ' || chr(123) WHEN 'regex' THEN '/[' || chr(39) || '"`]/.test('
+                   WHEN 'f-string' THEN 'f' || repeat('"', 3) || 'it' || chr(39) || 's ' || chr(123) || ' [1, ' ELSE '' END AS before,
+         CASE form WHEN 'calls' THEN repeat(')', depth) WHEN 'hole' THEN chr(125) || ' it' || chr(39) || 's`'
+                   WHEN 'element' THEN chr(125) || ' it' || chr(39) || 's</p>' WHEN 'regex' THEN ')'
+                   WHEN 'f-string' THEN ']' || chr(125) || repeat('"', 3) ELSE '' END AS behind
 FROM (
   SELECT g.*,
-         lang_no < 2 AND id % 2 = 0 AS dotted,
+         CAST(id % 201 AS int) AS depth,
+         CASE WHEN id % 17 = 3 THEN 'calls' WHEN lang_no < 2 AND id % 5 = 1 THEN 'hole' WHEN lang_no < 2 AND id % 5 = 2 THEN 'element'
+              WHEN lang_no < 2 AND id % 5 = 3 THEN 'regex' WHEN lang_no = 3 AND id % 5 = 1 THEN 'f-string' ELSE 'plain' END AS form,
+         lang_no < 2 AND id % 5 = 0 AS holed,
          {pick(_EXTENSIONS, "form_no")} AS ext,
          {pick(_OPENINGS, "form_no")} AS opening,
          {pick(_CLOSINGS, "form_no")} AS closing,
          CASE WHEN lang_no = 3 THEN '# ' ELSE '// ' END AS remark
   FROM ({ORDER_FILES}) g
+) h
 ) f
 """
 
@@ -81,7 +94,7 @@ FROM customer
 
 # Orders that are config files too: format by 'form', one file each.
 ORDER_CONFIGS = f"""
-SELECT h.*, {key("n + 20")} AS a, {key("n + 23")} AS b, 'v' || CAST(id AS string) AS value,
+SELECT h.*, {key("n + 20")} AS a, {key("n + 23")} AS b, 'v' || CAST(id AS string) AS value, id % 7 AS variant,
        CASE form WHEN 0 THEN '.env.o' || CAST(id AS string)
                  WHEN 1 THEN 'o' || CAST(id AS string) || '.sh'
                  WHEN 2 THEN 'o' || CAST(id AS string) || '.service'

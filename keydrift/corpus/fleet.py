@@ -17,7 +17,8 @@ SELECT repo_id, path,
          static_text, '\n',
          CASE WHEN has_dynamic THEN concat(dynamic_text, '\n') ELSE '' END,
          CASE WHEN has_var_ref THEN concat('  ', var_ref_text, '\n') ELSE '' END,
-         CASE WHEN has_late THEN concat('let m = ', opening, '\n  ', late_text, '\n') ELSE '' END,
+         CASE WHEN has_late THEN concat('let m = ', CASE WHEN holed THEN concat('`$', chr(123)) ELSE '' END, opening, '\n  ', late_text, '\n')
+              ELSE '' END,
          'let t = "', opening, '\'NOPE\'', closing, '";\n'
        ) AS content
 FROM ({layout})
@@ -49,9 +50,23 @@ SELECT repo_id, config_path AS path, CASE form
   WHEN 0 THEN concat(a, '=', value, '\n', b, '=`', value, '`\n')
   WHEN 1 THEN concat('#!/bin/bash\nexport ', a, '=', value, '\n  export ', b, '="', value, '"\nLOCAL=1\n')
   WHEN 2 THEN concat('[Service]\nEnvironment=', a, '=', value, '\nEnvironment="', b, '=', value, '"\nUser=app\n')
-  WHEN 3 THEN concat('kind: ConfigMap\ndata:\n  ', a, ': ', value, '\n  ', b, ': "', id, '"\n  NUMBER: ', id, '\n')
+  WHEN 3 THEN CASE variant
+    WHEN 1 THEN concat('kind:\n  ConfigMap\ndata:\n  ? ', a, '\n  : ', value, '\n  ', b, ': !!str ', id, '\n  NUMBER: !!int "', id, '"\n')
+    WHEN 2 THEN concat({json_map}, '"kind": "ConfigMap",\n "data": ', {json_map}, '"', a, '": "', value, '", "', b, '": "', id, '", "NUMBER": ', id, {json_end}, {json_end})
+    WHEN 3 THEN concat('kind: &k ConfigMap # kind\ndata: !!map\n  ', a, ':\n    ', value, '\n  ', b, ": '", id, "'\n  NUMBER: ", id, '\n')
+    ELSE concat('kind: ConfigMap\ndata:\n  ', a, ': ', value, '\n  ', b, ': "', id, '"\n  NUMBER: ', id, '\n') END
   WHEN 4 THEN concat('kind: Secret\ndata:\n  ', a, ': ', base64(encode(value, 'UTF-8')), '\n  ', b, ': "not base64"\n')
-  ELSE concat('services:\n  app:\n    environment:\n      ', a, ': "', value, '"\n      ', b, ':\n') END AS content
+  ELSE CASE variant
+    WHEN 1 THEN concat('x-env: &e\n  ', a, ': "', value, '"\n  ', b, ':\nservices:\n  app:\n    environment:\n      <<: *e\n')
+    WHEN 2 THEN concat('x-env: &e\n  ', a, ': ', value, '\n  ', b, ': ~\nservices:\n  app:\n    environment: *e\n')
+    WHEN 3 THEN concat({json_map}, '"services": ', {json_map}, '"app":', {json_map}, '"environment":\n', {json_map}, '"', a, '":"', value, '", "', b,
+                       '": null', {json_end}, {json_end}, {json_end}, {json_end})
+    WHEN 4 THEN concat('services: ', {json_map}, 'app: ', {json_map}, 'environment: ', {json_map}, a, ': ', value, ',\n  ', b, ': ', {json_end},
+                       {json_end}, {json_end}, '\n')
+    WHEN 5 THEN concat('x-v: &v ', value, '\nservices:\n  app:\n    environment:\n      ', a, ': *v\n      ', b, ': null\n')
+    WHEN 6 THEN concat('x: &x ', {json_map}, a, ': wrong, ', b, ': ', {json_end}, '\ny: &y ', {json_map}, a, ': worse, ', b, ': bad', {json_end},
+                       '\nservices:\n  app:\n    environment:\n      <<: [*x, *y]\n      ', a, ': ', value, '\n')
+    ELSE concat('services:\n  app:\n    environment:\n      ', a, ': "', value, '"\n      ', b, ':\n') END END AS content
 FROM ({configs})
 """
 
@@ -85,7 +100,7 @@ def code_part(spark: SparkSession, sf_dir: str) -> DataFrame:
 def config_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = {f"k{n}": key(f"c + {n}") for n in (0, 3, 5, 6, 9, 12, 13, 15, 16, 18, 40, 41)}
     fixed = _braces(_CUSTOMER_FILES, customers=CUSTOMERS, rules_file=RULES_FILE, **keys)
-    by_order = _braces(_ORDER_CONFIGS, configs=ORDER_CONFIGS)
+    by_order = _braces(_ORDER_CONFIGS, configs=ORDER_CONFIGS, json_map="chr(123)", json_end="chr(125)")
     return _sql(spark, sf_dir, fixed).unionByName(_sql(spark, sf_dir, by_order))
 
 

@@ -75,11 +75,11 @@ defs AS (
   UNION ALL
   SELECT repo_id, config_path,
          ['env', 'shell', 'systemd', 'k8s', 'k8s', 'docker-compose'][form + 1], 1, 0,
-         [1, 2, 2, 1, 1, 0][form + 1], a, value FROM configs
+         CASE form WHEN 5 THEN [0, 2, 2, 0, 0, 1, 4][variant + 1] ELSE [1, 2, 2, 1, 1][form + 1] END, a, value FROM configs
   UNION ALL
   SELECT repo_id, config_path,
          ['env', 'shell', 'systemd', 'k8s', 'k8s', 'docker-compose'][form + 1], 1, 0,
-         [2, 3, 3, 2, 2, 1][form + 1], b,
+         CASE form WHEN 5 THEN [1, 3, 3, 1, 1, 2, 5][variant + 1] ELSE [2, 3, 3, 2, 2][form + 1] END, b,
          CASE form WHEN 3 THEN CAST(id AS string) WHEN 4 THEN 'not base64' WHEN 5 THEN '<nil>' ELSE value END
   FROM configs
 )

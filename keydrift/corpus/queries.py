@@ -328,7 +328,7 @@ on_scan(
              WHEN 'data/NUMBER' THEN CAST(id AS string)
              WHEN 'data/' || a THEN CASE form WHEN 3 THEN value ELSE base64(encode(value)) END
              ELSE CASE form WHEN 3 THEN CAST(id AS string) ELSE 'not base64' END END AS value,
-           y = 'data/' || b AS quoted
+           y = 'data/' || b OR (form = 3 AND variant = 2 AND y <> 'data/NUMBER') AS quoted
     FROM configs, LATERAL (SELECT unnest(['kind', 'data/' || a, 'data/' || b, 'data/NUMBER']) AS y) u
     WHERE form = 3 OR (form = 4 AND y <> 'data/NUMBER')""",
 )

@@ -1,8 +1,7 @@
-"""Access patterns of each language as data: the regexes ``operators.usages`` runs.
+"""Access patterns of each language as data: what ``functions.accesses`` reads in a file and ``operators.usages`` classifies.
 
-A pattern consumes whole strings and comments, so an access written inside one
-is never seen. Runs are possessive and group repetitions short, which keeps the
-Java matcher from backtracking and from recursing on long inputs.
+``~`` in a pattern stands for white space and comments. Patterns of tokens run in Python, those of operands, names and
+operators in Spark's expressions.
 """
 
 from __future__ import annotations
@@ -11,23 +10,26 @@ from dataclasses import dataclass
 
 NAME = r"[\p{L}_$][\p{L}\p{N}_$]*+"
 WORD = r"[\p{L}\p{N}_$]++"
-DQ = r'"(?:[^"\\\n]++|\\(?s:.))*+"'
-SQ = r"'(?:[^'\\\n]++|\\(?s:.))*+'"
-TRIPLE_DQ = r'"""(?:[^"\\]++|\\(?s:.)|"(?!""))*+"""'
-TRIPLE_SQ = r"'''(?:[^'\\]++|\\(?s:.)|'(?!''))*+'''"
-BACKTICK = r"`(?:[^`\\]++|\\(?s:.))*+`"
-PLAIN_BACKTICK = r"`(?:[^`\\$]++|\\(?s:.)|\$(?!\{))*+`"
+DQ = r'"(?:[^"\\\n]|\\[\s\S])*+"'
+SQ = r"'(?:[^'\\\n]|\\[\s\S])*+'"
+TRIPLE_DQ = r'"""(?:[^"\\]|\\[\s\S]|"(?!""))*+(?:"""|\Z)'
+TRIPLE_SQ = r"'''(?:[^'\\]|\\[\s\S]|'(?!''))*+(?:'''|\Z)"
 RAW_BACKTICK = r"`[^`]*+`"
 LINE_COMMENT = r"//[^\n]*+"
-BLOCK_COMMENT = r"/\*(?:[^*]++|\*(?!/))*+\*/"
+BLOCK_COMMENT = r"/\*(?:[^*]|\*(?!/))*+(?:\*/|\Z)"
 HASH_COMMENT = r"#[^\n]*+"
 
-# Not the tail of a longer name and not a member of something else ('...x' is a spread).
-START = r"(?<![\p{L}\p{N}_$])(?<!(?<!\.\.)\.)"
 
 
-def _any(*parts: str) -> str:
-    return "(?:" + "|".join(parts) + ")"
+def _alone(first: str, before: str = r"\w") -> str:
+    """A first character or word that no character of ``before`` precedes; the look back stands behind it, so that a search
+    passes over all text that starts with something else."""
+    return rf"{first}(?<![{before}]{first})"
+
+
+def _free(word: str) -> str:
+    """A word that is not the tail of a longer name nor a member of something else ('...x' is a spread)."""
+    return _alone(word, r"\w$") + rf"(?<!(?<!\.\.)\.{word})"
 
 
 @dataclass(frozen=True)
@@ -35,97 +37,52 @@ class Language:
     """How one language reads environment variables.
 
     names         values of the ``language`` column
-    starts        characters an access, comment, literal or skipped text can start with
     needles       alternatives; a file lacking all texts of each holds no access
-    access, head  regexes with ``~`` for space, BODY for what is between round and
-                  SUBSCRIPT for what is between square brackets; ``head`` is the
-                  part of an access before its key or arguments
-    literals      all literals that may hide brackets or quotes
+    bracketed     an access up to the bracket that its arguments stand in
+    dotted        an access whose key is its only group
+    chained       what turns the call behind an access into one, up to its bracket
     keys          literals that can be a key
+    literals      all other literals that may hide brackets or quotes
     comments      comment forms
-    skipped       what is consumed whole besides literals and comments
-    interpolated  string form whose holes are code, with the regex of a hole's start
-    holding       literals that ``interpolated`` covers
+    nested        opening and closing of comments that nest
+    template      start of a literal with holes in it; group 'q' is what ends it
+    hole, escape  in such a literal: a hole's start, and what is no hole nor end
+    template_is_key  such a literal can be a key
+    slashes       a slash may start a regular expression literal, '<' an element
     operators     operators of the binary node kind
     prefixes      unary operators allowed before an operand
     operand       one operand after blanking
     keywords      words that are not identifier nodes
-    stray         quote or comment characters that may stand alone
     one_argument  the bracket holds a single expression, not a list
     """
 
     names: tuple[str, ...]
-    starts: str
     needles: tuple[tuple[str, ...], ...]
-    access: str
-    head: str
-    literals: tuple[str, ...]
+    bracketed: str
     keys: tuple[str, ...]
     comments: tuple[str, ...]
     operators: str
     prefixes: str
     keywords: tuple[str, ...]
-    skipped: tuple[str, ...] = ()
-    interpolated: str | None = None
-    holding: tuple[str, ...] = ()
+    literals: tuple[str, ...] = ()
+    dotted: str | None = None
+    chained: str | None = None
+    nested: tuple[str, str] | None = None
+    template: str | None = None
     hole: str = r"\{"
+    escape: str = r"\\[\s\S]"
+    template_is_key: bool = False
+    slashes: bool = False
     operand: str = WORD
-    stray: str = r"/(?![/*])|#"
     one_argument: bool = False
 
-    @property
-    def literal(self) -> str:
-        return _any(*self.literals)
-
-    @property
-    def comment(self) -> str:
-        return _any(*self.comments)
-
-    @property
-    def space(self) -> str:
-        return _any(r"\s++", *self.comments) + "*+"
-
-    def _between(self, open_: str, close: str, depth: int = 3) -> str:
-        parts = [self.literal, self.comment, rf"[^\{open_}\{close}\"'`/#]++", self.stray]
-        if depth:
-            parts.append(rf"\{open_}{self._between(open_, close, depth - 1)}\{close}")
-        return _any(*parts) + "*+"
-
-    def _expand(self, pattern: str) -> str:
-        pattern = pattern.replace("~", self.space)
-        return pattern.replace("BODY", self._between("(", ")")).replace("SUBSCRIPT", self._between("[", "]"))
-
-    @property
-    def mark_regex(self) -> str:
-        """Group 1: text up to an access, with strings and comments taken whole; 2: the access;
-        3: an interpolated string instead. One match per access: a file is copied in few pieces."""
-        access = self._expand(self.access)
-        stops = [access, self.interpolated] if self.interpolated else [access]
-        whole = "|".join((*self.comments, *self.skipped, *(x for x in self.literals if x not in self.holding)))
-        text = rf"(?:[^{self.starts}]++|{whole}|(?!{'|'.join(stops)})(?s:.))*+"
-        return rf"\G({text})(?:{'|'.join(f'({stop})' for stop in stops)})"
-
-    @property
-    def hole_regex(self) -> str:
-        """Group 1: an access in a hole of an interpolated string already marked."""
-        return rf"(?<={self.hole}[^{{}}\n]{{0,200}})({self._expand(self.access)})(?=[^\x01-\x04]*+\x04)"
-
-    @property
-    def head_regex(self) -> str:
-        return "^" + self._expand(self.head)
-
-    @property
-    def argument_regex(self) -> str:
-        pairs = (rf"\({self._between('(', ')')}\)", rf"\[{self._between('[', ']')}\]")
-        return _any(self.literal, self.comment, *pairs, r"""[^,"'`()\[\]/#]++""", self.stray) + "++"
-
-    @property
-    def key_regex(self) -> str:
-        return "^" + _any(*self.keys) + "$"
+    def expanded(self, pattern: str) -> str:
+        """The pattern with white space and comments for ``~``."""
+        return pattern.replace("~", r"(?:\s|" + "|".join(self.comments) + ")*+")
 
     @property
     def name_regex(self) -> str:
-        return rf"^(?!{_any(*self.keywords)}$){NAME}$"
+        return rf"^(?!(?:{'|'.join(self.keywords)})$){NAME}$"
 
     @property
     def binary_regex(self) -> str:
@@ -135,34 +92,25 @@ class Language:
 
 JAVASCRIPT = Language(
     names=("javascript", "typescript"),
-    starts=r"""p"'`/=(,:\[!&|?{};r""",
     needles=(("process", "env"),),
-    access="(?=p)" + START + rf"process~\??\.~env~(?:\??\.~{NAME}|(?:\?\.~)?\[SUBSCRIPT\])",
-    head=r"process~\??\.~env~(?:(?:\?\.~)?\[|\??\.~)",
-    literals=(DQ, SQ, PLAIN_BACKTICK, BACKTICK),
+    bracketed=_free("process") + r"~\??\.~env~(?:\?\.~)?\[",
+    dotted=_free("process") + r"~\??\.~env~\??\.~((?:[^\W\d]|\$)[\w$]*+)",
     keys=(DQ, SQ),
     comments=(LINE_COMMENT, BLOCK_COMMENT),
+    template="(?P<q>`)",
+    hole=r"\$\{",
+    slashes=True,
     operators=r">>>|===|!==|\*\*|\?\?|\|\||&&|==|!=|<<|>>|<=|>=|[-+*/%|&^<>]|\bin\b|\binstanceof\b",
     prefixes=r"[-+!~]\s*|(?:typeof|await|void|delete|new)\s+",
     keywords=("true", "false", "null", "undefined", "this", "super"),
-    # a regular expression literal, after something that cannot end an operand
-    skipped=(
-        r"(?:[=(,:\[!&|?{};]|\breturn\b)\s*+"
-        r"/(?![/*])(?:[^/\\\[\n]++|\\[^\n]|\[(?:[^\]\\\n]++|\\[^\n])*+\])++/",
-    ),
-    interpolated=f"(?!{PLAIN_BACKTICK}){BACKTICK}",
-    holding=(BACKTICK,),
-    hole=r"\$\{",
     one_argument=True,
 )
 GO = Language(
     names=("go",),
-    starts="o\"'`/",
     needles=(("Getenv",),),
-    access="(?=o)" + START + r"os~\.~Getenv~\(BODY\)",
-    head=r"os~\.~Getenv~\(",
-    literals=(DQ, SQ, RAW_BACKTICK),
+    bracketed=_free("os") + r"~\.~Getenv~\(",
     keys=(DQ,),
+    literals=(SQ, RAW_BACKTICK),
     comments=(LINE_COMMENT, BLOCK_COMMENT),
     operators=r"&\^|\|\||&&|==|!=|<<|>>|<=|>=|[-+*/%|&^<>]",
     prefixes=r"[-+!^*&]\s*|<-\s*",
@@ -170,48 +118,41 @@ GO = Language(
 )
 PYTHON = Language(
     names=("python",),
-    starts="o\"'#fFrR",
     needles=(("environ",), ("getenv",)),
-    access="(?=o)" + START + r"os~\.~(?:environ~\[SUBSCRIPT\]|getenv~\(BODY\))",
-    head=r"os~\.~(?:environ~\[|getenv~\()",
-    literals=(TRIPLE_DQ, TRIPLE_SQ, DQ, SQ),
-    keys=tuple(r"(?i:[rbuf]{0,2})" + q for q in (TRIPLE_DQ, TRIPLE_SQ, DQ, SQ)),
+    bracketed=_free("os") + r"~\.~(?:environ~\[|getenv~\()",
+    keys=(*(_alone("[rRbBuU]") + "[rRbB]?" + q for q in (TRIPLE_DQ, TRIPLE_SQ, DQ, SQ)), TRIPLE_DQ, TRIPLE_SQ, DQ, SQ),
     comments=(HASH_COMMENT,),
     operators=r"\*\*|//|<<|>>|[-+*/%@|&^]",
     prefixes=r"[-+~]\s*|await\s+",
     keywords=("True", "False", "None"),
-    interpolated=r"(?<![\p{L}\p{N}_])(?i:fr?|rf)" + _any(TRIPLE_DQ, TRIPLE_SQ, DQ, SQ),
-    stray=r"[/`]",
+    template="(?:" + _alone("[fF]") + "[rR]?|" + _alone("[rR]") + r"""[fF])(?P<q>\"{3}|'{3}|"|')""",
+    escape=r"\\[^{}]|\{\{|\}\}",
+    template_is_key=True,
 )
+_RUST_STRING = r'"(?:[^"\\]|\\[\s\S])*+"'
 RUST = Language(
     names=("rust",),
-    starts="es\"'/rbc",
     needles=(("env", "var"),),
-    access=r"(?=[es])(?<![\p{L}\p{N}_:.])(?:std~::~)?env~::~var(?:_os)?~\(BODY\)",
-    head=r"(?:std~::~)?env~::~var(?:_os)?~\(",
+    bracketed="(?:" + _alone("std", r"\w:.") + "~::~env|" + _alone("env", r"\w:.") + r")~::~var(?:_os)?~\(",
+    keys=(_alone("[bc]") + _RUST_STRING, _RUST_STRING),
     literals=(
-        r'r"[^"]*+"',
-        *(rf'r{h}"(?:[^"]++|"(?!{h}))*+"{h}' for h in ("#", "##", "###")),
-        r'[bc]?"(?:[^"\\]++|\\(?s:.))*+"',
-        r"'(?:[^'\\\n]|\\[^ux\n]|\\u\{[0-9a-fA-F]++\}|\\x[0-9a-fA-F]{2})'",
+        "(?:" + _alone("[bc]") + "r|" + _alone("r") + r')(?P<hashes>#*)"[\s\S]*?"(?P=hashes)',
+        "(?:" + _alone("b") + r")?'(?:[^'\\\n]|\\[^ux\n]|\\u\{[0-9a-fA-F]++\}|\\x[0-9a-fA-F]{2})'",
     ),
-    keys=(r'[bc]?"(?:[^"\\]++|\\(?s:.))*+"',),
-    # block comments nest; one inner level is followed
-    comments=(LINE_COMMENT, rf"/\*(?:[^*/]++|\*(?!/)|/(?!\*)|{BLOCK_COMMENT})*+\*/"),
+    comments=(LINE_COMMENT, BLOCK_COMMENT),
+    nested=(r"/\*", r"\*/"),
     operators=r"\|\||&&|==|!=|<<|>>|<=|>=|[-+*/%|&^<>]",
     prefixes=r"[-!*]\s*|&\s*(?:mut\s+)?",
     keywords=("true", "false", "self", "super", "crate", "Self"),
     operand=rf"{WORD}(?:!{WORD})?+\??",
-    stray=r"/(?![/*])|['`#]",
 )
 JAVA = Language(
     names=("java",),
-    starts="S\"'/",
     needles=(("getenv",),),
-    access="(?=S)" + START + r"System~\.~getenv~\(BODY\)(?:~\.~get~\(BODY\))?+",
-    head=r"System~\.~getenv~\(",
-    literals=(TRIPLE_DQ, DQ, SQ),
+    bracketed=_free("System") + r"~\.~getenv~\(",
+    chained=r"~\.~get~\(",
     keys=(TRIPLE_DQ, DQ),
+    literals=(SQ,),
     comments=(LINE_COMMENT, BLOCK_COMMENT),
     operators=r">>>|\|\||&&|==|!=|<<|>>|<=|>=|[-+*/%|&^<>]",
     prefixes=r"[-+!~]\s*|new\s+|0\s+(?=[\p{L}\p{N}_$])",  # 0 x: a cast

@@ -152,7 +152,7 @@ def _leaf_entries(leaves: Column, hit, key, value) -> Column:
 
 def _in_environment(leaf: Column, listed: bool) -> Column:
     p = leaf["yaml_path"]
-    under = (F.size(p) == 4) & (F.get(p, F.lit(0)) == "services") & (F.get(p, F.lit(2)) == "environment")
+    under = leaf["named"] & (F.size(p) == 4) & (F.get(p, F.lit(0)) == "services") & (F.get(p, F.lit(2)) == "environment")
     is_item = F.get(p, F.lit(3)) == yaml.ITEM
     return F.coalesce(under & (is_item if listed else ~is_item), F.lit(False))
 
@@ -190,7 +190,7 @@ def _k8s_entries(leaves: Column, kind: str, value: Callable[[Column], Column]) -
 
     def hit(leaf: Column) -> Column:
         p = leaf["yaml_path"]
-        entry = (F.size(p) == 2) & (p[0] == "data") & (F.get(p, F.lit(1)) != yaml.ITEM)
+        entry = leaf["named"] & (F.size(p) == 2) & (p[0] == "data") & (F.get(p, F.lit(1)) != yaml.ITEM)
         return F.coalesce(entry & yaml.is_string(leaf["value"], leaf["quoted"]), F.lit(False))
 
     entries = _leaf_entries(leaves, hit, lambda leaf: leaf["yaml_path"][1], lambda leaf: value(leaf["value"]))
@@ -216,7 +216,7 @@ def parse_yaml(file_type: Column) -> Column:
         k8s = F.concat(parse_k8s_configmap(leaves), parse_k8s_secret(leaves))
         return F.when(file_type == "docker-compose", compose).otherwise(k8s)
 
-    return let(yaml.leaves(), entries)
+    return let(yaml.leaves(F.when(file_type.isin(*YAML_TYPES), F.col("content"))), entries)
 
 
 def parse_with(env_files: DataFrame, entries: Column) -> DataFrame:

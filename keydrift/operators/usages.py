@@ -3,39 +3,31 @@
 One narrow projection per file and one ``inline``: the text never leaves its
 task, only the few usage rows do. The steps, all inside the projection:
 
-1. ``mark_accesses``   one regex pass brackets each access with control characters
-2. ``access_sites``    the marked text is cut into lines, which gives line numbers;
-                       only lines where an access starts are kept
-3. ``access_keys``     each access is cut into its arguments, each classified as
-                       static key, dynamic expression, variable reference or nothing
-4. ``first_per_line``  one usage per (key, line), the first in text order
+1. ``may_hold_access``  a substring test that spares most files all else
+2. ``access_sites``     one pass over the file's tokens gives the arguments of each
+                        access (``functions.accesses``), their lines, and each such line once
+3. ``access_keys``      each argument is classified as static key, dynamic
+                        expression, variable reference or nothing
+4. ``first_per_line``   one usage per (key, line), the first in text order
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from functools import lru_cache, reduce
-from operator import or_
+from functools import lru_cache
 
+import pyarrow as pa
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
+from keydrift.functions.accesses import placed
 from keydrift.functions.languages import LANGUAGES, Language
-from keydrift.functions.text import (
-    first_string,
-    inline_once,
-    last_string,
-    let,
-    newlines,
-    trim_quotes_code,
-    trim_space,
-)
-
-OPEN, CLOSE, HOLES_OPEN, HOLES_CLOSE = "\x01", "\x02", "\x03", "\x04"
-MARKS = OPEN + CLOSE + HOLES_OPEN + HOLES_CLOSE
+from keydrift.functions.text import WHITE_SPACE, first_string, inline_once, last_string, let, trim_quotes_code
 
 USAGE_COLUMNS = ["key", "line", "code_snippet", "is_partial", "is_var_ref", "full_expr"]
+_CARRIED = ["at", "is_partial", "is_var_ref", "full_expr"]
 
 
 def _per_language(language: Column, languages: Sequence[Language], body: Callable[[Language], Column]) -> Column:
@@ -61,107 +53,39 @@ def may_hold_access(content: Column, language: Column, languages: Sequence[Langu
     return F.coalesce(_per_language(language, languages, any_needle), F.lit(False))
 
 
-def mark_accesses(content: Column, language: Column, languages: Sequence[Language] = LANGUAGES) -> Column:
-    def mark(rule: Language) -> Column:
-        bracket = f"{OPEN}$1{CLOSE}"
-        holes = f"{HOLES_OPEN}$3{HOLES_CLOSE}" if rule.interpolated else ""
-        text = F.regexp_replace(clean, F.lit(rule.mark_regex), F.lit(f"$1{OPEN}$2{CLOSE}{holes}"))
-        if not rule.interpolated:
-            return text
-        text = F.replace(F.replace(text, F.lit(OPEN + CLOSE), F.lit("")), F.lit(HOLES_OPEN + HOLES_CLOSE), F.lit(""))
-        return let(
-            text,
-            lambda t: F.when(
-                t.contains(HOLES_CLOSE), F.regexp_replace(t, F.lit(rule.hole_regex), F.lit(bracket))
-            ).otherwise(t),
-        )
-
-    marks_in_source = reduce(or_, [content.contains(m) for m in MARKS])
-    clean = F.when(marks_in_source, F.translate(content, MARKS, " " * len(MARKS))).otherwise(content)
-    return _per_language(language, languages, mark)
+_SITE = {"line": pa.int32(), "at": pa.int32(), "expr": pa.string(), "blank": pa.string(), "literal": pa.bool_(), "bracketed": pa.bool_()}
+_FILE = pa.struct([("lines", pa.list_(pa.string())), ("sites", pa.list_(pa.struct(list(_SITE.items()))))])
+_TYPES = {pa.int32(): IntegerType(), pa.string(): StringType(), pa.bool_(): BooleanType()}
 
 
-def access_sites(marked: Column) -> Column:
-    """array<struct<line, text, access>>: the line an access starts on, the lines it spans, its text."""
+def access_sites(content: Column, language: Column, languages: Sequence[Language] = LANGUAGES) -> Column:
+    """struct<lines, sites>: the lines that hold an argument of an access, and every such argument with its line."""
+    rules = {name: rule for rule in languages for name in rule.names}
 
-    def source(marked: Column) -> Column:
-        # how many lines the longest access in the file reaches beyond its first
-        accesses = F.regexp_extract_all(marked, F.lit(f"{OPEN}([^{CLOSE}]*+){CLOSE}"), F.lit(1))
-        reach = F.coalesce(F.array_max(F.transform(accesses, newlines)), F.lit(0))
-        return let(F.struct(F.split(marked, "\n").alias("lines"), reach.alias("reach")), sites)
+    def read(contents: pa.Array, names: pa.Array) -> pa.Array:
+        found = []
+        for text, name in zip(contents.to_pylist(), names.to_pylist(), strict=True):
+            lines, sites = placed(text, rules[name], WHITE_SPACE) if text and name in rules else ([], [])
+            found.append({"lines": lines, "sites": [dict(zip(_SITE, site, strict=True)) for site in sites]})
+        return pa.array(found, _FILE)
 
-    def sites(src: Column) -> Column:
-        starts = F.filter(
-            F.transform(src["lines"], lambda text, i: F.struct((i + 1).alias("line"), text.alias("text"))),
-            lambda s: s["text"].contains(OPEN),
-        )
-        return F.flatten(F.transform(starts, lambda s: on_line(src, s)))
-
-    def on_line(src: Column, s: Column) -> Column:
-        spanned = F.array_join(F.slice(src["lines"], s["line"], src["reach"] + 1), "\n")
-        count = F.length(s["text"]) - F.length(F.replace(s["text"], F.lit(OPEN), F.lit("")))
-        return let(
-            F.when(src["reach"] == 0, s["text"]).otherwise(spanned),
-            lambda text: F.transform(
-                F.slice(F.split(text, OPEN), F.lit(2), count),
-                lambda piece: F.struct(
-                    s["line"].alias("line"), text.alias("text"), F.substring_index(piece, CLOSE, 1).alias("access")
-                ),
-            ),
-        )
-
-    return let(marked, source)
+    site = StructType([StructField(name, _TYPES[kind]) for name, kind in _SITE.items()])
+    result = StructType([StructField("lines", ArrayType(StringType())), StructField("sites", ArrayType(site))])
+    return F.arrow_udf(read, result)(content, language)
 
 
 def access_keys(sites: Column, language: Column, languages: Sequence[Language] = LANGUAGES) -> Column:
-    """array<struct<key, line, pos, ...>> of the arguments that name a variable."""
-
-    def arguments(site: Column) -> Column:
-        access = site["access"]
-        head = _per_language(language, languages, lambda r: F.regexp_extract(access, r.head_regex, 0))
-        bracketed = F.right(access, F.lit(1)).isin(")", "]")
-
-        def cut(head: Column) -> Column:
-            size = F.length(access) - F.length(head) - F.when(bracketed, F.lit(1)).otherwise(F.lit(0))
-            inner = F.substring(access, F.length(head) + 1, size)
-            listed = _per_language(
-                language,
-                languages,
-                lambda r: F.array(inner)
-                if r.one_argument
-                else F.regexp_extract_all(inner, F.lit(r.argument_regex), F.lit(0)),
-            )
-            return let(listed, lambda args: F.transform(args, lambda arg, i: argument(head, args, arg, i)))
-
-        def argument(head: Column, args: Column, arg: Column, i: Column) -> Column:
-            before = newlines(head) + newlines(F.array_join(F.slice(args, F.lit(1), i), ""))
-            leading = _per_language(language, languages, lambda r: F.regexp_extract(arg, "^" + r.space, 0))
-            bare = _per_language(
-                language,
-                languages,
-                lambda r: F.regexp_replace(arg, F.lit(f"({r.literal})|{r.comment}"), F.lit("$1")),
-            )
-            return F.struct(
-                (before + newlines(leading)).alias("down"),
-                trim_space(bare).alias("expr"),
-                bracketed.alias("bracketed"),
-                site["line"].alias("first_line"),
-                site["text"].alias("text"),
-            )
-
-        return let(head, cut)
-
-    def classify(arg: Column) -> Column:
-        expr = arg["expr"]
-        static = ~arg["bracketed"] | _per_language(language, languages, lambda r: expr.rlike(r.key_regex))
-        var_ref = _per_language(language, languages, lambda r: expr.rlike(r.name_regex))
-        binary = _per_language(language, languages, lambda r: _blank(expr, r).rlike(r.binary_regex))
+    """array<struct<key, line, at, ...>> of the arguments that name a variable."""
+
+    def classify(site: Column) -> Column:
+        static = ~site["bracketed"] | site["literal"]
+        var_ref = _per_language(language, languages, lambda r: site["expr"].rlike(r.name_regex))
+        binary = _per_language(language, languages, lambda r: site["blank"].rlike(r.binary_regex))
         kind = F.when(static, F.lit("static")).when(var_ref, F.lit("var_ref")).when(binary, F.lit("dynamic"))
-        return let(kind, lambda k: usage(arg, k))
+        return let(kind, lambda k: usage(site, k))
 
-    def usage(arg: Column, kind: Column) -> Column:
-        expr = arg["expr"]
-        snippet = F.coalesce(F.get(F.split(arg["text"], "\n"), arg["down"]), F.lit(""))
+    def usage(site: Column, kind: Column) -> Column:
+        expr = site["expr"]
         dynamic_key = F.when(language.isin("javascript", "typescript"), _javascript_key(expr)).otherwise(expr)
         return F.struct(
             F.when(kind == "static", trim_quotes_code(expr))
@@ -169,15 +93,14 @@ def access_keys(sites: Column, language: Column, languages: Sequence[Language] =
             .when(kind == "var_ref", expr)
             .otherwise(F.lit(""))
             .alias("key"),
-            (arg["first_line"] + arg["down"]).cast("int").alias("line"),
-            trim_space(F.translate(snippet, MARKS, "")).alias("code_snippet"),
+            site["line"].alias("line"),
+            site["at"].alias("at"),
             F.coalesce(kind != "static", F.lit(False)).alias("is_partial"),
             F.coalesce(kind == "var_ref", F.lit(False)).alias("is_var_ref"),
             F.when(kind == "dynamic", expr).otherwise(F.lit("")).alias("full_expr"),
         )
 
-    args = F.flatten(F.transform(sites, arguments))
-    return F.filter(F.transform(args, classify), lambda u: u["key"] != "")
+    return F.filter(F.transform(sites, classify), lambda u: u["key"] != "")
 
 
 def _javascript_key(expr: Column) -> Column:
@@ -186,21 +109,13 @@ def _javascript_key(expr: Column) -> Column:
     return F.when(first != "", first).when(last != "", last).otherwise(expr)
 
 
-def _blank(expr: Column, rule: Language) -> Column:
-    """Literals and bracketed groups become 0, so that only top-level operators remain."""
-    out = F.regexp_replace(expr, F.lit(rule.literal), F.lit("0"))
-    for _ in range(4):
-        out = F.regexp_replace(out, F.lit(r"\([^()]*+\)|\[[^\[\]]*+\]|\{[^{}]*+\}"), F.lit("0"))
-    return out
-
-
 def first_per_line(usages: Column) -> Column:
     """Keep the first usage of each (key, line) of a file; sorted neighbours, no shuffle."""
     ranked = F.array_sort(
         F.transform(
             usages,
             lambda u, i: F.struct(
-                u["key"].alias("key"), u["line"].alias("line"), i.alias("pos"), *[u[c].alias(c) for c in USAGE_COLUMNS[2:]]
+                u["key"].alias("key"), u["line"].alias("line"), i.alias("pos"), *[u[c].alias(c) for c in _CARRIED]
             ),
         )
     )
@@ -216,19 +131,24 @@ def first_per_line(usages: Column) -> Column:
 
 
 @lru_cache(maxsize=32)
-def _usages_of_file(gateway: object, languages: Sequence[Language], dedup: bool) -> tuple[Column, Column]:
-    """The file test and the usages array, built once per JVM: they depend on the rules only."""
+def _usages_of_file(gateway: object, languages: Sequence[Language], dedup: bool) -> tuple[Column, Column, Column]:
+    """The file test, the sites and the usages array, built once per JVM: they depend on the rules only."""
     language, content = F.col("language"), F.col("content")
-    found = access_keys(access_sites(mark_accesses(content, language, languages)), language, languages)
-    return may_hold_access(content, language, languages), first_per_line(found) if dedup else found
+    found = access_keys(F.col("_file.sites"), language, languages)
+    sites = access_sites(content, language, languages)
+    return may_hold_access(content, language, languages), sites, first_per_line(found) if dedup else found
 
 
 def extract_usages(files: DataFrame, languages: Sequence[Language] = LANGUAGES, dedup: bool = True) -> DataFrame:
-    """``code_files`` -> repo_id, file, language, key, line, code_snippet, is_partial, is_var_ref, full_expr."""
-    worth_a_look, usages = _usages_of_file(SparkContext._gateway, tuple(languages), dedup)
-    kept = ["repo_id", F.col("path").alias("file"), "language"]
-    rows = inline_once(files.filter(worth_a_look), kept, usages)
-    return rows.select("repo_id", "file", "language", *USAGE_COLUMNS)
+    """``code_files`` -> repo_id, file, language, key, line, code_snippet, is_partial, is_var_ref, full_expr.
+
+    A snippet is looked up when its row is made: a line with many accesses is held once.
+    """
+    worth_a_look, sites, usages = _usages_of_file(SparkContext._gateway, tuple(languages), dedup)
+    kept = ["repo_id", F.col("path").alias("file"), "language", F.col("_file.lines").alias("_lines")]
+    rows = inline_once(files.filter(worth_a_look).withColumn("_file", sites), kept, usages)
+    snippet = F.get(F.col("_lines"), F.col("at")).alias("code_snippet")
+    return rows.select("repo_id", "file", "language", "key", "line", snippet, *USAGE_COLUMNS[3:])
 
 
 def extract(files: DataFrame, language: Language, kind: str) -> DataFrame:

@@ -1,170 +1,48 @@
-"""Block YAML as one SQL expression: content -> array of (yaml_path, value, quoted) leaves.
-
-Config files use a small part of YAML: nested mappings, lists, plain and quoted
-scalars, block scalars and one level of flow style. The text is cut into logical
-lines (a block or quoted scalar is one of them), each line becomes a node with
-its indent, and a fold over the nodes with the stack of open parents yields the
-path of every leaf. Aliases and merge keys are not resolved: such an entry
-yields no leaf. The expression is SQL text, because thousands of single Column
-calls would cost more than the query.
+"""YAML as array expressions: content -> array of (yaml_path, value, quoted, named) leaves, and what a scalar's text means.
+
+A stack of open collections, anchors and aliases is no regular language and no fold of small state; one Arrow function
+reads a text's nodes in one pass (``functions.yaml_nodes``). Only YAML files reach it: it gets null for all others, and a
+file's text never leaves its task. Types of scalars are expressions.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
-
-from pyspark import SparkContext
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-
-from keydrift.functions.text import WHITE_SPACE
-
-ITEM = "-"
-LEAVES = "array<struct<yaml_path:array<string>,value:string,quoted:boolean>>"
-
-_DOUBLE = r'"(?:[^"\\]++|\\(?s:.))*+"'
-_SINGLE = r"'(?:[^']++|'')*+'"
-_PLAIN_KEY = r"""[^\s"'#\[\]{},&*!|>@%`-](?:[^\n:#]|:(?!\s|$)|(?<!\s)#)*+|-(?!\s|$)(?:[^\n:#]|:(?!\s|$)|(?<!\s)#)*+"""
-_KEY = rf"(?:{_DOUBLE}|{_SINGLE}|{_PLAIN_KEY})"
-_START = rf"(?:- +)*+(?:{_KEY}[ \t]*:[ \t]+)?+(?:&\S+[ \t]+)?+"
-# A logical line: one with a block scalar and its deeper lines, one whose quoted
-# or flow value may span lines, or any other line.
-_ENTRY = (
-    rf"(?m)^( *){_START}[|>][-+0-9]*[ \t]*(?:#[^\n]*)?$(?:\n(?:\1 [^\n]*|[ \t]*$))*+"
-    rf"|^ *{_START}(?:{_DOUBLE}|{_SINGLE}|[\[{{](?:{_DOUBLE}|{_SINGLE}|[^\]}}\"'])*+[\]}}])[^\n]*+"
-    r"|^[^\n]+"
+from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
+
+from keydrift.functions import yaml_nodes as nodes
+
+ITEM = nodes.ITEM
+_LEAVES = ArrayType(
+    StructType(
+        [
+            StructField("yaml_path", ArrayType(StringType())),
+            StructField("value", StringType()),
+            StructField("quoted", BooleanType()),
+            StructField("named", BooleanType()),
+        ]
+    )
 )
-_FLOW_ITEM = rf"""(?:{_DOUBLE}|{_SINGLE}|[^,"'{{}}\[\]]++)++"""
-_ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "/": "/", '"': '"'}
-_FIRST_DOCUMENT = r"^﻿?(?:(?:[ \t]*(?:#[^\n]*)?|%[^\n]*)\n)*---[ \t]*(?=\n|$)"
-
-
-def q(text: str) -> str:
-    """SQL string literal."""
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
-def _let(name: str, value: str, body: str) -> str:
-    return f"transform(array({value}), {name} -> {body})[0]"
-
-
-def _trim(s: str) -> str:
-    return f"trim(BOTH {q(WHITE_SPACE)} FROM {s})"
-
-
-def _unquote(s: str) -> str:
-    """Text of a quoted scalar, or ``s`` itself."""
-    inner = f"substring({s}, 2, length({s}) - 2)"
-    double = f"regexp_replace(regexp_replace({inner}, {q(chr(92) * 2 + r'\n[ \t]*')}, ''), {q(r'[ \t]*\n[ \t]*')}, ' ')"
-    for escape, char in _ESCAPES.items():
-        # an escape counts only after an even number of backslashes
-        double = f"regexp_replace({double}, {q(rf'(?<!\\)((?:\\\\)*+)\\{escape}')}, concat('$1', {q(char)}))"
-    double = f"replace({double}, {q(chr(92) * 2)}, {q(chr(92))})"
-    single = f"""replace({inner}, "''", "'")"""
-    return f"""CASE WHEN {s} LIKE '"%' THEN {double} WHEN {s} LIKE "'%" THEN {single} ELSE {s} END"""
-
-
-def _block_scalar(header: str, body: str) -> str:
-    """``|`` keeps lines, ``>`` joins them; ``-`` and ``+`` set what happens to the last newlines."""
-    indent = f"regexp_extract({body}, {q(r'(?m)^( *)\S')}, 1)"
-    dedent = f"regexp_replace({body}, concat('(?m)^(?:', {indent}, '|[ \\\\t]+$)'), '')"
-    bare = f"regexp_replace(text, {q(r'\n+$')}, '')"
-    folded = f"regexp_replace(regexp_replace({bare}, {q(r'(?<!\n)\n(?![\n \t])')}, ' '), {q(r'(?<=\S)\n\n')}, {q(chr(10))})"
-    kept = f"CASE WHEN {header} LIKE '>%' THEN {folded} ELSE {bare} END"
-    finish = f"""CASE WHEN {header} LIKE '%-%' OR {bare} = '' THEN {kept}
-        WHEN {header} LIKE '%+%' THEN concat({kept}, regexp_extract(text, {q(r'(\n*)$')}, 1))
-        ELSE concat({kept}, {q(chr(10))}) END"""
-    return _let("text", dedent, finish)
-
-
-def _scalar(rest: str) -> str:
-    """struct<value, quoted, flow> of what follows ``key:`` or ``-``; all NULL when nothing does."""
-    line = f"substring_index({rest}, {q(chr(10))}, 1)"
-    header = f"regexp_replace({_trim(line)}, {q(r'^&\S+\s*|(?:^|\s+)#.*$')}, '')"
-    below = f"substring({rest}, length({line}) + 2)"
-    quoted = f"regexp_extract({rest}, {q(rf'^\s*(?:&\S+\s+)?({_DOUBLE}|{_SINGLE})')}, 1)"
-    flow = f"regexp_extract({rest}, {q(r'^\s*(?:&\S+\s+)?([\[{](?s:.*)[\]}])')}, 1)"
-    node = "named_struct('value', {}, 'quoted', {}, 'flow', {})".format
-    return _let("header", header, f"""CASE
-        WHEN header = '' THEN {node("CAST(NULL AS string)", "false", "CAST(NULL AS string)")}
-        WHEN header RLIKE {q(r'^[|>][-+0-9]*$')} THEN {node(_block_scalar("header", below), "true", "NULL")}
-        WHEN header RLIKE {q(r'^[\[{]')} THEN {node("NULL", "false", flow)}
-        WHEN header RLIKE {q(r"""^["']""")} THEN {node(_let("s", quoted, _unquote("s")), "true", "NULL")}
-        ELSE {node("header", "false", "NULL")} END""")
-
-
-def _node(entry: str) -> str:
-    """struct<ind, key, value, quoted, flow> of a logical line; NULL key when it is no node."""
-    spaces = f"length(regexp_extract({entry}, '^( *)', 1))"
-    is_item = f"{entry} RLIKE {q(r'^ *-(?:\s|$)')}"
-    key = f"regexp_extract({entry}, {q(rf'^ *({_KEY})[ \t]*:(?=\s|$)')}, 1)"
-    rest = f"regexp_replace({entry}, {q(rf'^ *(?:-(?=\s|$)|{_KEY}[ \t]*:(?=\s|$))')}, '')"
-    body = _let("k", f"CASE WHEN {is_item} THEN '-' ELSE trim({key}) END", _let("sc", _scalar(rest), f"""
-        named_struct('ind', 2 * {spaces} + CAST({is_item} AS int),
-                     'key', CASE WHEN k <> '' THEN {_unquote("k")} END,
-                     'value', sc.value, 'quoted', sc.quoted, 'flow', sc.flow)"""))
-    return body
-
-
-@lru_cache(maxsize=1)
-def _leaves_sql() -> str:
-    doc = f"""regexp_replace(regexp_replace(translate(content, '\\r', ''), {q(_FIRST_DOCUMENT)}, ''),
-                             {q(r'(?s)\n(?:---|\.\.\.)(?=\s|$).*')}, '')"""
-    entries = f"""filter(regexp_extract_all({doc}, {q(_ENTRY)}, 0), e -> e RLIKE {q(r'^[ \t]*[^\s#]')})"""
-    # '- key: value' is an item holding a mapping: the dash gets a line of its own
-    split_items = f"""flatten(transform({entries}, e ->
-        CASE WHEN e RLIKE {q(rf'^ *- +{_KEY}[ \t]*:(?=\s|$)')}
-             THEN array(regexp_extract(e, '^ *-', 0), regexp_replace(e, '^( *)-', '$1 ')) ELSE array(e) END))"""
-    nodes = f"transform({split_items}, e -> {_node('e')})"
-    # a key with nothing after it and nothing below it is null
-    filled = """transform(nodes, (x, i) -> named_struct(
-        'ind', x.ind, 'key', x.key, 'quoted', x.quoted, 'flow', x.flow,
-        'parent', x.value IS NULL AND x.flow IS NULL AND coalesce(get(nodes, i + 1).ind > x.ind, false),
-        'value', CASE WHEN x.value IS NULL AND x.flow IS NULL THEN 'null' ELSE x.value END))"""
-    state = "CAST(array() AS array<struct<ind:int,key:string>>)"
-    found = "array<struct<yaml_path:array<string>,value:string,quoted:boolean,flow:string,parent:boolean>>"
-    open_parents = "concat(filter(acc.stack, p -> p.ind < x.ind), array(named_struct('ind', x.ind, 'key', x.key)))"
-    step = _let("st", open_parents, """named_struct('stack', st, 'found', concat(acc.found, array(named_struct(
-        'yaml_path', transform(st, p -> p.key), 'value', x.value, 'quoted', x.quoted, 'flow', x.flow,
-        'parent', x.parent))))""")
-    folded = f"""aggregate({_let("nodes", nodes, filled)},
-        named_struct('stack', {state}, 'found', CAST(array() AS {found})), (acc, x) -> {step}, acc -> acc.found)"""
-    items = f"filter(regexp_extract_all(substring(n.flow, 2, length(n.flow) - 2), {q(_FLOW_ITEM)}, 0), s -> {_trim('s')} <> '')"
-    flow_leaf = f"""transform({items}, s -> {_let("t", f"CASE WHEN n.flow LIKE '[%' THEN concat('- ', {_trim('s')}) ELSE {_trim('s')} END",
-        _let("y", _node("t"), "named_struct('yaml_path', concat(n.yaml_path, array(y.key)), 'value', coalesce(y.value, 'null'), 'quoted', y.quoted)"))})"""
-    plain_leaf = "array(named_struct('yaml_path', n.yaml_path, 'value', n.value, 'quoted', n.quoted))"
-    leaves = f"""flatten(transform(filter(ns, n -> NOT n.parent), n ->
-        CASE WHEN n.flow IS NOT NULL THEN {flow_leaf} ELSE {plain_leaf} END))"""
-    usable = """filter(all, l -> NOT array_contains(l.yaml_path, '<<') AND (l.quoted OR NOT l.value LIKE '*%'))"""
-    named = "filter(transform(ns, n -> array_join(n.yaml_path, '\\0', '\\0')), p -> NOT p RLIKE '(?:^|\\\\x00)-(?:\\\\x00|$)')"
-    # a line that is no node, or a key twice in one mapping, makes the file invalid
-    valid = f"""NOT exists(ns, n -> exists(n.yaml_path, k -> k IS NULL))
-        AND {_let("ps", named, "size(array_distinct(ps)) = size(ps)")}"""
-    none = f"CAST(array() AS {LEAVES})"
-    return _let("ns", folded, f"CASE WHEN {valid} THEN {_let('all', leaves, usable)} ELSE {none} END")
-
-
-@lru_cache(maxsize=2)
-def _leaves(gateway: object) -> Column:
-    return F.expr(_leaves_sql())
-
-
-def leaves() -> Column:
-    """All leaves of the ``content`` column in document order; none when it is not valid YAML."""
-    return _leaves(SparkContext._gateway)
+_ARROW = pa.list_(pa.struct([("yaml_path", pa.list_(pa.string())), ("value", pa.string()), ("quoted", pa.bool_()), ("named", pa.bool_())]))
+_NAMES = ("yaml_path", "value", "quoted", "named")
+
+
+def _read(contents: pa.Array) -> pa.Array:
+    read = (nodes.leaves(text) if text else [] for text in contents.to_pylist())
+    return pa.array([[dict(zip(_NAMES, leaf, strict=True)) for leaf in leaves] for leaves in read], _ARROW)
+
+
+def leaves(content: Column | None = None) -> Column:
+    """All leaves of a text (column ``content``) in document order; none when it is null or not valid YAML."""
+    return F.arrow_udf(_read, _LEAVES)(F.col("content") if content is None else content)
 
 
 # ------------------------------------------------------------- plain scalars
 
-_NULL = r"^(?:|~|null|Null|NULL)$"
-_BOOL = r"^(?:true|True|TRUE|false|False|FALSE)$"
-_INT = r"^[-+]?(?:0|[1-9][0-9_]*)$"
-# digit counts that fit 63 bits; longer ones stay text
-_RADIX = r"^[-+]?0(?:[xX][0-9a-fA-F_]{1,15}|[bB][01_]{1,62}|[oO]?[0-7_]{1,20})$"
-_FLOAT = r"^[-+]?(?:\.[0-9]+|[0-9]+(?:\.[0-9]*)?)(?:[eE][-+]?[0-9]+)?$"
-_SPECIAL = r"^(?:[-+]?\.(?:inf|Inf|INF)|\.(?:nan|NaN|NAN))$"
-_DATE = r"^([0-9]{4})-([0-9]{1,2})-([0-9]{1,2})$"
-_TIME = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}(?:[Tt]|\s+)[0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}"
+_NULL, _BOOL, _INT, _RADIX = (f"^{x}$" for x in (nodes.NULL, nodes.BOOL, nodes.INT, nodes.RADIX))
+_FLOAT, _SPECIAL, _DATE, _TIME = (f"^{x}$" for x in (nodes.FLOAT, nodes.SPECIAL, nodes.DATE, nodes.TIME))
 
 
 def is_string(value: Column, quoted: Column) -> Column:

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from keydrift.functions import yaml_nodes
 from keydrift.functions.text import let
 from keydrift.operators import definitions, yaml
 from keydrift.sources.rules import RULES_FILE, exported_names, read_ignore_rules
@@ -96,13 +97,170 @@ def test_invalid_yaml_gives_nothing(parse):
     assert parse("configmap.yml", "kind: ConfigMap\ndata:\n  A: x\n  A: y\n") == []
     assert parse("configmap.yml", "kind: ConfigMap\njust text\ndata:\n  A: x\n") == []
     assert parse("docker-compose.yml", "") == []
-    assert parse("docker-compose.yml", "services:\n  a:\n    environment:\n      <<: *base\n      A: *ref\n      B: 1\n") == [("B", "1")]
+    # an alias without an anchor, or inside its own, a merge of what is no map, brackets left open
+    for env in ("A: *ref\n      B: 1", "<<: *base\n      B: 1", "&e\n      A: *e", "<<: text\n      B: 1", "{A: 1", "A: b: c", "A: 'x' y", "A: @x"):
+        assert parse("docker-compose.yml", f"services:\n  a:\n    environment:{' ' if env[0] in '&{' else chr(10) + ' ' * 6}{env}\n") == [], env
+
+
+def test_anchors_aliases_and_merge_keys(parse):
+    content = """
+x-base: &base
+  A: base
+  B: base
+x-more: &more {B: more, C: more}
+x-all: &all
+  <<: [*more, *base]
+  D: all
+name: &v 12
+services:
+  one:
+    environment:
+      <<: *base
+      B: own
+  two: &two
+    environment: *all
+  three:
+    environment:
+      E: *v
+      "<<": quoted
+  four:
+    <<: *two
+    image: x
+  five:
+    environment: &list
+    - F=1
+  six:
+    environment: *list
+"""
+    got = parse("docker-compose.yml", content)
+    assert got[:2] == [("B", "own"), ("A", "base")]
+    assert sorted(got[2:6]) == [("A", "base"), ("B", "more"), ("C", "more"), ("D", "all")]
+    assert got[6:8] == [("E", "12"), ("<<", "quoted")]
+    assert sorted(got[8:]) == [("A", "base"), ("B", "more"), ("C", "more"), ("D", "all"), ("F", "1"), ("F", "1")]
+
+
+def test_flow_collections_and_json(parse):
+    want = [("G", "1"), ("H", "x, y"), ("I", "<nil>")]
+    for text in (
+        "services:\n  fl2: {environment: {G: 1, H: 'x, y', I}}\n",
+        'services: {fl: {image: [a, {b: [c]}], environment: {"G":1,\n  "H":"x, y", # note\n  I: }}}\n',
+        '{"services": {"a": {"environment": {"G": 1, "H": "x, y", "I": null}}}}',
+        "services: {a: {environment: [G=1, 'H=x, y', I, {J: K=1}]}}",
+    ):
+        assert parse("docker-compose.yml", text) == (want if "[G=1" not in text else want[:2]), text
+    assert parse("configmap.yml", '{"kind":"ConfigMap","data":{"A":"1","B":2,"C":{"D":"x"}}}') == [("A", "1")]
+
+
+def test_scalars_over_lines_tags_and_explicit_keys(parse):
+    content = """kind:
+  ConfigMap
+data:
+  H: one
+    two
+
+    three # end
+  ? K
+  : v
+  ? "L"
+  P: !!str 5
+  Q: !!int "6"
+  R: !own text
+  S: ! 7
+  T: "a\\
+      b
+      c\\u0041"
+  U: |2
+     x
+    y
+  V: >
+    f
+    g
+
+      h
+    i
+"""
+    assert parse("configmap.yaml", content) == [
+        ("H", "one two\nthree"), ("K", "v"), ("P", "5"), ("R", "text"), ("S", "7"), ("T", "ab cA"), ("U", " x\ny\n"),
+        ("V", "f g\n\n  h\ni\n"),
+    ]
+
+
+def test_keys_that_are_no_strings(parse):
+    # a map with such a key is no map from names; the outermost one is read by name whatever its keys are
+    env = "services:\n  a:\n    environment:\n      {}: 1\n      B: 2\n  b:\n    environment:\n      C: 3\n"
+    assert parse("docker-compose.yml", env.format("12")) == [("C", "3")]
+    assert parse("docker-compose.yml", env.format("true")) == [("C", "3")]
+    assert parse("docker-compose.yml", env.format("'12'")) == [("12", "1"), ("B", "2"), ("C", "3")]
+    assert parse("docker-compose.yml", "12: x\n" + env.format("yes")) == [("yes", "1"), ("B", "2"), ("C", "3")]
+    assert parse("docker-compose.yml", env.format("[x]")) == []
 
 
 def test_yaml_leaves_of_nested_lists(source):
-    content = "a:\n  - name: x\n    env:\n      - k: v\n  - y\nb:\n- - 1\n"
+    content = "a:\n  - name: x\n    env:\n      - k: v\n  - y\nb:\n- - 1\n  - - 2\n"
     rows = definitions.parse_block_yaml(source({"x.yml": content})).collect()
-    assert [("/".join(r.yaml_path), r.value) for r in rows] == [("a/-/name", "x"), ("a/-/env/-/k", "v"), ("a/-", "y"), ("b/-", "- 1")]
+    assert [("/".join(r.yaml_path), r.value) for r in rows] == [("a/-/name", "x"), ("a/-/env/-/k", "v"), ("a/-", "y"), ("b/-/-", "1"), ("b/-/-/-", "2")]
+
+
+def test_reading_grows_with_the_text():
+    import time
+
+    def seconds(text):
+        start = time.perf_counter()
+        found = yaml_nodes.leaves(text)
+        return time.perf_counter() - start, len(found)
+
+    shapes = {
+        "lines": lambda n: "data:\n" + "".join(f"  k{i}: v\n" for i in range(n)),
+        "items": lambda n: "a:\n" + "- x: 1\n  y: 2\n" * n,
+        "flow": lambda n: "a: [" + "{b: c}, " * n + "]\n",
+        "aliases": lambda n: "a: &a {x: 1}\nb:\n" + "- *a\n" * n + "".join(f"c{i}: 1\n" for i in range(n)),
+        "continued": lambda n: "a: x\n" + "  y\n" * n,
+        "comments": lambda n: "# c\n" * n + "a: 1\n",
+        "block": lambda n: "a: |\n" + "  text\n" * n,
+    }
+    for name, shape in shapes.items():
+        small, found = seconds(shape(16_000))
+        large, _ = seconds(shape(64_000))
+        assert found and large < 9 * small + 0.1 and large < 10, (name, small, large)
+    assert yaml_nodes.leaves("a: " + "[" * 9_000 + "1" + "]" * 9_000)[0][0] == ["a"] + ["-"] * 9_000
+    assert yaml_nodes.leaves("a: " + "[" * 11_000 + "1" + "]" * 11_000) == []
+    # each line doubles what its alias stands for: a share of the document that is refused
+    bomb = "a0: &a0 [x, x]\n" + "".join(f"a{i}: &a{i} [*a{i - 1}, *a{i - 1}]\n" for i in range(1, 40))
+    assert yaml_nodes.leaves(bomb) == []
+
+
+def test_whole_documents_against_a_library():
+    library = pytest.importorskip("yaml")
+    import random
+
+    rng = random.Random(11)
+    words = ["a b  c", "it's", 'say "x"', "a: b", "- x", "#no", "a #b", "x:", "[a", "{b", "*c", "&d", "!e", "%f", "@g", "a\\b", "é ü", "?", "-",
+             "---", "...", " x", "x ", "\tx", "a\nb\n", "a\n\nb", "\n\nq", "a\n  b\nc\n", "0x1F", "|", ">", "<<", "k: [1]", "w " * 60]
+
+    def value(depth):
+        if depth == 0 or rng.random() < 0.4:
+            return rng.choice(words)
+        if rng.random() < 0.5:
+            return [value(depth - 1) for _ in range(rng.randint(1, 4))]
+        return {f"{rng.choice(words[:20])}{i}": value(depth - 1) for i in range(rng.randint(1, 4))}
+
+    def flat(v, path=()):
+        if isinstance(v, dict):
+            for k, x in v.items():
+                yield from flat(x, (*path, k))
+        elif isinstance(v, list):
+            for x in v:
+                yield from flat(x, (*path, "-"))
+        else:
+            yield (list(path), v)
+
+    for _ in range(1500):
+        tree = {f"r{i}": value(4) for i in range(2)}
+        text = library.safe_dump(
+            tree, default_flow_style=rng.choice([None, True, False]), width=rng.choice([20, 80]), indent=rng.choice([2, 4]),
+            default_style=rng.choice([None, None, '"', "'", "|", ">"]), explicit_start=rng.random() < 0.2, sort_keys=False,
+        )
+        assert [leaf[:2] for leaf in yaml_nodes.leaves(text)] == [tuple(leaf) for leaf in flat(library.safe_load(text))], text
 
 
 def test_long_line_rejects_the_whole_file(parse):

@@ -167,9 +167,7 @@ def test_kinds_of_one_language(source):
 def test_a_language_can_be_added_as_data(spark):
     from dataclasses import replace
 
-    ruby = replace(
-        languages.PYTHON, names=("ruby",), needles=(("ENV",),), starts="E\"'#", access=r"ENV~\[SUBSCRIPT\]", head=r"ENV~\[", interpolated=None
-    )
+    ruby = replace(languages.PYTHON, names=("ruby",), needles=(("ENV",),), bracketed=r"ENV~\[", template=None)
     df = spark.createDataFrame([("r", "a.rb", "ruby", "ENV['A']\n# ENV['B']")], "repo_id string, path string, language string, content string")
     assert [r.key for r in usages.extract_usages(df, (ruby,)).collect()] == ["A"]
 
@@ -179,8 +177,98 @@ def test_extraction_does_not_shuffle(source):
     assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
 
 
-def test_known_deviations(extract):
-    # an escaped brace of an f-string is taken for a hole
-    assert extract("a.py", "f\"{x} {{os.getenv('A')}}\"") == [(1, "A", "static")]
-    # comments inside an expression are left out of it
-    assert extract("a.js", "process.env[a /* c */ + b]") == [(1, "a  + b", "dynamic")]
+def test_holes_hold_any_code(extract):
+    js = {
+        "x = `${cond ? {a: 1} : process.env.B}`": [(1, "B")],
+        "`${\n process.env.C\n}`": [(2, "C")],
+        "`${y.map(z => { return process.env.D })}`": [(1, "D")],
+        "`${'" + "x" * 5000 + "' + process.env.E}`": [(1, "E")],
+        "`a ${`b ${process.env.F} }`} ${process.env.G}` + process.env.H": [(1, "F"), (1, "G"), (1, "H")],
+        "`\\${process.env.NO} ${process.env.I}`": [(1, "I")],
+        "`${'}'}` + process.env.J": [(1, "J")],
+        "`${" * 200 + "process.env.DEEP" + "}`" * 200: [(1, "DEEP")],
+    }
+    for code, keys in js.items():
+        assert [(line, k) for line, k, _ in extract("a.js", code)] == keys, code
+    py = {
+        "f\"{x} {{os.getenv('A')}}\"": [],
+        'f"{ {1: os.environ["D"]}[1]:{os.getenv("W")}}"': ["D", "W"],
+        'f"""{\nos.getenv("M")\n}""" + rf"\\{os.getenv("N")}"': ["M", "N"],
+        "f'{f\"{os.getenv(key)}\"}'": ["key"],
+        "'{os.getenv(1)}' + f'{{}}' + os.getenv('Q')": ["Q"],
+    }
+    for code, keys in py.items():
+        assert [k for _, k, _ in extract("a.py", code)] == keys, code
+
+
+@pytest.mark.parametrize("depth", [1, 4, 50, 200, 20_000])
+def test_brackets_of_any_depth(extract, depth):
+    inner, ends = "f(" * depth, ")" * depth
+    assert extract("a.go", f'os.Getenv({inner}"A"{ends} + "B")') == [(1, f'{inner}"A"{ends} + "B"', "dynamic")]
+    assert extract("a.go", f'{inner}os.Getenv("A"){ends}') == [(1, "A", "static")]
+    assert extract("a.rs", f"let x = {'[' * depth}env::var(name){']' * depth};") == [(1, "name", "var_ref")]
+
+
+def test_accesses_in_arguments_of_accesses(extract):
+    assert extract("a.go", 'os.Getenv(f(os.Getenv("A")) + "B")') == [(1, "A", "static"), (1, 'f(os.Getenv("A")) + "B"', "dynamic")]
+    assert extract("a.js", "process.env[process.env[x]]") == [(1, "x", "var_ref")]
+    assert extract("A.java", 'System.getenv().get(System.getenv("A"))') == [(1, "A", "static")]
+
+
+def test_slashes_and_elements(extract):
+    cases = {
+        "const a = <p>don't {process.env.A} it's</p>; process.env.B": ["A", "B"],
+        "return <><b c='{' d={process.env.C}/>// no comment {`'${process.env.D}`}</>": ["C", "D"],
+        "if (x) /'/.test(process.env.E)": ["E"],
+        "a = (b) / c; s = 'x/y'; process.env.F": ["F"],
+        "a++ / 2; process.env.G // '": ["G"],
+        "function f() {}\n/'/.test(process.env.H)": ["H"],
+        "x = {} / process.env.I; y = '/'": ["I"],
+        "const f = <T>(x: T) => x; const s = \"don't\"; process.env.J": ["J"],
+        "const f = <T extends U>(x: T) => x; process.env.K": ["K"],
+        "if (a < b && c > d) process.env.L; s = '</b>'": ["L"],
+        "`${/`}/.test(process.env.M)}`": ["M"],
+    }
+    for code, keys in cases.items():
+        assert [k for _, k, _ in extract("a.tsx", code)] == keys, code
+
+
+def test_comments(extract):
+    # an expression's text is what stands between its first and last token
+    assert extract("a.js", "process.env[/* x */ a /* c */ + b // d\n]") == [(1, "a /* c */ + b", "dynamic")]
+    assert extract("a.rs", '/* a /* b /* c */ */ env::var("A") */ env::var(/* ( */ "B")') == [(1, "B", "static")]
+    assert extract("a.go", "/* never closed os.Getenv(\"A\")") == []
+
+
+def test_a_long_line_is_held_once(source):
+    """2 MB on one line with 400 accesses: each row carries it, the file's array does not."""
+    line = "".join(f'x("{"y" * 5000}", process.env.K{n}); ' for n in range(400))
+    found = usages.extract_usages(files.code_files(source({"a.js": line})))
+    got = found.agg(F.count_distinct("key"), F.min(F.length("code_snippet")), F.max(F.length("code_snippet"))).first()
+    assert tuple(got) == (400, len(line) - 1, len(line) - 1)
+
+
+def test_work_grows_with_the_text():
+    """Twice the text takes at most about twice the time, whatever is nested or left open."""
+    import time
+
+    from keydrift.functions.accesses import placed
+
+    def seconds(code, rule):
+        best = []
+        for _ in range(3):
+            start = time.perf_counter()
+            placed(code, rule, " ")
+            best.append(time.perf_counter() - start)
+        return min(best)
+
+    shapes = {
+        "open quotes": ('"', "process.env.A"), "open brackets": ("f(", "process.env.A"), "open comments": ("/* ", "process.env.A"),
+        "closers": (")", "process.env.A"), "slashes": ("a / ", "process.env.A"), "elements": ("<a>", "process.env.A"),
+        "templates": ("`${", "process.env.A"), "accesses": ("process.env[a + ", "b"), "lines": ("process.env.A;\n", ""),
+    }
+    for name, (piece, end) in shapes.items():
+        n = 20_000 if name != "accesses" else 400
+        small, large = seconds(piece * n + end, languages.JAVASCRIPT), seconds(piece * 4 * n + end, languages.JAVASCRIPT)
+        # nested accesses that are operands return the text of each: that output alone is quadratic
+        assert large < (24 if name == "accesses" else 9) * small + 0.05, (name, small, large)
