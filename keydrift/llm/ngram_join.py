@@ -6,21 +6,23 @@
    band with largest size u, similar sets differ by at most H = 2u/7 shingles. The universe is hashed into m = H + 1 + c
    segments; two similar sets then agree in at least 1 + c of them.
 3. *Allocation.* An empty segment is the most expensive one to look up and gets no budget (0); others get 1, an exact
-   look-up. A set with at most c empty segments is done. Any other raises its segments of two or more shingles to 2:
-   their one-deletion neighbourhoods are indexed too, which finds every set that differs there by one shingle. If even
-   that leaves the sum of budgets below H + 1, the set goes on to a next, independently hashed universe. A pair is found
-   as soon as the budget of one of its sets suffices, since both index what the other looks up.
+   look-up. Of the c spare look-ups that a set has left it gives up those with the longest postings, counted over all sets:
+   a passage that many texts share is not looked up as long as the rest of a text suffices. A set with more than c empty
+   segments raises its segments of two or more shingles to 2: their one-deletion neighbourhoods are indexed too, which
+   finds every set that differs there by one shingle. If even that leaves the sum of budgets below H + 1, the set goes on
+   to a next, independently hashed universe. A pair is found as soon as the look-ups of one of its sets suffice, since both
+   index what the other looks up.
 4. *Postings.* Signatures meet in hash buckets as packed blocks; those of one set alone are dropped there.
-5. *Verification.* Each group of sets with a signature in common links its members to its smallest one; candidates that
-   pass size and sketch are verified on the whole sets, and links are joined into components. In groups that still span
-   several components, compared by sketch in blocks, the closest pair of each two components is tried, as long as that
-   joins many; at last all pairs across components that pass the sketch are verified.
+5. *Verification.* Each posting links its members to its smallest one; candidates that pass size and sketch are verified on
+   the whole sets, and links are joined into components. Postings that still span several components are put together by
+   their smallest member and cut into cells of bounded bytes, each with its members' sets. Inside a cell, pairs across
+   components of which one looks the other up are verified, the closest first, unless links found there join them already.
 
-Pairs are never emitted for a whole group; a group inside one component needs no more than its links to one member.
+Pairs are never rows of a table, but for one per member and posting's first; what leaves a cell are links that join something.
 
-Defined cases: texts without words have no shingles and link with nothing; a set is named by its smallest doc_id, and sets
-of one name (of rows that share a doc_id) are one; a set of null doc_ids alone has no component; repeated rows are equal
-sets; an empty table gives an empty table; extra columns are not read. Hashes have 64 bits, fingerprints 128.
+Defined cases: texts without words have no shingles and link with nothing; each row is judged by its own text, rows that
+share a doc_id too; a null doc_id names no component, but its text links others; repeated rows are equal sets; an empty table
+gives an empty table; extra columns are not read. Shingles and sets are told apart by hashes of 64 bits.
 """
 
 from __future__ import annotations
@@ -38,8 +40,9 @@ from keydrift.llm.shingles import U, mixed
 WORDS = 5
 #: The similarity as a fraction of whole numbers.
 SIMILAR = (75, 100)
-#: Members of a group that one task compares by sketch; larger groups are cut into blocks of this size.
+#: Members, and shingles of members, of a block; a cell holds one or two blocks of one group.
 GROUP = 1000
+BLOCK_SHINGLES = 1 << 20
 #: Pairs that are held in memory at a time while a task compares sketches.
 PAIRS = 500_000
 #: Signatures of a bucket, and of a packed block.
@@ -85,18 +88,44 @@ def folded(sketch: np.ndarray, size: int) -> np.ndarray:
     return sketch
 
 
+def node_of(sets: list[np.ndarray]) -> np.ndarray:
+    """A set's identifier: a hash of its size, its sum and the sum of its shingles otherwise hashed."""
+    one = np.array([mixed(x + OF_SEED).sum(dtype=np.uint64) for x in sets], np.uint64)
+    two = np.array([mixed(x + OF_SCHEME).sum(dtype=np.uint64) for x in sets], np.uint64)
+    return mixed(one ^ mixed(two + np.array([len(x) for x in sets], np.uint64))).view(np.int64)
+
+
+def _cut(h: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    return np.split(h, np.cumsum(n)[:-1])
+
+
+def allowances(h: np.ndarray, n: np.ndarray, schemes: Schemes) -> np.ndarray:
+    """Look-ups that each set can do without in the scheme of even and of odd number: spare segments less empty ones."""
+    out = np.zeros((2, len(n)), np.int64)
+    band, owner = np.searchsorted(schemes.top, n), np.repeat(np.arange(len(n)), n)
+    for up in (0, 1):
+        scheme = band + up
+        seg = ((h >> U(32)) * schemes.segments[scheme[owner]].astype(np.uint64)) >> U(32)
+        new = np.ones(len(h), bool)
+        new[1:] = (owner[1:] != owner[:-1]) | (seg[1:] != seg[:-1])
+        empty = schemes.segments[scheme] - np.bincount(owner[new], minlength=len(n))
+        out[scheme & 1, np.arange(len(n))] = np.maximum(schemes.spare[scheme] - empty, 0)
+    return out
+
+
 def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sizes, one, two, odd = [], [], [], []
+        sizes, nodes, odd, less = [], [], [], []
         for _, _, data, offsets in shingles.slices(batch.column("text")):
             h, n = shingles.shingle_sets(data, offsets, WORDS)
-            for part in np.split(h, np.cumsum(n)[:-1]):
-                one.append(int(mixed(part + OF_SEED).sum(dtype=np.uint64)))
-                two.append(int(mixed(part + OF_SCHEME).sum(dtype=np.uint64)))
-                odd.append(odd_sketch(part) if len(part) else b"")
-            sizes += n.tolist()
-        arrays = [batch.column("doc_id"), pa.array(sizes, pa.int64()), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (one, two)), pa.array(odd, pa.binary())]
-        yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n", "f1", "f2", "odd"])
+            parts = _cut(h, n)
+            nodes.append(node_of(parts))
+            odd += [odd_sketch(part) if len(part) else b"" for part in parts]
+            less.append(allowances(h, n, Schemes(int(n.max(initial=0)))))
+            sizes.append(n)
+        n, node, less = (np.concatenate(x, axis=-1) for x in (sizes, nodes, less))
+        arrays = [batch.column("doc_id"), batch.column("key"), pa.array(node), pa.array(n, pa.int64()), *map(pa.array, less), pa.array(odd, pa.binary())]
+        yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "key", "id", "n", "less0", "less1", "odd"])
 
 
 def _content(h: np.ndarray) -> np.ndarray:
@@ -104,7 +133,8 @@ def _content(h: np.ndarray) -> np.ndarray:
 
 
 def _signature(content: np.ndarray, segment: np.ndarray, scheme: np.ndarray, seed: int, kind: np.uint64 = U(0)) -> np.ndarray:
-    return mixed(content + segment * OF_SEGMENT + scheme * OF_SCHEME + U(seed) * OF_SEED + kind)
+    """A hash; its last bit tells the schemes apart that a set may be in, which follow each other."""
+    return mixed(content + segment * OF_SEGMENT + scheme * OF_SCHEME + U(seed) * OF_SEED + kind) & ~U(1) | scheme & U(1)
 
 
 def signatures(h: np.ndarray, n: np.ndarray, schemes: Schemes) -> tuple[np.ndarray, np.ndarray]:
@@ -186,10 +216,10 @@ def _indexed(largest: int, buckets: int):
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schemes, waiting, size = Schemes(largest), [], 0
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            for a, b, data, offsets in shingles.slices(batch.column("text")):
-                sigs, of = signatures(*shingles.shingle_sets(data, offsets, WORDS), schemes)
-                waiting.append((sigs, ids[a:b][of]))
+            for _, _, data, offsets in shingles.slices(batch.column("text")):
+                h, n = shingles.shingle_sets(data, offsets, WORDS)
+                sigs, of = signatures(h, n, schemes)
+                waiting.append((sigs, node_of(_cut(h, n))[of]))
                 size += len(sigs)
                 if size >= BUCKET:
                     yield _packed(np.concatenate([s for s, _ in waiting]), np.concatenate([i for _, i in waiting]), buckets)
@@ -201,7 +231,8 @@ def _indexed(largest: int, buckets: int):
 
 
 def _grouped(table: pa.Table) -> pa.Table:
-    """The signatures of a bucket that several sets have: (sig, id, first), first being the group's smallest id."""
+    """The signatures of a bucket that several sets have: (sig, side, id, first, g); side is the scheme's parity, first the
+    smallest id of the g that have the signature."""
     bucket = table.column("bucket")[0].as_py()
     parts = [_unpacked(s.as_py(), i.as_py()) for s, i in zip(table.column("sigs"), table.column("ids"), strict=True)]
     sigs, ids = np.concatenate([s for s, _ in parts]), np.concatenate([i for _, i in parts])
@@ -221,7 +252,8 @@ def _grouped(table: pa.Table) -> pa.Table:
     first, several = np.repeat(ids[at], size), np.repeat(size, size) > 1
     # a signature is told apart from those of other buckets by the bucket's number
     named = mixed(sigs.view(np.uint64) + np.full(len(sigs), bucket, np.uint64) * OF_SEED).view(np.int64)
-    return pa.table({"sig": named[several], "id": ids[several], "first": first[several]})
+    side = (sigs & 1).astype(np.int32)
+    return pa.table({"sig": named[several], "side": side[several], "id": ids[several], "first": first[several], "g": np.repeat(size, size)[several]})
 
 
 def _fits(na: np.ndarray, nb: np.ndarray, distance: np.ndarray) -> np.ndarray:
@@ -244,28 +276,42 @@ def _sieved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(keep)
 
 
+def _similar(x: np.ndarray, y: np.ndarray) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return SIMILAR[1] * both >= SIMILAR[0] * (len(x) + len(y) - both)
+
+
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    p, q = SIMILAR
     for batch in batches:
-        keep = []
-        for a, b in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
-            x, y = np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(q * both >= p * (len(x) + len(y) - both))
+        sets = zip(batch.column("set_a"), batch.column("set_b"), strict=True)
+        keep = [_similar(np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)) for a, b in sets]
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = []
         for _, _, data, offsets in shingles.slices(batch.column("text")):
-            h, n = shingles.shingle_sets(data, offsets, WORDS)
-            out += [x.tobytes() for x in np.split(h, np.cumsum(n)[:-1])]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], ["id", "set"])
+            parts = _cut(*shingles.shingle_sets(data, offsets, WORDS))
+            yield pa.RecordBatch.from_arrays([pa.array(node_of(parts)), pa.array([x.tobytes() for x in parts], pa.binary())], ["id", "set"])
+
+
+def _distances(odd: list[bytes], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sketch distances of pairs of sets, by index, the larger sketch folded to the smaller one's size."""
+    words = np.array([len(o) for o in odd], np.int64) // 8
+    least, out = np.minimum(words[a], words[b]), np.zeros(len(a), np.int64)
+    for size in np.unique(least).tolist():
+        at = np.flatnonzero(least == size)
+        used, where = np.unique(np.concatenate([a[at], b[at]]), return_inverse=True)
+        m = np.stack([folded(np.frombuffer(odd[k], np.uint64), size) for k in used])
+        step = max(1, PAIRS // size)
+        for k in range(0, len(at), step):
+            x, y = where[: len(at)][k : k + step], where[len(at) :][k : k + step]
+            out[at[k : k + step]] = np.bitwise_count(m[x] ^ m[y]).sum(axis=1, dtype=np.int64)
+    return out
 
 
-def _cell_pairs(start: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row pairs inside runs of rows, some millions at a time."""
+def _pairs(start: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows inside runs of rows, about ``PAIRS`` at a time."""
     shape: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     p, q, waiting = [], [], 0
     for at, g in zip(start.tolist(), size.tolist(), strict=True):
@@ -281,74 +327,71 @@ def _cell_pairs(start: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarra
         yield np.concatenate(p), np.concatenate(q)
 
 
-def _distances(odd: list[bytes], a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Sketch distances of pairs of sets, by index, the larger sketch folded to the smaller one's size."""
-    words = np.array([len(o) for o in odd], np.int64) // 8
-    least, out = np.minimum(words[a], words[b]), np.zeros(len(a), np.int64)
-    for size in np.unique(least).tolist():
-        at = np.flatnonzero(least == size)
-        used, where = np.unique(np.concatenate([a[at], b[at]]), return_inverse=True)
-        m = np.stack([folded(np.frombuffer(odd[k], np.uint64), size) for k in used])
-        step = max(1, PAIRS // size)
-        for k in range(0, len(at), step):
-            x, y = where[: len(at)][k : k + step], where[len(at) :][k : k + step]
-            out[at[k : k + step]] = np.bitwise_count(m[x] ^ m[y]).sum(axis=1, dtype=np.int64)
-    return out
+def _compared(members: pa.Table, whole: pa.Table) -> pa.Table:
+    """The links inside a part's cells that join something. ``members``: first, cell, sig, id, comp, looks, block, across;
+    ``whole``: member, n, odd, set."""
+    ids, size = whole.column("member").to_numpy(), whole.column("n").to_numpy()
+    odd = whole.column("odd").to_pylist()
+    sets = [np.frombuffer(s, np.uint64) for s in whole.column("set").to_pylist()]
+    order = np.argsort(ids)
+    names = ("first", "cell", "sig", "id", "comp", "looks", "block", "across")
+    rows = [members.column(c).to_numpy(zero_copy_only=False) for c in names]
+    by = np.lexsort((rows[2], rows[1], rows[0]))
+    first, cell, sig, who, comp, looks, block, across = (v[by] for v in rows)
+    who = order[np.searchsorted(ids[order], who)]
+    cut = np.flatnonzero(np.r_[True, (sig[1:] != sig[:-1]) | (cell[1:] != cell[:-1]) | (first[1:] != first[:-1])])
+    runs = np.diff(np.r_[cut, len(sig)])
+    mixed_run = np.maximum.reduceat(comp, cut) != np.minimum.reduceat(comp, cut)
+    component = np.zeros(len(ids), np.int64)
+    component[who] = comp
+    found = [np.zeros((3, 0), np.int64)]
+    for x, y in _pairs(cut[mixed_run], runs[mixed_run]):
+        ok = (comp[x] != comp[y]) & (looks[x] | looks[y]) & (~across[x] | (block[x] != block[y]))
+        x, y = who[x[ok]], who[y[ok]]
+        ok = _fits(size[x], size[y], np.zeros(len(x), np.int64))
+        pair = np.unique(np.minimum(x[ok], y[ok]) * len(ids) + np.maximum(x[ok], y[ok]))
+        x, y = pair // len(ids), pair % len(ids)
+        distance = _distances(odd, x, y)
+        ok = _fits(size[x], size[y], distance)
+        found.append(np.stack([distance[ok], x[ok], y[ok]]))
+    root: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    a, b = [], []
+    for _, x, y in np.unique(np.concatenate(found, axis=1), axis=1).T.tolist():
+        u, v = top(int(component[x])), top(int(component[y]))
+        if u != v and _similar(sets[x], sets[y]):
+            root[u] = v
+            a.append(ids[x])
+            b.append(ids[y])
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def _compared(closest: bool):
-    """Compares the members of each cell of a group by size and sketch, across components, and gives candidate pairs.
-
-    ``closest``: of each two components the closest pair only; otherwise every pair that passes.
-    """
-
-    def compare(table: pa.Table) -> pa.Table:
-        sig, cell = table.column("sig").to_numpy(), table.column("cell").to_numpy()
-        order = np.lexsort((cell, sig))
-        table, sig, cell = table.take(pa.array(order)), sig[order], cell[order]
-        ids, comp, n, block, side = (table.column(c).to_numpy() for c in ("id", "comp", "n", "block", "side"))
-        # a node of several sets (rows that share a doc_id) is looked up by its row
-        key, first, row = np.unique(np.stack([ids, n]), axis=1, return_index=True, return_inverse=True)
-        odd = table.column("odd").take(pa.array(first)).to_pylist()
-        row = row.ravel()
-        cut = np.flatnonzero(np.r_[True, (sig[1:] != sig[:-1]) | (cell[1:] != cell[:-1])])
-        size = np.diff(np.r_[cut, len(sig)])
-        mixed_cell = np.maximum.reduceat(comp, cut) != np.minimum.reduceat(comp, cut)
-        found = [np.zeros((3, 0), np.int64)]
-        for p, q in _cell_pairs(cut[mixed_cell], size[mixed_cell]):
-            # a cell of two blocks compares across them, a cell of one inside it
-            ok = (comp[p] != comp[q]) & _fits(n[p], n[q], np.zeros(len(p), np.int64)) & ((block[p] == side[p]) | (block[p] != block[q]))
-            p, q = p[ok], q[ok]
-            pair = np.unique(np.minimum(row[p], row[q]) * len(first) + np.maximum(row[p], row[q]))
-            x, y = pair // len(first), pair % len(first)
-            distance = _distances(odd, x, y)
-            ok = _fits(key[1][x], key[1][y], distance)
-            found.append(np.stack([first[x[ok]], first[y[ok]], distance[ok]]))
-        x, y, distance = np.concatenate(found, axis=1)
-        if closest and len(x):
-            lo, hi = np.minimum(comp[x], comp[y]), np.maximum(comp[x], comp[y])
-            order = np.lexsort((distance, hi, lo))
-            new = np.r_[True, (lo[order][1:] != lo[order][:-1]) | (hi[order][1:] != hi[order][:-1])]
-            x, y = x[order[new]], y[order[new]]
-        pairs = np.unique(np.stack([np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])]), axis=1)
-        return pa.table({"a": pairs[0], "b": pairs[1]})
-
-    return compare
-
-
-def only(docs: DataFrame, ids: DataFrame, column: str, how: str) -> DataFrame:
+def only(docs: DataFrame, ids: DataFrame, column: str | list[str], how: str) -> DataFrame:
     """A semi or anti join on one table of identifiers, sent to all tasks if it is small."""
     ids = F.broadcast(ids) if ids.count() <= SENT else ids.hint("merge")
     return docs.join(ids, column, how)
 
 
+def _whole_sets(docs: DataFrame, nodes: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, set) of the given nodes, each once; texts are read by a node's smallest doc_id, or by having none."""
+    named = tables.stored(ids.join(nodes.select("id", "doc_id"), "id"))
+    texts = only(docs.where("doc_id is not null"), named.select("doc_id").where("doc_id is not null").distinct(), "doc_id", "left_semi")
+    nameless = docs.where("doc_id is null") if named.where("doc_id is null").take(1) else docs.limit(0)
+    sets = texts.select("text").union(nameless.select("text")).mapInArrow(_sets, "id long, set binary")
+    return tables.stored(sets.groupBy("id").agg(F.first("set").alias("set")).join(named.select("id"), "id", "left_semi"))
+
+
 def _confirmed(docs: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Those of the candidate edges (a, b) that are links: by size and sketch, then on the whole sets."""
     a, b = (nodes.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("odd").alias(f"odd_{x}")) for x in "ab")
     near = tables.stored(edges.join(a, "a").join(b, "b").mapInArrow(_sieved, "a long, b long"))
-    ids = near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct()
-    sets = only(docs.select("doc_id", "text"), tables.stored(ids), "doc_id", "left_semi").mapInArrow(_sets, "id long, set binary")
-    sets = tables.stored(sets.dropDuplicates(["id", "set"]))
+    sets = _whole_sets(docs, nodes, near.select(F.col("a").alias("id")).union(near.select("b")).distinct())
     x, y = (sets.select(F.col("id").alias(c), F.col("set").alias(f"set_{c}")) for c in "ab")
     rows = near.join(y, "b").join(x, "a").mapInArrow(_verified, "a long, b long")
     return tables.stored(rows.distinct())
@@ -375,69 +418,92 @@ def components(edges: DataFrame) -> DataFrame:
     return tables.stored(ends.union(ends.select(F.col("comp").alias("id"), "comp").distinct()))
 
 
-def _unsettled(groups: DataFrame, comp: DataFrame, nodes: DataFrame, closest: bool) -> DataFrame:
-    """Candidate edges inside groups that span several components."""
-    rows = groups.join(comp, "id", "left").select("sig", "id", F.coalesce("comp", "id").alias("comp"))
-    spread = rows.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("g"))
-    spread = spread.where("lo != hi").select("sig", F.ceil(F.col("g") / GROUP).alias("k"))
-    rows = rows.join(spread, "sig").withColumn("block", F.pmod(F.xxhash64("id"), "k"))
-    # each pair of blocks is a cell; a member goes to the k cells of its block
-    rows = rows.withColumn("o", F.explode(F.expr("sequence(0L, k - 1)"))).select(
-        "sig", "id", "comp", "block", F.col("o").alias("side"), (F.least("block", "o") * F.col("k") + F.greatest("block", "o")).alias("cell")
-    )
-    rows = rows.join(nodes.select("id", "n", "odd"), "id")
-    parts = tables.cut_buckets(groups.select("sig"), 50_000)
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("sig", "cell"), F.lit(parts)))
-    return rows.groupBy("part").applyInArrow(_compared(closest), "a long, b long").distinct()
-
-
-def _links(docs: DataFrame, nodes: DataFrame, groups: DataFrame) -> DataFrame:
-    """Links enough to join every two sets that links join: first to the smallest member of each group, then the closest
-    pair of each two components that share one, again as long as a tenth of these are links; at last all pairs that are
-    left and may be links."""
-    tried = tables.stored(groups.where("id != first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct())
-    links = _confirmed(docs, nodes, tried)
-    closest = True
-    while True:
-        more = tables.stored(_unsettled(groups, components(links), nodes, closest).join(tried, ["a", "b"], "left_anti"))
-        found = _confirmed(docs, nodes, more)
-        links = tables.stored(links.union(found))
-        if not closest:
-            return links
-        tried, closest = tables.stored(tried.union(more)), 10 * found.count() > more.count()
+def _allocated(groups: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The postings with ``looks``: whether a member looks the signature up. Of those of one scheme it gives up as many as
+    it can do without, the longest first."""
+    less = nodes.select("id", F.posexplode(F.array("less0", "less1")).alias("side", "less")).where("less > 0")
+    rank = F.row_number().over(Window.partitionBy("id", "side").orderBy(F.desc("g"), "sig"))
+    ranked = groups.withColumn("rank", rank).join(less.hint("merge"), ["id", "side"], "left")
+    return ranked.select("sig", "id", "first", "g", (F.col("rank") > F.coalesce("less", F.lit(0))).alias("looks"))
 
 
-def linked(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row."""
+def _unsettled(docs: DataFrame, nodes: DataFrame, groups: DataFrame, comp: DataFrame) -> DataFrame:
+    """Links inside postings that span several components, in cells of two blocks of a group each."""
+    rows = groups.join(comp, "id", "left").select("sig", "id", "first", "looks", F.coalesce("comp", "id").alias("comp"))
+    open_ = rows.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("looks").alias("any")).where("lo != hi and any")
+    rows = tables.stored(rows.join(open_.select("sig"), "sig"))
+    sizes = rows.select("first", "id").distinct().join(nodes.select("id", "n"), "id").groupBy("first").agg(
+        F.greatest(F.ceil(F.count(F.lit(1)) / GROUP), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("k"), F.sum("n").alias("volume")
+    )
+    sizes = tables.stored(sizes)
+    # each pair of blocks is a cell; a member goes to the k cells of its block
+    placed = rows.join(sizes.select("first", "k"), "first").withColumn("block", F.pmod(F.xxhash64("id"), "k"))
+    placed = placed.withColumn("o", F.explode(F.expr("sequence(0L, k - 1)"))).withColumn("across", F.col("block") != F.col("o"))
+    cell = F.least("block", "o") * F.col("k") + F.greatest("block", "o")
+    volume = sizes.agg(F.sum(F.col("volume") * F.col("k"))).first()[0] or 0
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(volume) // (4 * BLOCK_SHINGLES)))
+    placed = tables.stored(placed.select(
+        "first", cell.alias("cell"), "sig", "id", "comp", "looks", "block", "across",
+        F.pmod(F.xxhash64("first", cell), F.lit(parts)).alias("part"),
+    ))
+    sets = _whole_sets(docs, nodes, placed.select("id").distinct())
+    homes = placed.select(F.col("part").alias("home"), F.col("id").alias("member")).distinct()
+    whole = homes.join(nodes.select(F.col("id").alias("member"), "n", "odd"), "member").join(sets.withColumnRenamed("id", "member"), "member")
+    met = placed.groupBy("part").cogroup(whole.select("home", "member", "n", "odd", "set").groupBy("home"))
+    return tables.stored(met.applyInArrow(_compared, "a long, b long").distinct())
+
+
+def _sets_linked(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The profiles (doc_id, key, id, n, ...) of all rows, key being a text's hash, the nodes (id, its smallest doc_id, ...), and (id, comp) of those
+    nodes that link with others."""
     docs = docs.select("doc_id", "text")
-    profile = tables.stored(docs.mapInArrow(_profiles, "doc_id long, n long, f1 long, f2 long, odd binary"))
-    equal = profile.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("id"), F.first("odd").alias("odd"))
-    equal = tables.stored(equal)
-    nodes = equal.where("id is not null")
+    profile = tables.stored(docs.withColumn("key", F.xxhash64("text")).mapInArrow(_profiles, "doc_id long, key long, id long, n long, less0 long, less1 long, odd binary"))
+    kept = (F.first(c).alias(c) for c in ("n", "less0", "less1", "odd"))
+    nodes = tables.stored(profile.where("n > 0").groupBy("id").agg(F.min("doc_id").alias("doc_id"), *kept))
     size = profile.agg(F.max("n"), F.sum("n")).first()
     largest, total = size[0] or 0, size[1] or 0
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET))
-    copies = profile.select("doc_id").distinct().join(equal.select(F.col("id").alias("doc_id")), "doc_id", "left_anti")
-    one = only(docs.where("doc_id is not null"), tables.stored(copies), "doc_id", "left_anti")
-    index = one.mapInArrow(_indexed(largest, buckets), "bucket long, sigs binary, ids binary")
-    groups = tables.stored(index.groupBy("bucket").applyInArrow(_grouped, "sig long, id long, first long"))
-    comp = components(_links(one, nodes, groups))
-    rows = profile.alias("p").join(equal.select("n", "f1", "f2", "id"), ["n", "f1", "f2"], "left").join(comp, "id", "left")
-    own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("comp", "id"))
+    copies = profile.where("doc_id is not null").select("doc_id").distinct().join(nodes.select("doc_id"), "doc_id", "left_anti")
+    one = only(docs, tables.stored(copies), "doc_id", "left_anti")
+    index = one.select("text").mapInArrow(_indexed(largest, buckets), "bucket long, sigs binary, ids binary")
+    groups = tables.stored(index.groupBy("bucket").applyInArrow(_grouped, "sig long, side int, id long, first long, g long"))
+    groups = tables.stored(_allocated(groups, nodes))
+    asked = groups.where("looks").select("sig").distinct()
+    tried = groups.join(asked, "sig", "left_semi").where("id != first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
+    links = _confirmed(one, nodes, tables.stored(tried))
+    more = _unsettled(one, nodes, groups, components(links))
+    return profile, nodes, components(links.union(more))
+
+
+def linked(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row."""
+    profile, nodes, comp = _sets_linked(docs)
+    joined = nodes.select("id", "doc_id").join(comp, "id", "left").select("id", "doc_id", F.coalesce("comp", "id").alias("comp"))
+    least = joined.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    named = joined.join(least, "comp").select("id", "component_id")
+    rows = profile.select("doc_id", "id", "n").join(named, "id", "left")
+    own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return rows.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """The documents without near copies: of each component the row of its smallest doc_id. Rows without words or doc_id
-    all stay; of several rows of a staying doc_id the one whose text has the smallest hash does."""
-    found = linked(docs).groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("n"))
-    found = tables.stored(found.where("doc_id is not null and (doc_id != component_id or n > 1)"))
-    again = found.where("doc_id = component_id").select("doc_id")
-    kept = only(docs, found.select("doc_id"), "doc_id", "left_anti")
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    """The documents without near copies: one row of each component, that of the smallest doc_id (then of the smallest hash
+    of its text; a null doc_id comes last). Rows without words all stay."""
+    profile, _, comp = _sets_linked(docs)
+    rows = profile.where("n > 0").groupBy("doc_id", "key", "id").agg(F.count(F.lit(1)).alias("rows"))
+    rows = tables.stored(rows.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id")))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    stays = rows.groupBy("comp").agg(F.min(order).alias("o")).select("comp", F.col("o.doc_id").alias("_doc"), F.col("o.key").alias("_key"))
+    judged = rows.join(stays, "comp").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("key") == F.col("_key")))
+    named = (F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none"), F.col("key").alias("_key"))
+    judged = tables.stored(judged.where("NOT stays OR rows > 1").select(*named, "stays"))
+    on = ["_id", "_none", "_key"]
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
-    several = only(docs, again, "doc_id", "left_semi").select(row, rank.alias("rank")).where("rank = 1")
-    return kept.select(*(F.col(f"`{c}`") for c in docs.columns)).union(several.select("row.*"))
+    texts = docs.select(row, F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none"), F.xxhash64("text").alias("_key"))
+    kept = only(texts, judged.select(*on), on, "left_anti")
+    # equal texts of one doc_id that stays may be several rows: one of them
+    once = only(texts, judged.where("stays").select(*on), on, "left_semi").groupBy(*on).agg(F.first("row").alias("row"))
+    return kept.select("row.*").union(once.select("row.*"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

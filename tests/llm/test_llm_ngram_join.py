@@ -84,13 +84,44 @@ def test_hot_groups(spark, monkeypatch, sent):
 def test_no_rows_nulls_and_shared_ids(spark):
     docs = spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (3, "x y z"), (3, "q r s t u v"), (4, "q r s t u v")], "doc_id long, text string")
     got = Counter((r[0], r[2]) for r in ngram_join.linked(docs).collect())
-    assert got[None, None] == 2 and got[4, 3] == 1
+    assert got[None, None] == 2 and got[4, 3] == 1 and got[3, 3] == 2
     assert ngram_join.linked(docs.limit(0)).count() == 0
     kept = ngram_join.representatives(docs.selectExpr("*", "'r' as row", "1 as rank"))
-    assert sorted(kept.toPandas()["doc_id"].fillna(-1)) == [-1, -1, 3] and kept.columns == ["doc_id", "text", "row", "rank"]
+    assert sorted(kept.toPandas()["text"]) == ["a b c d e f", "q r s t u v", "x y z"] and kept.columns == ["doc_id", "text", "row", "rank"]
     assert ngram_join.representatives(docs.limit(0)).count() == 0
 
 
+def test_one_text_of_each_component_stays(spark):
+    """Rows that share a doc_id are judged each by its own text."""
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(30)) for x in "abcd")
+    rows = [(3, a), (5, a), (5, b), (9, c), (9, d), (9, d), (None, d), (None, d + " more"), (None, None), (5, ""), (5, ""), (None, "e f g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(map(repr, ((r[0], r[1]) for r in ngram_join.representatives(docs).collect())))
+    assert kept == sorted(map(repr, [(3, a), (5, b), (9, c), (9, d), (None, None), (5, ""), (5, ""), (None, "e f g")]))
+
+
+def test_a_passage_that_many_share_is_not_looked_up(spark):
+    """A hot passage in half of 2,000 unlike texts, and near copies among them."""
+    rnd = random.Random(12)
+    passage = [rnd.choice(WORDS) for _ in range(12)]
+    texts = []
+    for k in range(2000):
+        own = [rnd.choice(WORDS) for _ in range(rnd.randrange(90, 130))]
+        texts.append(" ".join((passage if k % 2 else []) + own))
+        if k % 50 == 0:
+            texts.append(_changed(rnd, texts[-1].split(), 2))
+    rows = list(enumerate(texts))
+    assert _linked(spark, rows) == _brute(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    profile, nodes, _ = ngram_join._sets_linked(docs)
+    index = docs.select("text").mapInArrow(ngram_join._indexed(profile.agg({"n": "max"}).first()[0], 8), "bucket long, sigs binary, ids binary")
+    groups = index.groupBy("bucket").applyInArrow(ngram_join._grouped, "sig long, side int, id long, first long, g long")
+    looks = ngram_join._allocated(groups, nodes).where("g > 100").groupBy("looks").count().collect()
+    # long postings are given up by most of their members
+    counts = {r["looks"]: r["count"] for r in looks}
+    assert counts.get(False, 0) > 4 * counts.get(True, 0)
+
+
 def test_every_link_shares_a_signature():
     """The pigeonhole, on sets of small sizes whose segments are often empty."""
     rnd = np.random.default_rng(8)
