@@ -2,11 +2,10 @@
 the plan, every document's token windows are tested against it, survivors carry their text and are verified by an exact
 join, and hit words give spans or documents to remove.
 
-The set is a bit table of 256 bits for each window, which goes to every task; a benchmark of more than ``MOST_WINDOWS``
-windows is not sent, but meets all windows of the documents in the join alone, which Spark then shuffles.
+The set is a bit table of at least 256 bits for each window, which goes to every task. It is cut by hash into tables of
+about ``TABLE_WINDOWS`` windows, each of them sent with one scan of the documents; only survivors are ever spelt out.
 
-Words fold only A-Z. The scan uses ``lower``, which folds more, and can therefore only add survivors; the verified text
-is folded exactly.
+Words fold only A-Z, in the scan as in the verified text.
 
 Defined cases: null or wordless texts have no words and no hits; an item of fewer words than a window is one window, an
 item without words none; rows of one doc_id are judged each on its own text; equal rows get equal results; an empty
@@ -23,7 +22,7 @@ from pyspark.sql import functions as F
 from keydrift.llm import tables
 
 WINDOW = 10
-MOST_WINDOWS = 500_000
+TABLE_WINDOWS = 500_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What parts words, before folding.
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -35,6 +34,10 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(text, GAP), lambda w: w != "")
 
 
+def _folded(text: Column) -> Column:
+    return F.translate(text, UPPER, LOWER)
+
+
 def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
@@ -44,29 +47,26 @@ def _window_hash(w: Column, at: Column, n: int) -> Column:
 
 
 def _window_text(raw: Column, at: Column, n: Column | int) -> Column:
-    return F.translate(F.array_join(F.slice(raw, at + 1, n), " "), UPPER, LOWER)
+    return _folded(F.array_join(F.slice(raw, at + 1, n), " "))
 
 
 def item_windows(items: DataFrame, n: int = WINDOW) -> DataFrame:
     """Distinct (len, win, item_id, h): the windows of every item."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    words = items.select("item_id", _words(text).alias("raw"), _words(F.lower(text)).alias("w")).where(F.size("raw") > 0)
+    words = items.select("item_id", _words(text).alias("raw"), _words(_folded(text)).alias("w")).where(F.size("raw") > 0)
     k = F.least(F.size("raw"), F.lit(n))
     rows = words.withColumn("len", k).withColumn("at", F.explode(F.sequence(F.lit(0), F.size("raw") - F.col("len"))))
     h = F.xxhash64(F.slice("w", F.col("at") + 1, F.col("len")))
     return rows.select("len", _window_text(F.col("raw"), F.col("at"), F.col("len")).alias("win"), "item_id", h.alias("h")).distinct()
 
 
-def _bit_table(windows: DataFrame) -> tuple[Column | None, int]:
-    """The table as a constant and its words; None if there are too many windows to send."""
-    hashes = windows.select("h").distinct().limit(MOST_WINDOWS + 1)
-    n = hashes.count()
-    if n > MOST_WINDOWS:
-        return None, 0
-    size = 1 << max(6, (4 * n).bit_length())
+def _bit_table(windows: DataFrame) -> tuple[Column, int]:
+    """The table as a constant, and its words."""
+    hashes = [r["h"] for r in windows.select("h").distinct().collect()]  # about TABLE_WINDOWS numbers
+    size = 1 << max(6, (4 * len(hashes)).bit_length())
     table = [0] * size
-    for r in hashes.collect():  # MOST_WINDOWS numbers at most
-        table[(r["h"] >> 6) % size] |= 1 << (r["h"] & 63)
+    for h in hashes:
+        table[(h >> 6) % size] |= 1 << (h & 63)
     signed = ",".join(str(x - (1 << 64) if x >> 63 else x) for x in table)
     return F.from_json(F.lit(f"[{signed}]"), "array<bigint>"), size
 
@@ -76,12 +76,10 @@ def candidates(docs: DataFrame, windows: DataFrame, n: int = WINDOW) -> DataFram
     lengths = [r["len"] for r in windows.select("len").distinct().collect()]  # n at most
     table, size = _bit_table(windows)
     text = F.coalesce(F.col("text"), F.lit(""))
-    work = docs.select("doc_id", text.alias("text"), F.xxhash64("text").alias("key"), _words(F.lower(text)).alias("w"))
+    work = docs.select("doc_id", text.alias("text"), F.xxhash64("text").alias("key"), _words(_folded(text)).alias("w"))
 
     def tested(k: int) -> Column:
         def hit(i: Column) -> Column:
-            if table is None:
-                return F.lit(True)
             return _let(_window_hash(F.col("w"), i, k), lambda h: F.getbit(
                 F.get(table, F.pmod(F.shiftright(h, 6), F.lit(size)).cast("int")), h.bitwiseAND(F.lit(63)).cast("int")) == 1)
 
@@ -112,8 +110,11 @@ def _covered(spans: Column) -> Column:
 def hits(docs: DataFrame, items: DataFrame, n: int = WINDOW) -> DataFrame:
     """A row for each document: doc_id, key, n_words, spans (at, len), n_hit, items (as sorted strings)."""
     windows = tables.stored(item_windows(items, n))
-    found = tables.stored(candidates(docs, windows, n))
-    each = found.where(F.size("spans") > 0).select("doc_id", "key", F.inline("spans"))
+    parts = max(1, -(-windows.select("h").distinct().count() // TABLE_WINDOWS))
+    of_part = F.pmod(F.xxhash64("h"), F.lit(parts))
+    scans = [tables.stored(candidates(docs, windows.where(of_part == k), n)) for k in range(parts)]
+    found = scans[0]
+    each = reduce(DataFrame.union, (s.where(F.size("spans") > 0).select("doc_id", "key", F.inline("spans")) for s in scans))
     sure = each.join(windows.select("win", "item_id"), "win").groupBy("doc_id", "key").agg(
         F.sort_array(F.collect_set(F.struct("at", "len"))).alias("hit"),
         F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"),
