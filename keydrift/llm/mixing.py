@@ -3,7 +3,9 @@ output shard, slots are mapped to blocks by pseudorandom permutations, and block
 
 Targets are met exactly to the word: every pass over a source uses all its blocks, the last one only as many as are
 needed, the final block of it in part. The multinomial draw of each source is over the output shards, so it has the
-drawn counts' law for every shard while a source's total stays what its target asks for.
+drawn counts' law for every shard while a source's total stays what its target asks for; ``query`` returns how many words of
+a document each output shard got. The mix is a function of the rows alone: the number of hash buckets that documents are
+packed by follows from their count, not from the session's settings.
 
 Defined cases: a null text has no words and is never taken; a null source is a source of its own, the last; an empty
 table gives an empty table; repeated rows are packed one after the other as rows of their own; further columns, whatever
@@ -26,6 +28,8 @@ MOST = 2.0
 BLOCK = 256
 OUTPUT_SHARDS = 8
 SEED = 20240613
+#: Rows of a packing bucket, and the least number of buckets.
+PACK_ROWS, PACK_BUCKETS = 100_000, 256
 
 
 def targets(sizes: list[int], share: float = SHARE, most: float = MOST, weights=WEIGHTS) -> list[float]:
@@ -73,7 +77,7 @@ def _permute(index: pd.Series, n: pd.Series, key: pd.Series) -> pd.Series:
 
 def packed(sizes: DataFrame) -> DataFrame:
     """Rows (source, size, tie...) with ``start``: the words of the same source before them, by two levels of sums."""
-    buckets = tables.cut_buckets(sizes)
+    buckets = max(PACK_BUCKETS, -(-sizes.count() // PACK_ROWS))
     rows = sizes.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(buckets)))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
@@ -173,10 +177,12 @@ def mixed_texts(docs: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed, taken = mixed(tables.table(spark, sf_dir, "documents"))
-    sums = taken.groupBy("sid", "start").agg(F.sum("words").alias("taken"))
+    by_shard = [F.coalesce(F.sum(F.when(F.col("out_shard") == k, F.col("words"))), F.lit(0)) for k in range(OUTPUT_SHARDS)]
+    sums = taken.groupBy("sid", "start").agg(F.sum("words").alias("taken"), F.array(*by_shard).alias("shard_words"))
     key = F.when(F.col("size") > 0, F.col("start"))
     rows = placed.withColumn("_start", key).alias("d")
     same = (F.col("d.sid") == F.col("s.sid")) & (F.col("d._start") == F.col("s.start"))
     return rows.join(sums.alias("s"), same, "left").select(
-        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
-    )
+        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"),
+        F.coalesce("shard_words", F.array_repeat(F.lit(0).cast("long"), OUTPUT_SHARDS)).alias("shard_words"),
+    )

@@ -51,6 +51,67 @@ def test_mix(spark):
         assert source_size == size and target == pytest.approx(t) and got == round(t)
 
 
+def test_no_setting_changes_the_mix(spark):
+    docs, found = _documents(spark), []
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for n in (4, 7, 23):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        placed, taken = mixing.mixed(docs.repartition(n))
+        words = taken.join(placed.select("sid", "start", "doc_id", "size").where("size > 0"), ["sid", "start"])
+        found.append(sorted(map(repr, words.select("doc_id", "word", "words", "pass", "slot", "out_shard").collect())))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1] == found[2]
+
+
+def test_every_word_against_the_plan(spark):
+    """Word by word: blocks of the packed sources, permuted pass by pass, shards by the drawn ends."""
+    docs = _documents(spark)
+    placed, taken = mixing.mixed(docs)
+    rows = [r for r in placed.collect() if r["size"]]
+    sizes = {r["sid"]: r["source_size"] for r in rows}
+    at = defaultdict(dict)
+    for r in rows:
+        for k in range(r["size"]):
+            assert r["start"] + k not in at[r["sid"]]
+            at[r["sid"]][r["start"] + k] = (r["start"], k)
+    assert all(sorted(at[s]) == list(range(sizes[s])) for s in sizes)
+    plan = {r["sid"]: r for r in mixing.source_plan(spark, placed.select("source", "size")).collect()}
+    slots = defaultdict(dict)
+    for r in mixing.slots(mixing.source_plan(spark, placed.select("source", "size"))).collect():
+        slots[r["sid"], r["pass"]][r["slot"]] = r
+    want = defaultdict(int)
+    for (sid, _), of_pass in slots.items():
+        blocks = plan[sid]["blocks"]
+        chosen = [of_pass[k]["block"] for k in sorted(of_pass)]
+        # a pass uses no block twice, and its short last block, if at all, last
+        assert len(set(chosen)) == len(chosen) <= blocks and (blocks - 1 not in chosen[:-1] or len(chosen) < blocks)
+        for k in sorted(of_pass):
+            r = of_pass[k]
+            assert r["out_shard"] == sum(e <= r["slot"] for e in plan[sid]["ends"])
+            for word in range(r["block"] * mixing.BLOCK, min(r["block"] * mixing.BLOCK + r["take"], sizes[sid])):
+                start, inside = at[sid][word]
+                want[sid, start, inside, r["pass"], r["out_shard"]] += 1
+    got = defaultdict(int)
+    for r in taken.collect():
+        for k in range(r["words"]):
+            got[r["sid"], r["start"], r["word"] + k, r["pass"], r["out_shard"]] += 1
+    assert got == want and set(got.values()) == {1}
+
+
+def test_the_draw_decides_what_a_shard_gets(spark, tmp_path, monkeypatch):
+    _documents(spark).write.parquet(str(tmp_path / "documents.parquet"))
+
+    def by_shard():
+        rows = mixing.query(spark, str(tmp_path)).collect()
+        assert all(sum(r["shard_words"]) == r["taken"] and len(r["shard_words"]) == mixing.OUTPUT_SHARDS for r in rows)
+        return sorted((str(r["doc_id"]), r["size"], r["taken"]) for r in rows), [sum(r["shard_words"][k] for r in rows) for k in range(8)]
+
+    rows, shards = by_shard()
+    monkeypatch.setattr(mixing, "SEED", 7)
+    other = by_shard()[1]
+    assert min(shards) > 0 and shards != other and sum(shards) == sum(other)
+
+
 def test_texts(spark):
     docs = _documents(spark)
     out = mixing.mixed_texts(docs).collect()
