@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from keydrift.corpus.columns import CUSTOMERS, LAYOUT, ORDER_CONFIGS, key
-from keydrift.plans.staging import staging_path
+from keydrift.plans.staging import Staging
 from keydrift.sources.rules import RULES_FILE, exported_names
 from keydrift.sources.trees import write_corpus
 
@@ -111,7 +111,7 @@ def _once(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     """Derive a table once per session and read the written copy from then on."""
     at = (spark.sparkContext.applicationId, sf_dir, name)
     if at not in _written:
-        path = staging_path(spark, f"fleet-{name}")
+        path = Staging(spark, f"fleet-{name}").path
         # small benchmark tables are one file each: spread what is derived from them
         rows = build(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism)
         if name == "source_files":

@@ -91,6 +91,29 @@ on_scan(
       'ignored_from_folders': ignored_from_folders}}) AS string) FROM summary""",
 )
 
+# A row's fragment from the row before it: what it closes, opens and adds.
+on_scan(
+    "sink_json_fragments",
+    lambda s: s.json_fragments.select("repo_id", "section", "key", "location", "text"),
+    f"""{o.WITH_REPORT}, rows AS (
+      SELECT repo_id, CASE section WHEN 'missing' THEN 0 WHEN 'partial_matches' THEN 1 ELSE 2 END AS s, section, key, location,
+             0 AS m, 0 AS f FROM lines
+      UNION ALL SELECT repo_id, 3, 'end', '', '', ignored_missing, ignored_from_folders FROM summary),
+    chained AS (SELECT *, coalesce(lag(s) OVER w, -1) AS ps, lag(key) OVER w AS pk FROM rows
+                WINDOW w AS (PARTITION BY repo_id ORDER BY s, key, location NULLS FIRST))
+    SELECT repo_id, section, key, location,
+      CASE WHEN ps IN (0, 1) AND (ps <> s OR pk <> key) THEN ']' || chr(125) ELSE '' END
+      || CASE WHEN ps < 0 THEN chr(123) || '"missing":[' ELSE '' END || CASE WHEN ps <= 0 AND s > 0 THEN ']' ELSE '' END
+      || CASE WHEN ps < 1 AND s >= 1 THEN ',"partial_matches":[' ELSE '' END || CASE WHEN ps <= 1 AND s > 1 THEN ']' ELSE '' END
+      || CASE WHEN ps < 2 AND s >= 2 THEN ',"unused":[' ELSE '' END || CASE WHEN ps <= 2 AND s > 2 THEN ']' ELSE '' END
+      || CASE WHEN s = 3 THEN ',"ignored_missing":' || m || ',"ignored_from_folders":' || f || chr(125)
+              WHEN s = 2 THEN CASE WHEN ps = s THEN ',' ELSE '' END || CAST(to_json(key) AS string)
+              WHEN ps = s AND pk = key THEN ',' || CAST(to_json(location) AS string)
+              ELSE CASE WHEN ps = s THEN ',' ELSE '' END || chr(123) || '"key":' || CAST(to_json(key) AS string) || ',"locations":['
+                   || CAST(to_json(location) AS string) END AS text
+    FROM chained""",
+)
+
 # ------------------------------------------------------------ filters, predicates, paths
 
 on_scan(
@@ -369,8 +392,15 @@ on_scan(
     lambda s: definitions.merge_values_only(s.definitions),
     f"{o.WITH_DEFS} SELECT repo_id, key, value FROM file_env",
 )
-on_scan("overlay_exported", lambda s: s.env, f"{o.WITH_DEFS} SELECT * FROM env")
-on_scan("file_vars_only", lambda s: definitions.file_vars_only(s.env), f"{o.WITH_DEFS} SELECT * FROM file_env")
+
+
+def _merged(s: DriftScan) -> DataFrame:
+    """The environment with its values, which the scan itself writes redacted only."""
+    return definitions.overlay_exported(s.definitions, s.exported)
+
+
+on_scan("overlay_exported", _merged, f"{o.WITH_DEFS} SELECT * FROM env")
+on_scan("file_vars_only", lambda s: definitions.file_vars_only(_merged(s)), f"{o.WITH_DEFS} SELECT * FROM file_env")
 
 # ------------------------------------------------------------ analysis
 
@@ -435,7 +465,9 @@ add(
       SELECT 1 FROM env e WHERE e.repo_id = g.repo_id AND contains(e.key, g.group_key))""",
 )
 on_scan("partial_matches", lambda s: s.partial_matches, f"{o.WITH_ALL} SELECT * FROM partials")
-on_scan("unused", lambda s: s.unused, f"{o.WITH_ALL} SELECT * FROM unused")
+_REDACTED = """CASE WHEN value = '' THEN '""' WHEN length(value) > 20 THEN '[REDACTED]'
+           WHEN length(value) > 4 THEN value[1:1] || '...' || value[-1:] ELSE '***' END AS redacted_value"""
+on_scan("unused", lambda s: s.unused, f"{o.WITH_ALL} SELECT repo_id, key, {_REDACTED}, source_file FROM unused")
 on_scan(
     "count_ignored_in_list",
     lambda s: drift.count_ignored_in_list(s.usages.select("repo_id", "key"), s.rules),
@@ -530,7 +562,5 @@ on_layout(
 on_scan(
     "display_source",
     lambda s: report.display_unused(s.unused),
-    f"""{o.WITH_ALL} SELECT repo_id, key, coalesce(nullif(source_file, ''), '.env') AS source_file,
-      CASE WHEN value = '' THEN '""' WHEN length(value) > 20 THEN '[REDACTED]'
-           WHEN length(value) > 4 THEN value[1:1] || '...' || value[-1:] ELSE '***' END AS redacted_value FROM unused""",
+    f"{o.WITH_ALL} SELECT repo_id, key, coalesce(nullif(source_file, ''), '.env') AS source_file, {_REDACTED} FROM unused",
 )

@@ -2,7 +2,7 @@
 
 ``env_files``    repo_id, path, file_type, load_tier, load_pos, content
 ``definitions``  repo_id, path, file_type, load_tier, load_pos, seq, key, value
-``env``          repo_id, key, value, source_file, from_file
+``env``          repo_id, key, value, source_file, from_file; with ``redacted_value`` for value where it is written
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keydrift.functions import paths
-from keydrift.functions.text import decode_base64, inline_once, let, trim_quotes_env, trim_space
+from keydrift.functions.text import decode_base64, inline_once, let, redact_value, trim_quotes_env, trim_space
 from keydrift.operators import yaml
 
 # The files looked for by name, in load order.
@@ -289,5 +289,10 @@ def overlay_exported(definitions: DataFrame, exported: DataFrame) -> DataFrame:
     )
 
 
+def redacted(env: DataFrame) -> DataFrame:
+    """The environment as it may be written: values redacted."""
+    return env.withColumn("value", redact_value(F.col("value"))).withColumnRenamed("value", "redacted_value")
+
+
 def file_vars_only(env: DataFrame) -> DataFrame:
     return env.filter("from_file").drop("from_file")

@@ -86,7 +86,7 @@ def key_ledger(profile: DataFrame, env: DataFrame, rules: DataFrame) -> DataFram
         .when(~is_used & F.col("from_file"), F.lit(UNUSED))
         .otherwise(F.lit(FINE))
     )
-    return both.select(*KEY, "n_usages", "n_outside", "value", "source_file", verdict.alias("verdict"))
+    return both.select(*KEY, "n_usages", "n_outside", "redacted_value", "source_file", verdict.alias("verdict"))
 
 
 def missing(usages: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -99,8 +99,8 @@ def missing(usages: DataFrame, ledger: DataFrame) -> DataFrame:
 
 
 def unused(ledger: DataFrame) -> DataFrame:
-    """Keys a file defines and no static usage reads."""
-    return ledger.filter(F.col("verdict") == UNUSED).select(*KEY, "value", "source_file")
+    """Keys a file defines and no static usage reads, their values redacted."""
+    return ledger.filter(F.col("verdict") == UNUSED).select(*KEY, "redacted_value", "source_file")
 
 
 # ---------------------------------------------------------------- partial keys
@@ -118,15 +118,9 @@ def partial_var_refs(groups: DataFrame) -> DataFrame:
 
 
 GRAM_SIZES = (1, 2, 4, 8, 16, 32, 64)
-COPIES = 16
-
-
-def _probe(text: Column) -> Column:
-    """The longest leading gram of ``text``."""
-    out = F
-    for size in reversed(GRAM_SIZES):
-        out = out.when(F.length(text) >= size, F.left(text, F.lit(size)))
-    return out
+# Names that one part of a look-up holds.
+PART_NAMES = 50_000
+_SYMBOL = r"[^A-Za-z0-9_]"
 
 
 def _grams(text: Column, start: str) -> Column:
@@ -137,38 +131,53 @@ def _grams(text: Column, start: str) -> Column:
     return F.array_distinct(F.flatten(F.transform(windows, lambda w: F.transform(fitting(w), lambda s: F.left(w, s)))))
 
 
-_SYMBOL = r"[^A-Za-z0-9_]"
+def _probes(text: Column, start: str) -> Column:
+    """Grams of the largest size that fits behind the first place where ``start`` matches, at every such place."""
+    room = F.length(F.regexp_extract(text, rf"(?s){start}.*", 0))
+    out = F
+    for size in reversed(GRAM_SIZES):
+        found = F.regexp_extract_all(text, F.lit(rf"(?s)(?=({start}.{{{size - 1}}}))"), F.lit(1))
+        out = out.when(room >= size, F.array_distinct(found))
+    return out
 
 
 def contained_groups(groups: DataFrame, env: DataFrame) -> DataFrame:
     """Groups whose key occurs inside some variable name of the same repository.
 
-    Containment becomes an equi-join on grams: if a name contains the group key
-    it contains the key's leading gram (up to 64 characters, always more than
-    half of the key while that fits). Dynamic expressions hold an operator or a
-    quote, so the gram is taken at the key's first symbol, and a name made of
-    word characters only yields no gram at all. Keys made of word characters
-    only are matched at every position, in the repositories that have any.
+    Containment becomes an equi-join on grams: a name that contains the group key
+    contains each of the key's grams (up to 64 characters). The names that hold
+    each gram are counted, and a key is looked up by the one that the fewest
+    names hold; a key with a gram that no name holds is done. Dynamic expressions
+    hold an operator or a quote, so their grams are those that start with a
+    symbol, and a name made of word characters only yields no gram at all. Keys
+    made of word characters only are matched at every position, in the
+    repositories that have any.
     """
     key = F.col("group_key")
     names = env.select("repo_id", F.col("key").alias("name"))
     groups = groups.select(*GROUP)
-    with_symbol = groups.filter(key.rlike(_SYMBOL)).withColumn(
-        "gram", _probe(F.regexp_replace(key, r"^[A-Za-z0-9_]*+", ""))
-    )
-    words = groups.filter(~key.rlike(_SYMBOL) & (key != "")).withColumn("gram", _probe(key))
+    words = groups.filter(~key.rlike(_SYMBOL) & (key != ""))
     symbol_names = names.filter(F.col("name").rlike(_SYMBOL))
     word_names = names.join(words.select("repo_id").distinct(), "repo_id", "left_semi")
-    part = F.pmod(F.xxhash64("name"), F.lit(COPIES)).cast("int")
-
-    def match(probes: DataFrame, names: DataFrame, start: str) -> DataFrame:
-        # a gram may be common in one repository: its names are spread over parts
-        grams = names.select("repo_id", "name", part.alias("part"), F.explode(_grams(F.col("name"), start)).alias("gram"))
-        copies = probes.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))))
-        hits = copies.join(grams, ["repo_id", "gram", "part"], "inner").filter(F.col("name").contains(key))
+    of_gram = ["repo_id", "gram"]
+
+    def match(keys: DataFrame, names: DataFrame, start: str) -> DataFrame:
+        grams = names.select("repo_id", "name", F.explode(_grams(F.col("name"), start)).alias("gram"))
+        counts = grams.groupBy(*of_gram).agg(F.count(F.lit(1)).alias("n"))
+        probes = keys.select(*GROUP, F.explode(_probes(key, start)).alias("gram")).join(counts, of_gram, "left")
+        fewest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))
+        rarest = probes.groupBy(*GROUP).agg(fewest.alias("r")).filter("r.n > 0").select(*GROUP, "r.gram", "r.n")
+        # a gram that is common in its repository has its names spread over parts
+        parts = F.ceil(F.col("n") / PART_NAMES).cast("int").alias("parts")
+        looked_up = rarest.groupBy(*of_gram).agg(F.max("n").alias("n"))
+        hot = hot_groups(looked_up, of_gram)
+        held = spread_join(grams, looked_up.select(*of_gram, parts), of_gram, "inner", ["name"], hot)
+        held = held.withColumn("part", F.pmod(F.xxhash64("name"), F.col("parts")).cast("int"))
+        copies = rarest.select(*GROUP, "gram", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+        hits = copies.join(held.drop("parts"), [*of_gram, "part"]).filter(F.col("name").contains(key))
         return hits.select(*GROUP)
 
-    return match(with_symbol, symbol_names, _SYMBOL).unionByName(match(words, word_names, ".")).distinct()
+    return match(groups.filter(key.rlike(_SYMBOL)), symbol_names, _SYMBOL).unionByName(match(words, word_names, ".")).distinct()
 
 
 def partial_contains(groups: DataFrame, env: DataFrame) -> DataFrame:

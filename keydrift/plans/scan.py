@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from keydrift.operators import definitions, drift, files, report, usages
 from keydrift.operators.skew import hot_groups
-from keydrift.plans.staging import stage
+from keydrift.plans.staging import Staging
 from keydrift.sources.rules import RULES_FILE, read_ignore_rules
 
 
@@ -34,7 +34,10 @@ class DriftScan:
     Nothing runs until a result is asked for; asking starts the jobs that write what it stands on.
     Text is read twice at most, once as code and once as config, in narrow
     projections that never shuffle it. The small tables that several results
-    read (``usages``, ``env``, ``ledger``, ``groups``) are written once.
+    read (``usages``, ``env``, ``ledger``, ``groups``) are written once, in a
+    folder of the scan's own that ``close`` removes; results that were not read
+    before are gone with it. No table holds a variable's value as it is: what is
+    written is redacted.
     """
 
     def __init__(
@@ -49,6 +52,21 @@ class DriftScan:
         self.options = options
         self.rules = rules if rules is not None else read_ignore_rules(source_files, options.rules_file)
 
+    def __enter__(self) -> DriftScan:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
+
+    @cached_property
+    def staging(self) -> Staging:
+        return Staging(self.source_files.sparkSession, "scan")
+
+    def close(self) -> None:
+        """Remove all written tables."""
+        if "staging" in self.__dict__:
+            self.staging.close()
+
     # ------------------------------------------------------------ inputs
 
     @cached_property
@@ -78,7 +96,7 @@ class DriftScan:
     def usages(self) -> DataFrame:
         found = usages.extract_usages(self.code_files)
         flagged = files.apply_folder_rules(found, self.rules, self.hot_repos, "file", ["file", "line"])
-        return stage(flagged, "usages")
+        return self.staging.stage(flagged, "usages")
 
     @cached_property
     def definitions(self) -> DataFrame:
@@ -86,11 +104,12 @@ class DriftScan:
 
     @cached_property
     def env(self) -> DataFrame:
-        return stage(definitions.overlay_exported(self.definitions, self.exported), "env")
+        merged = definitions.overlay_exported(self.definitions, self.exported)
+        return self.staging.stage(definitions.redacted(merged), "env")
 
     @cached_property
     def ledger(self) -> DataFrame:
-        return stage(drift.key_ledger(drift.key_profile(self.usages), self.env, self.rules), "ledger")
+        return self.staging.stage(drift.key_ledger(drift.key_profile(self.usages), self.env, self.rules), "ledger")
 
     # ------------------------------------------------------------ results
 
@@ -100,7 +119,7 @@ class DriftScan:
 
     @cached_property
     def reported_groups(self) -> DataFrame:
-        return stage(drift.reported_groups(drift.partial_groups(self.usages), self.env), "groups")
+        return self.staging.stage(drift.reported_groups(drift.partial_groups(self.usages), self.env), "groups")
 
     @cached_property
     def partial_matches(self) -> DataFrame:
@@ -129,5 +148,10 @@ class DriftScan:
     @cached_property
     def json_report(self) -> DataFrame:
         """The nested view: a document per repository, or several where ``rows_per_document`` asks for it."""
-        rows = stage(self.report_rows, "report")
+        rows = self.staging.stage(self.report_rows, "report")
         return report.json_report(rows, self.summary, self.options.rows_per_document)
+
+    @cached_property
+    def json_fragments(self) -> DataFrame:
+        """The nested documents in fragments, for repositories of any size; see ``report.write_documents``."""
+        return report.json_fragments(report.sorted_parts(self.report_rows, self.summary, self.staging.stage))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,16 +30,29 @@ def staging_dir(spark: SparkSession) -> str:
     return _own_dir[0]
 
 
-def staging_path(spark: SparkSession, name: str) -> str:
-    return f"{staging_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+class Staging:
+    """A folder for the tables that one scan writes, removed by ``close`` and at the latest when the JVM ends."""
 
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark = spark
+        self.path = f"{staging_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+        _file_system(spark, self.path, lambda fs, path: fs.deleteOnExit(path))
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and read it back.
+    def stage(self, df: DataFrame, name: str) -> DataFrame:
+        """Write ``df`` once and read it back.
 
-    The written table cuts the lineage, survives the loss of executors and is
-    columnar, so later passes read only the columns they use.
-    """
-    path = staging_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+        The written table cuts the lineage, survives the loss of executors and is
+        columnar, so later passes read only the columns they use.
+        """
+        path = f"{self.path}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def close(self) -> None:
+        _file_system(self.spark, self.path, lambda fs, path: fs.delete(path, True))
+
+
+def _file_system(spark: SparkSession, path: str, act: Callable) -> None:
+    """Act on a folder through the file system that its name belongs to."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    act(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at)

@@ -45,6 +45,26 @@ def read_ignore_rules(source_files: DataFrame, rules_file: str = RULES_FILE) ->
     return inline_once(files, ["repo_id"], let(yaml.leaves(), rules))
 
 
+def rules_problems(source_files: DataFrame, rules_file: str = RULES_FILE) -> DataFrame:
+    """repo_id, reason: rules files that give no rules although they hold something, for a warning."""
+    files = source_files.filter(F.col("path") == rules_file)
+    if AREA in source_files.columns and rules_file.startswith(".env"):
+        files = files.filter(F.col(AREA) == "config")
+    text = F.regexp_replace("content", r"(?m)#.*$|^---\s*$", "")
+    read = files.select("repo_id", (F.trim(F.regexp_replace(text, r"\s+", " ")) != "").alias("holds"), yaml.leaves().alias("leaves"))
+
+    def misplaced(leaf):
+        p = leaf["yaml_path"]
+        under = (F.get(p, F.lit(0)) == "ignores") & ((F.size(p) == 1) | F.get(p, F.lit(1)).isin(*_KINDS))
+        null = ~leaf["quoted"] & leaf["value"].isin("null", "~", "Null", "NULL")
+        return F.coalesce(under & (F.size(p) <= 2) & ~null, F.lit(False))
+
+    reason = F.when(F.col("holds") & (F.size("leaves") == 0), F.lit("no valid YAML")).when(
+        F.exists("leaves", misplaced), F.lit("a list is expected below 'ignores'")
+    )
+    return read.select("repo_id", reason.alias("reason")).filter("reason IS NOT NULL")
+
+
 def exported_names(exported: DataFrame) -> DataFrame:
     """Names of the exported environment; ``NAME=value`` entries keep the name only.
 

@@ -9,7 +9,9 @@ each call is a small helper that lists one directory or reads one file.
 from __future__ import annotations
 
 import os
+from collections import deque
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 from keydrift.functions import paths
 from keydrift.operators.definitions import AREA, is_config
 from keydrift.operators.files import LANGUAGE_PART
+from keydrift.plans.staging import Staging
 
 BATCH_BYTES = 64 << 20
 _LISTED = "repo_id string, root string, path string, is_dir boolean"
@@ -36,43 +39,56 @@ def _children(root: str, path: str, names: frozenset[str]) -> Iterator[tuple[str
                 yield f"{path}/{entry.name}" if path else entry.name, is_dir
 
 
-def _expand(recursive: bool, names: frozenset[str]):
-    """Replace each directory by its children, or by every file below it."""
+def _expand(budget: int, names: frozenset[str]):
+    """Replace folders by what is below them, level by level, until a task has listed ``budget`` of them; folders that
+    are not listed yet are passed on as such."""
+
+    def frame(rows: list) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["repo_id", "root", "path", "is_dir"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        left = budget
         for batch in batches:
-            files = batch[~batch["is_dir"]]
-            if len(files):
-                yield files
-            for row in batch[batch["is_dir"]].itertuples():
-                stack, found = [row.path], []
-                while stack:
-                    for path, is_dir in _children(row.root, stack.pop(), names):
-                        if is_dir and recursive:
-                            stack.append(path)
-                        else:
-                            found.append((row.repo_id, row.root, path, is_dir))
-                    if len(found) >= 10_000:
-                        yield pd.DataFrame(found, columns=["repo_id", "root", "path", "is_dir"])
-                        found = []
-                if found:
-                    yield pd.DataFrame(found, columns=["repo_id", "root", "path", "is_dir"])
+            todo, found = deque((r.repo_id, r.root, r.path) for r in batch.itertuples()), []
+            while todo and left > 0:
+                repo_id, root, path = todo.popleft()
+                left -= 1
+                for child, is_dir in _children(root, path, names):
+                    if is_dir:
+                        todo.append((repo_id, root, child))
+                    else:
+                        found.append((repo_id, root, child, False))
+                if len(found) >= 10_000:
+                    yield frame(found)
+                    found = []
+            yield frame(found + [(*folder, True) for folder in todo])
 
     return run
 
 
-def list_trees(roots: DataFrame, split_levels: int = 2) -> DataFrame:
+#: Folders that a task lists in the first round and in any; the first is small so that a wide tree is soon spread.
+FIRST_FOLDERS, MOST_FOLDERS = 200, 20_000
+
+
+def list_trees(roots: DataFrame, first: int = FIRST_FOLDERS, most: int = MOST_FOLDERS) -> DataFrame:
     """``roots`` (repo_id, root) -> repo_id, root, path of every file, directories never scanned left out.
 
-    The first ``split_levels`` levels are listed one by one and rebalanced in
-    between, so the subtrees of one huge repository go to many tasks.
+    Listing goes in rounds. In each, the folders found and not listed yet are spread over all tasks, and a task lists a
+    bounded number of them and of those below; what is left is the next round's. So a huge repository, a wide folder or a
+    deep chain keeps no task longer than any other, and rounds are as many as the folders need. Each round is written:
+    an executor that is lost costs its round's share.
     """
     names = frozenset(paths.PRUNED_DIRS)
-    dirs = roots.select("repo_id", "root", F.lit("").alias("path"), F.lit(True).alias("is_dir"))
-    for _ in range(split_levels):
-        dirs = dirs.repartition("repo_id", "path").mapInPandas(_expand(False, names), _LISTED)
-    listed = dirs.repartition("repo_id", "path").mapInPandas(_expand(True, names), _LISTED)
-    return listed.filter(~F.col("is_dir")).drop("is_dir")
+    staging = Staging(roots.sparkSession, "listing")
+    folders = roots.select("repo_id", "root", F.lit("").alias("path"))
+    rounds, budget = [], first
+    while True:
+        spread = folders.repartition("repo_id", "path")
+        rounds.append(staging.stage(spread.mapInPandas(_expand(budget, names), _LISTED), "round"))
+        folders = rounds[-1].filter("is_dir").drop("is_dir")
+        if not folders.take(1):
+            return reduce(DataFrame.union, rounds).filter(~F.col("is_dir")).drop("is_dir")
+        budget = min(most, 4 * budget)
 
 
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -1,3 +1,5 @@
+import base64
+import json
 import random
 
 import pytest
@@ -230,3 +232,94 @@ def test_results_do_not_depend_on_partitioning(spark, source):
 def test_reading_counts_skips_contents(scan):
     plan = files.count_files_by_language(scan(APP).scanned_files)
     assert "content" not in plan._jdf.queryExecution().optimizedPlan().toString().split("LocalRelation")[0].split("Join")[0]
+
+
+def assembled(fragments):
+    """Each repository's fragments, one after the other."""
+    found = {}
+    for r in fragments.orderBy("part", "seq").collect():
+        found[r.repo_id] = found.get(r.repo_id, "") + r.text + "\n"
+    return found
+
+
+@pytest.mark.parametrize("parts", [None, 1, 7, 40])
+def test_fragments_are_the_nested_report(spark, scan, parts):
+    lines = "\n".join(f'process.env.K{k % 7}; process.env["P{k % 3}_" + v]; process.env[n{k % 2}]' for k in range(60))
+    tree = {
+        ("big", "a.js"): lines, ("big", 'q"uote\\.js'): "process.env.K1 // \"x\" \\ é", ("big", ".env"): "\n".join(f"U{k}=1" for k in range(40)),
+        ("clean", "b.js"): "process.env.A", ("clean", ".env"): "A=1", ("partial", "c.py"): "os.getenv(x + 'y')", ("unused", ".env"): "B=1\nC=2",
+        ("unused", RULES_FILE): "ignores:\n  missing: [GONE]\n", ("unused", "d.js"): "process.env.GONE",
+    }
+    s = scan(tree)
+    want = {r.repo_id: json.loads(r.report) for r in s.json_report.collect()}
+    rows = report.sorted_parts(s.report_rows, s.summary, s.staging.stage, parts)
+    got = assembled(report.json_fragments(rows))
+    assert {k: json.loads(v) for k, v in got.items()} == want
+    # the same text, too, but for the line breaks between fragments
+    assert {k: v.replace("\n", "") for k, v in got.items()} == {r.repo_id: r.report for r in s.json_report.collect()}
+
+
+def test_documents_are_written_with_a_manifest(spark, scan, tmp_path):
+    tree = {(f"r{k}", "a.js"): "process.env.A; process.env[b]\n" * (1 + 40 * (k == 3)) for k in range(6)}
+    s = scan(tree)
+    rows = report.sorted_parts(s.report_rows, s.summary, s.staging.stage, 5)
+    report.write_documents(report.json_fragments(rows), str(tmp_path / "out"))
+    manifest = spark.read.parquet(str(tmp_path / "out" / "manifest")).collect()
+    files = sorted((tmp_path / "out" / "documents").glob("part=*"), key=lambda p: int(p.name.split("=")[1]))
+    lines = {int(p.name.split("=")[1]): "".join(f.read_text() for f in sorted(p.glob("part-*"))).splitlines() for p in files}
+    want = {r.repo_id: json.loads(r.report) for r in s.json_report.collect()}
+    assert {r.repo_id for r in manifest} == set(want)
+    for r in manifest:
+        text = []
+        for part in range(r.first_part, r.last_part + 1):
+            own = lines.get(part, [])
+            text += own[r.first_line if part == r.first_part else 0 : r.last_line + 1 if part == r.last_part else None]
+        assert json.loads("\n".join(text)) == want[r.repo_id]
+        assert len(text) == r.lines and sum(len(t.encode()) + 1 for t in text) == r.bytes
+
+
+def test_no_value_is_written_in_clear_and_nothing_stays(spark, source):
+    import os
+
+    secret, plain = "decoded-hunter2-secret", "postgres://user:pass@host/db"
+    tree = {
+        "a.js": "process.env.USED", ".env": f"USED={plain}\nOLD={plain}\n",
+        "x-secret.yml": f"kind: Secret\ndata:\n  S: {base64.b64encode(secret.encode()).decode()}\n",
+    }
+    with DriftScan(source(tree), spark.createDataFrame([], "repo_id string, key string")) as s:
+        assert keys(s.unused) == ["OLD", "S"] and "value" not in s.unused.columns
+        for result in (s.missing, s.partial_matches, s.summary, s.json_report, s.json_lines, s.json_fragments, s.unused):
+            text = str(result.collect())
+            assert secret not in text and plain not in text
+        folder = s.staging.path
+        tables = sorted(os.listdir(folder))
+        assert {t.split("-")[0] for t in tables} == {"usages", "env", "ledger", "groups", "report", "sorted"}
+        for t in tables:
+            text = str(spark.read.parquet(f"{folder}/{t}").collect())
+            assert secret not in text and plain not in text, t
+    assert not os.path.exists(folder)
+
+
+def test_a_key_is_looked_up_by_its_rarest_gram(spark):
+    """Names with one long prefix: the candidates of a key are about its hits."""
+    names = [f"PAYMENT_SERVICE_{k:05d}_URL" for k in range(3000)]
+    groups = [("r", "SERVICE_00042"), ("r", "PAYMENT_SERVICE_01234_URL"), ("r", "PAYMENT_SERVICE_X"), ("r", "02999_U"), ("r", "_SERVICE_")]
+    env = spark.createDataFrame([("r", n) for n in names], "repo_id string, key string")
+    df = spark.createDataFrame([(*g, False) for g in groups], "repo_id string, group_key string, is_var_ref boolean")
+    found = {r.group_key for r in drift.contained_groups(df, env).collect()}
+    assert found == {"SERVICE_00042", "PAYMENT_SERVICE_01234_URL", "02999_U", "_SERVICE_"}
+    grams = env.select("repo_id", F.explode(drift._grams(F.col("key"), ".")).alias("gram")).groupBy("gram").count()
+    probes = df.select("group_key", F.explode(drift._probes(F.col("group_key"), ".")).alias("gram")).join(grams, "gram", "left")
+    fewest = {r.group_key: r.n for r in probes.groupBy("group_key").agg(F.min(F.coalesce("count", F.lit(0))).alias("n")).collect()}
+    assert fewest["PAYMENT_SERVICE_X"] == 0 and fewest["SERVICE_00042"] <= 10 and fewest["PAYMENT_SERVICE_01234_URL"] <= 10
+
+
+@pytest.mark.parametrize("names", [1, 50_000])
+def test_containment_in_parts(spark, monkeypatch, names):
+    monkeypatch.setattr(drift, "PART_NAMES", names)
+    rnd = random.Random(4)
+    env = {("r" if k % 3 else "s", "".join(rnd.choice("ABc_-.") for _ in range(rnd.randrange(1, 12)))) for k in range(300)}
+    groups = {("r" if k % 2 else "s", "".join(rnd.choice("ABc_-. ") for _ in range(rnd.randrange(1, 6)))) for k in range(300)}
+    df = spark.createDataFrame([(*g, False) for g in groups], "repo_id string, group_key string, is_var_ref boolean")
+    found = {(r.repo_id, r.group_key) for r in drift.contained_groups(df, spark.createDataFrame(list(env), "repo_id string, key string")).collect()}
+    assert found == {(repo, g) for repo, g in groups if any(r == repo and g in n for r, n in env)}

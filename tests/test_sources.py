@@ -32,12 +32,43 @@ def test_trees_with_hidden_files(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(area" in config
 
 
-def test_depth_of_listing_does_not_matter(spark, tmp_path):
-    write(str(tmp_path), {"a.js": "", "d/b.js": "", "d/e/c.js": "", "d/e/f/g.js": ""})
+def test_rounds_of_listing_do_not_matter(spark, tmp_path):
+    write(str(tmp_path), {"a.js": "", "d/b.js": "", "d/e/c.js": "", "d/e/f/g.js": "", "d/vendor/h.js": "", "i/j/k/l/m.js": ""})
     roots = spark.createDataFrame([("r", str(tmp_path))], "repo_id string, root string")
-    expected = {"a.js", "d/b.js", "d/e/c.js", "d/e/f/g.js"}
-    for levels in (0, 1, 3):
-        assert {r.path for r in trees.list_trees(roots, levels).collect()} == expected
+    expected = ["a.js", "d/b.js", "d/e/c.js", "d/e/f/g.js", "i/j/k/l/m.js"]
+    for first, most in ((1, 1), (2, 3), (1000, 1000)):
+        assert sorted(r.path for r in trees.list_trees(roots, first, most).collect()) == expected
+
+
+def test_chains_and_bushes_go_in_rounds(spark, tmp_path):
+    chain = "/".join(["c"] * 600)
+    write(str(tmp_path), {f"{chain}/end.py": "", **{f"bush/{k}/{k}.py": "" for k in range(900)}})
+    roots = spark.createDataFrame([("r", str(tmp_path))], "repo_id string, root string")
+    listed = trees.list_trees(roots, 50, 400)
+    assert {r.path for r in listed.collect()} == {f"{chain}/end.py", *(f"bush/{k}/{k}.py" for k in range(900))}
+
+
+def test_a_task_lists_no_more_than_its_share(tmp_path):
+    import pandas as pd
+
+    for k in range(30):
+        (tmp_path / str(k) / "x").mkdir(parents=True)
+    batch = pd.DataFrame([("r", str(tmp_path), "", True)], columns=["repo_id", "root", "path", "is_dir"])
+    found = pd.concat(trees._expand(11, frozenset())(iter([batch])))
+    # the root and ten of its folders are listed: twenty of those, and ten one level below, are left
+    assert found["is_dir"].sum() == 30 and len(found) == 30
+
+
+def test_rules_files_that_cannot_be_read_are_told(source):
+    from keydrift.sources.rules import RULES_FILE, rules_problems
+
+    tree = {
+        ("good", RULES_FILE): "ignores:\n  missing: [A]\n", ("empty", RULES_FILE): "# nothing\n---\n", ("none", "a.js"): "",
+        ("nulls", RULES_FILE): "ignores:\n  missing:\n  folders: ~\n", ("text", RULES_FILE): "ignores:\n  missing: A\n",
+        ("bad", RULES_FILE): "ignores:\n  missing: [A\n",
+    }
+    got = {(r.repo_id, r.reason) for r in rules_problems(source(tree)).collect()}
+    assert got == {("text", "a list is expected below 'ignores'"), ("bad", "no valid YAML")}
 
 
 def test_one_bad_root_or_folder_fails_nothing_else(spark, tmp_path):
