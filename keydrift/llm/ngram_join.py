@@ -43,6 +43,8 @@ SIMILAR = (75, 100)
 #: Members, and shingles of members, of a block; a cell holds one or two blocks of one group.
 GROUP = 1000
 BLOCK_SHINGLES = 1 << 20
+#: Members of a posting that is no cost to look up.
+SHORT = 8
 #: Pairs that are held in memory at a time while a task compares sketches.
 PAIRS = 500_000
 #: Signatures of a bucket, and of a packed block.
@@ -95,6 +97,12 @@ def node_of(sets: list[np.ndarray]) -> np.ndarray:
     return mixed(one ^ mixed(two + np.array([len(x) for x in sets], np.uint64))).view(np.int64)
 
 
+def named(ids: pa.Array, sets: list[np.ndarray]) -> np.ndarray:
+    """What sets are known by in postings: a doc_id that is one set's alone, which packs well, or a negative hash."""
+    hashes = (node_of(sets).view(np.uint64) >> U(1)).astype(np.int64)
+    return np.where(ids.is_null().to_numpy(zero_copy_only=False), -1 - hashes, ids.fill_null(0).to_numpy())
+
+
 def _cut(h: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
     return np.split(h, np.cumsum(n)[:-1])
 
@@ -125,7 +133,7 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes.append(n)
         n, node, less = (np.concatenate(x, axis=-1) for x in (sizes, nodes, less))
         arrays = [batch.column("doc_id"), batch.column("key"), pa.array(node), pa.array(n, pa.int64()), *map(pa.array, less), pa.array(odd, pa.binary())]
-        yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "key", "id", "n", "less0", "less1", "odd"])
+        yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "key", "node", "n", "less0", "less1", "odd"])
 
 
 def _content(h: np.ndarray) -> np.ndarray:
@@ -216,10 +224,10 @@ def _indexed(largest: int, buckets: int):
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schemes, waiting, size = Schemes(largest), [], 0
         for batch in batches:
-            for _, _, data, offsets in shingles.slices(batch.column("text")):
+            for a, b, data, offsets in shingles.slices(batch.column("text")):
                 h, n = shingles.shingle_sets(data, offsets, WORDS)
                 sigs, of = signatures(h, n, schemes)
-                waiting.append((sigs, node_of(_cut(h, n))[of]))
+                waiting.append((sigs, named(batch.column("name")[a:b], _cut(h, n))[of]))
                 size += len(sigs)
                 if size >= BUCKET:
                     yield _packed(np.concatenate([s for s, _ in waiting]), np.concatenate([i for _, i in waiting]), buckets)
@@ -290,9 +298,10 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for _, _, data, offsets in shingles.slices(batch.column("text")):
+        for a, b, data, offsets in shingles.slices(batch.column("text")):
             parts = _cut(*shingles.shingle_sets(data, offsets, WORDS))
-            yield pa.RecordBatch.from_arrays([pa.array(node_of(parts)), pa.array([x.tobytes() for x in parts], pa.binary())], ["id", "set"])
+            ids = named(batch.column("name")[a:b], parts)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([x.tobytes() for x in parts], pa.binary())], ["id", "set"])
 
 
 def _distances(odd: list[bytes], a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -378,20 +387,20 @@ def only(docs: DataFrame, ids: DataFrame, column: str | list[str], how: str) ->
     return docs.join(ids, column, how)
 
 
-def _whole_sets(docs: DataFrame, nodes: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, set) of the given nodes, each once; texts are read by a node's smallest doc_id, or by having none."""
-    named = tables.stored(ids.join(nodes.select("id", "doc_id"), "id"))
-    texts = only(docs.where("doc_id is not null"), named.select("doc_id").where("doc_id is not null").distinct(), "doc_id", "left_semi")
-    nameless = docs.where("doc_id is null") if named.where("doc_id is null").take(1) else docs.limit(0)
-    sets = texts.select("text").union(nameless.select("text")).mapInArrow(_sets, "id long, set binary")
-    return tables.stored(sets.groupBy("id").agg(F.first("set").alias("set")).join(named.select("id"), "id", "left_semi"))
+def _whole_sets(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, set) of the given sets, each once. ``texts``: name, text."""
+    ids = tables.stored(ids)
+    wanted = only(texts.where("name is not null"), ids.where("id >= 0").select(F.col("id").alias("name")), "name", "left_semi")
+    nameless = texts.where("name is null") if ids.where("id < 0").take(1) else texts.limit(0)
+    sets = wanted.unionByName(nameless).mapInArrow(_sets, "id long, set binary")
+    return tables.stored(sets.groupBy("id").agg(F.first("set").alias("set")).join(ids, "id", "left_semi"))
 
 
-def _confirmed(docs: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def _confirmed(texts: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Those of the candidate edges (a, b) that are links: by size and sketch, then on the whole sets."""
     a, b = (nodes.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("odd").alias(f"odd_{x}")) for x in "ab")
     near = tables.stored(edges.join(a, "a").join(b, "b").mapInArrow(_sieved, "a long, b long"))
-    sets = _whole_sets(docs, nodes, near.select(F.col("a").alias("id")).union(near.select("b")).distinct())
+    sets = _whole_sets(texts, near.select(F.col("a").alias("id")).union(near.select("b")).distinct())
     x, y = (sets.select(F.col("id").alias(c), F.col("set").alias(f"set_{c}")) for c in "ab")
     rows = near.join(y, "b").join(x, "a").mapInArrow(_verified, "a long, b long")
     return tables.stored(rows.distinct())
@@ -420,14 +429,15 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _allocated(groups: DataFrame, nodes: DataFrame) -> DataFrame:
     """The postings with ``looks``: whether a member looks the signature up. Of those of one scheme it gives up as many as
-    it can do without, the longest first."""
+    it can do without, the longest first; the short ones cost nothing and are all looked up."""
     less = nodes.select("id", F.posexplode(F.array("less0", "less1")).alias("side", "less")).where("less > 0")
     rank = F.row_number().over(Window.partitionBy("id", "side").orderBy(F.desc("g"), "sig"))
-    ranked = groups.withColumn("rank", rank).join(less.hint("merge"), ["id", "side"], "left")
-    return ranked.select("sig", "id", "first", "g", (F.col("rank") > F.coalesce("less", F.lit(0))).alias("looks"))
+    ranked = groups.where(F.col("g") > SHORT).withColumn("rank", rank).join(less.hint("merge"), ["id", "side"], "left")
+    ranked = ranked.select("sig", "id", "first", (F.col("rank") > F.coalesce("less", F.lit(0))).alias("looks"))
+    return ranked.union(groups.where(F.col("g") <= SHORT).select("sig", "id", "first", F.lit(True).alias("looks")))
 
 
-def _unsettled(docs: DataFrame, nodes: DataFrame, groups: DataFrame, comp: DataFrame) -> DataFrame:
+def _unsettled(texts: DataFrame, nodes: DataFrame, groups: DataFrame, comp: DataFrame) -> DataFrame:
     """Links inside postings that span several components, in cells of two blocks of a group each."""
     rows = groups.join(comp, "id", "left").select("sig", "id", "first", "looks", F.coalesce("comp", "id").alias("comp"))
     open_ = rows.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("looks").alias("any")).where("lo != hi and any")
@@ -441,47 +451,56 @@ def _unsettled(docs: DataFrame, nodes: DataFrame, groups: DataFrame, comp: DataF
     placed = placed.withColumn("o", F.explode(F.expr("sequence(0L, k - 1)"))).withColumn("across", F.col("block") != F.col("o"))
     cell = F.least("block", "o") * F.col("k") + F.greatest("block", "o")
     volume = sizes.agg(F.sum(F.col("volume") * F.col("k"))).first()[0] or 0
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(volume) // (4 * BLOCK_SHINGLES)))
+    parts = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(volume) // (4 * BLOCK_SHINGLES)))
     placed = tables.stored(placed.select(
         "first", cell.alias("cell"), "sig", "id", "comp", "looks", "block", "across",
         F.pmod(F.xxhash64("first", cell), F.lit(parts)).alias("part"),
     ))
-    sets = _whole_sets(docs, nodes, placed.select("id").distinct())
+    sets = _whole_sets(texts, placed.select("id").distinct())
     homes = placed.select(F.col("part").alias("home"), F.col("id").alias("member")).distinct()
     whole = homes.join(nodes.select(F.col("id").alias("member"), "n", "odd"), "member").join(sets.withColumnRenamed("id", "member"), "member")
     met = placed.groupBy("part").cogroup(whole.select("home", "member", "n", "odd", "set").groupBy("home"))
     return tables.stored(met.applyInArrow(_compared, "a long, b long").distinct())
 
 
-def _sets_linked(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The profiles (doc_id, key, id, n, ...) of all rows, key being a text's hash, the nodes (id, its smallest doc_id, ...), and (id, comp) of those
-    nodes that link with others."""
+def _sets_linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The profiles (doc_id, key, node, n, ...) of all rows, key being a text's hash and node its set's, and the sets
+    (node, doc_id, comp): the smallest doc_id each has, and a number that those share that links join."""
     docs = docs.select("doc_id", "text")
-    profile = tables.stored(docs.withColumn("key", F.xxhash64("text")).mapInArrow(_profiles, "doc_id long, key long, id long, n long, less0 long, less1 long, odd binary"))
+    profile = tables.stored(docs.withColumn("key", F.xxhash64("text")).mapInArrow(_profiles, "doc_id long, key long, node long, n long, less0 long, less1 long, odd binary"))
     kept = (F.first(c).alias(c) for c in ("n", "less0", "less1", "odd"))
-    nodes = tables.stored(profile.where("n > 0").groupBy("id").agg(F.min("doc_id").alias("doc_id"), *kept))
+    nodes = tables.stored(profile.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), *kept))
+    # sets of rows that share a doc_id, or have none, are known by their hashes
+    shared = tables.stored(nodes.where("doc_id >= 0").groupBy("doc_id").count().where("count > 1").select("doc_id").withColumn("shared", F.lit(True)))
+    hashed = F.lit(-1) - F.shiftrightunsigned("node", 1)
+    alone = F.col("shared").isNull() & (F.col("doc_id") >= 0)
+    nodes = nodes.join(shared, "doc_id", "left").withColumn("id", F.when(alone, F.col("doc_id")).otherwise(hashed)).drop("shared")
+    nodes = tables.stored(nodes)
     size = profile.agg(F.max("n"), F.sum("n")).first()
     largest, total = size[0] or 0, size[1] or 0
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET))
     copies = profile.where("doc_id is not null").select("doc_id").distinct().join(nodes.select("doc_id"), "doc_id", "left_anti")
     one = only(docs, tables.stored(copies), "doc_id", "left_anti")
-    index = one.select("text").mapInArrow(_indexed(largest, buckets), "bucket long, sigs binary, ids binary")
+    named_ = only(one.where("doc_id >= 0"), shared.select("doc_id"), "doc_id", "left_anti").select(F.col("doc_id").alias("name"), "text")
+    others = only(one.where("doc_id >= 0"), shared.select("doc_id"), "doc_id", "left_semi").unionByName(one.where("doc_id is null or doc_id < 0"))
+    texts = named_.unionByName(others.select(F.lit(None).cast("long").alias("name"), "text"))
+    index = texts.mapInArrow(_indexed(largest, buckets), "bucket long, sigs binary, ids binary")
     groups = tables.stored(index.groupBy("bucket").applyInArrow(_grouped, "sig long, side int, id long, first long, g long"))
     groups = tables.stored(_allocated(groups, nodes))
     asked = groups.where("looks").select("sig").distinct()
     tried = groups.join(asked, "sig", "left_semi").where("id != first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
-    links = _confirmed(one, nodes, tables.stored(tried))
-    more = _unsettled(one, nodes, groups, components(links))
-    return profile, nodes, components(links.union(more))
+    links = _confirmed(texts, nodes, tables.stored(tried))
+    comp = components(links.union(_unsettled(texts, nodes, groups, components(links))))
+    return profile, nodes.join(comp, "id", "left").select("node", "doc_id", F.coalesce("comp", "id").alias("comp"))
 
 
 def linked(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
-    profile, nodes, comp = _sets_linked(docs)
-    joined = nodes.select("id", "doc_id").join(comp, "id", "left").select("id", "doc_id", F.coalesce("comp", "id").alias("comp"))
-    least = joined.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    named = joined.join(least, "comp").select("id", "component_id")
-    rows = profile.select("doc_id", "id", "n").join(named, "id", "left")
+    profile, sets = _sets_linked(docs)
+    sets = tables.stored(sets)
+    least = sets.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    found = sets.join(least, "comp").select("node", "component_id")
+    rows = profile.select("doc_id", "node", "n").join(found, "node", "left")
     own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return rows.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
@@ -489,14 +508,14 @@ def linked(docs: DataFrame) -> DataFrame:
 def representatives(docs: DataFrame) -> DataFrame:
     """The documents without near copies: one row of each component, that of the smallest doc_id (then of the smallest hash
     of its text; a null doc_id comes last). Rows without words all stay."""
-    profile, _, comp = _sets_linked(docs)
-    rows = profile.where("n > 0").groupBy("doc_id", "key", "id").agg(F.count(F.lit(1)).alias("rows"))
-    rows = tables.stored(rows.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id")))
+    profile, sets = _sets_linked(docs)
+    rows = profile.where("n > 0").groupBy("doc_id", "key", "node").agg(F.count(F.lit(1)).alias("rows"))
+    rows = tables.stored(rows.join(sets.select("node", "comp"), "node"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
     stays = rows.groupBy("comp").agg(F.min(order).alias("o")).select("comp", F.col("o.doc_id").alias("_doc"), F.col("o.key").alias("_key"))
     judged = rows.join(stays, "comp").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("key") == F.col("_key")))
-    named = (F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none"), F.col("key").alias("_key"))
-    judged = tables.stored(judged.where("NOT stays OR rows > 1").select(*named, "stays"))
+    keys = (F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none"), F.col("key").alias("_key"))
+    judged = tables.stored(judged.where("NOT stays OR rows > 1").select(*keys, "stays"))
     on = ["_id", "_none", "_key"]
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
     texts = docs.select(row, F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none"), F.xxhash64("text").alias("_key"))
