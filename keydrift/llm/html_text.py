@@ -10,7 +10,9 @@ What HTML itself declares is taken at its word, on hosts of any number of pages:
 and the like are no content, and an ``article`` or ``main`` is, however often its text occurs. The tree decides on all
 other branches. A word of class, id or role ("sidebar") is evidence only. It never removes what holds an ``article``,
 ``main`` or ``body``; any other branch goes if the tree confirms it by an importance under ``NAMED_CUT``, or if it stands
-outside the page's article and holds less text than that.
+outside the page's article and holds less text than that. Readers' comments are unique texts, so no statistics can tell
+them: a branch that is called so, word for word, goes wherever it stands and however long it is, unless it holds an
+``article`` or ``main`` that is no comment itself.
 
 Per host only (path, importance) pairs are kept; texts count as hashes, and no page is gathered with others.
 
@@ -55,7 +57,15 @@ NAMED = re.compile(
     r"notice|newsletter|subscribe|share|social|related|comments?|disqus|replies|popup|modal|pagination|search)(?:$|[\s_-])",
     re.I,
 )
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
+#: Words of class, id and role that comment sections and single comments have.
+COMMENTS = frozenset(
+    "comment comments commentlist comment-list comments-list comment-area comments-area comment-section comments-section "
+    "comment-body comment-thread comments-thread user-comments reader-comments disqus_thread disqus-thread fb-comments respond".split()
+)
+#: A quote that is never closed reaches to the end, so that no place is looked at twice.
+TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*+)(?:>|\Z)", re.S
+)
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 
@@ -68,6 +78,7 @@ class Page:
         self.under: list[tuple[int, ...]] = []  # of each block: the named branches it stands in
         self.named: list[tuple[str, bool]] = []  # path, inside an article
         self.wrappers: set[int] = set()  # the named branches that hold an article
+        self.comments: set[int] = set()  # the named branches that are readers' comments
         self.children: dict[str, list[tuple[str, ...]]] = {}
         self._read(html)
 
@@ -148,9 +159,11 @@ class Page:
             classes = sorted(set(re.sub(r"[0-9]+", "0", marks.get("class", "")).split()))
             label = name + "".join(f".{c}" for c in classes) + ("#" + re.sub(r"[0-9]+", "0", marks["id"]) if marks.get("id") else "")
             up = stack[-1]
-            whole = name in ("article", "main", "body", "html")
-            named = not whole and (up[6] or any(NAMED.search(v) for v in marks.values()))
-            article = up[3] or name in ("article", "main")
+            said = {w.lower() for v in marks.values() for w in v.split()}
+            comment = name in BLOCKS and name not in ("body", "html") and not COMMENTS.isdisjoint(said)
+            whole = name in ("article", "main", "body", "html") and not comment
+            named = comment or not whole and (up[6] or any(NAMED.search(v) for v in marks.values()))
+            article = up[3] or (whole and name in ("article", "main"))
             noise = up[2] or name in DECLARED or (name == "header" and not up[3])
             if whole and name != "html":
                 self.wrappers.update(up[5])
@@ -160,6 +173,8 @@ class Page:
                 path, under = f"{up_block[1]}>{label}", up[5]
                 if named:
                     under += (len(self.named),)
+                    if comment:
+                        self.comments.add(len(self.named))
                     self.named.append((path, up[3]))
                 stack.append((name, path, noise, article, [], under, False))
             else:
@@ -180,7 +195,7 @@ class Page:
 
         def removed(k: int) -> bool:
             path, inside = self.named[k]
-            return k not in self.wrappers and (named is None or path in named or (not inside and size[k] < articles))
+            return k not in self.wrappers and (k in self.comments or named is None or path in named or (not inside and size[k] < articles))
 
         gone = {k for k in range(len(self.named)) if removed(k)}
 

@@ -40,3 +40,29 @@ def test_tree_confirms_names(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     text = {r["page_id"]: r["text"] for r in html_text.extracted(pages).collect()}
     assert text[6] == "Own text 6 of page\nLine 2" and text[100] == "once"
+
+
+def test_readers_comments_go_wherever_they_stand(spark):
+    def text(html):
+        return html_text.Page(html).text(set(), set())
+
+    long = "<p>" + "I think otherwise. " * 40 + "</p>"
+    assert text(f"<article><p>own</p><section class=comments>{long}</section><p>end</p></article>") == "own\nend"
+    assert text(f"<body><p>own</p><div class='Comments'>{long}</div></body>") == "own"
+    assert text(f"<article><p>own</p></article><div id=comments>{long}</div>") == "own"
+    assert text(f"<article><p>own</p></article><ol class='commentlist x'><li><article class='comment-body'>{long}</article></li></ol>") == "own"
+    # a word among others, and what holds the article
+    assert text("<div class='no-comments'><p>own</p></div>") == text("<body class=comments><p>own</p></body>") == "own"
+    assert text("<div class=comments><article><p>own</p></article></div>") == "own"
+    rows = [(k, f"http://one.org/{k}", f"<body><div class=post><p>Text {k}</p></div><div class=comments><p>Mine {k}</p></div></body>") for k in range(12)]
+    got = html_text.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in got} == {k: f"Text {k}" for k in range(12)}
+
+
+def test_open_quotes_cost_no_more_than_the_text():
+    import time
+
+    start = time.perf_counter()
+    for piece in ('<a "', "<a '", "<a b=\"c\" '"):
+        html_text.Page(piece * 50_000)
+    assert time.perf_counter() - start < 5
