@@ -5,8 +5,9 @@ digest covers the vocabulary file. Texts join the stored counts by both digests;
 their counts are appended. A miss is encoded word by word: the tokenizer splits at white space and no step of it looks
 across, so a text's count is the sum over its words, and a task encodes each distinct word once.
 
-That holds for word-level ``tokenizers`` files whose pre-tokenizer drops white space; ``whole_texts=True`` encodes texts
-as they are, for any other file.
+That holds for word-level ``tokenizers`` files whose pre-tokenizer drops white space; ``whole_texts=True`` encodes and
+digests texts as they are, for any other file; the version says which way a count was made. Documents of one content are
+cut into parts where they are more than a quarter of a task's even share.
 
 Defined cases: a null text is empty and has no bytes and tokens; equal texts share one cache row; repeated rows are
 counted each; an empty table gives an empty table; further columns are not read. Nothing is cut, however long.
@@ -19,10 +20,11 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keydrift.llm import tables
+from keydrift.operators.skew import hot_groups, spread_join
 
 VOCABULARY = "word_bpe_49k.json"
 LIMIT = 2048
@@ -78,23 +80,30 @@ def counter(name: str, version: str, whole_texts: bool = False):
     return encoded
 
 
-def keyed(docs: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+def digest_of(text: Column, whole_texts: bool) -> Column:
+    """The digest of a text's content: white space is folded only where no token crosses or depends on it."""
+    content = text if whole_texts else F.regexp_replace(text, f"{tables.SPACE}+", " ")
+    return F.unhex(F.sha2(content.cast("binary"), 256))
+
+
+def version(name: str, whole_texts: bool) -> str:
+    """The vocabulary's digest and how texts are read with it: counts of one way never answer for the other."""
+    return version_of(vocabulary_path(name)) + (":whole" if whole_texts else "")
+
+
+def keyed(docs: DataFrame, more: tuple[str, ...] = (), whole_texts: bool = False) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
-    content = F.regexp_replace(text, f"{tables.SPACE}+", " ")
-    return docs.select(
-        "doc_id", *more, F.octet_length(text).cast("long").alias("n_bytes"), F.unhex(F.sha2(content.cast("binary"), 256)).alias("digest")
-    )
+    return docs.select("doc_id", *more, F.octet_length(text).cast("long").alias("n_bytes"), digest_of(text, whole_texts).alias("digest"))
 
 
 def append_misses(docs: DataFrame, cache_path: str, name: str = VOCABULARY, whole_texts: bool = False) -> None:
     """Encodes each distinct content that the cache has no count for, and appends the counts."""
-    spark, version = docs.sparkSession, version_of(vocabulary_path(name))
+    spark, of = docs.sparkSession, version(name, whole_texts)
     docs = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    known = _read(spark, cache_path).where(F.col("version") == version).select("digest")
-    content = F.regexp_replace("text", f"{tables.SPACE}+", " ")
-    texts = docs.select(F.unhex(F.sha2(content.cast("binary"), 256)).alias("digest"), "text")
+    known = _read(spark, cache_path).where(F.col("version") == of).select("digest")
+    texts = docs.select(digest_of(F.col("text"), whole_texts).alias("digest"), "text")
     misses = texts.join(known, "digest", "left_anti").dropDuplicates(["digest"])
-    misses.mapInArrow(counter(name, version, whole_texts), CACHE).write.mode("append").parquet(cache_path)
+    misses.mapInArrow(counter(name, of, whole_texts), CACHE).write.mode("append").parquet(cache_path)
 
 
 def _read(spark: SparkSession, cache_path: str) -> DataFrame:
@@ -108,12 +117,17 @@ def _read(spark: SparkSession, cache_path: str) -> DataFrame:
 
 def counted(docs: DataFrame, cache_path: str, name: str = VOCABULARY, whole_texts: bool = False) -> DataFrame:
     """doc_id, n_bytes and n_tokens of every row, counts read from the cache after it was brought up to date."""
-    version = version_of(vocabulary_path(name))
     append_misses(docs, cache_path, name, whole_texts)
     # two writers may have appended one digest at a time; a count is the same in both
-    cache = _read(docs.sparkSession, cache_path).where(F.col("version") == version)
+    cache = _read(docs.sparkSession, cache_path).where(F.col("version") == version(name, whole_texts))
     cache = cache.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    return keyed(docs).join(cache, "digest").select("doc_id", "n_bytes", "n_tokens")
+    rows = tables.stored(keyed(docs, whole_texts=whole_texts))
+    # a content that many documents have is cut into parts of a quarter of a task's even share
+    n = tables.stored(rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n")))
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = (n.agg(F.sum("n")).first()[0] or 0) // (4 * tasks) + 1
+    met = spread_join(rows, cache, ["digest"], "inner", ["doc_id"], hot_groups(n, ["digest"], hot_rows=share))
+    return met.select("doc_id", "n_bytes", "n_tokens")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -103,3 +103,16 @@ def test_importance_by_hand():
     assert html_text.noise_of(rows) == [">b>d"]
     assert html_text.noise_of([(">b", 0, 0.0), (">b>d", 1, 0.1)]) == [">b"]
     assert html_text.noise_of([]) == []
+
+
+def test_ways_of_reading_have_counts_of_their_own(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a  b"), (2, "a b"), (3, "a b"), (None, None), (4, ""), (5, "x" * 200_000)], "doc_id long, text string")
+    cache = str(tmp_path / "cache")
+    for whole in (False, True):
+        got = {(r["doc_id"], r["n_tokens"]) for r in token_counts.counted(docs, cache, whole_texts=whole).collect()}
+        assert {(1, 2), (2, 2), (3, 2), (None, 0), (4, 0)} < got and len(got) == 6
+    rows = spark.read.parquet(cache).groupBy("version").count().collect()
+    # three contents with white space folded, four without; nothing is counted again
+    assert sorted(r["count"] for r in rows) == [3, 4]
+    token_counts.counted(docs, cache, whole_texts=True).collect()
+    assert spark.read.parquet(cache).count() == 7
