@@ -101,7 +101,7 @@ def _vote(yes: Column, no: Column | None = None) -> Column:
 def _votes(kind: Kind, text: Column, s: Column, base: bool) -> Column:
     value, digits = s["value"], _digits(s["value"])
     before = F.lower(F.substring(text, F.greatest(s["start"] - AROUND + 1, F.lit(1)), F.least(s["start"], F.lit(AROUND))))
-    prior = F.substring(text, s["start"], 1)
+    prior = F.when(s["start"] == 0, F.lit("")).otherwise(F.substring(text, s["start"], 1))
     after = F.substring(text, s["end"] + 1, 1)
     known = {
         "email": F.lower(F.regexp_extract(value, r"([A-Za-z]+)$", 1)).isin(DOMAINS),

@@ -103,3 +103,11 @@ def test_labelers_are_weighed():
     z = lambda v: sum(a * b for a, b in zip(w, pii._inputs("email", v, 0), strict=True))
     assert z((1, 1, -1, 1, 1)) > 0 > z((-1, -1, 1, -1, -1)) and w[1] > abs(w[3])
     assert pii.train([]) == [0.0] * len(w)
+
+
+def test_a_text_begins_with_an_edge(spark):
+    """Nothing stands before the first character, as before one behind a blank."""
+    docs = spark.createDataFrame([(1, "me@example.com x"), (2, " me@example.com x"), (3, "x me@example.comm")], "doc_id long, text string")
+    edge = pii.LABELERS.index("edges")
+    votes = {r["doc_id"]: [f["votes"][edge] for f in r["found"] if f["kind"] == "email"] for r in pii.candidates(docs).collect()}
+    assert votes[1] == votes[2] == [1]
