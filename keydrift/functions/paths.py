@@ -24,28 +24,17 @@ UNKNOWN = "unknown"
 
 # Directory names never scanned.
 PRUNED_DIRS = (
-    # JavaScript / TypeScript
     "node_modules", ".next", ".nuxt", ".vuepress", ".svelte-kit", ".turbo", ".yarn", ".pnpm-store",
     ".parcel-cache", ".rollup-cache", ".eslintcache", ".stylelintcache", ".tsbuildinfo", ".swc",
-    # Go
     "vendor",
-    # Python
     "__pycache__", ".venv", "venv", ".pytest_cache", ".tox", ".mypy_cache", ".ruff_cache",
-    # Rust
     "target",
-    # Java
     ".gradle", ".mvn",
-    # build output
     "build", "dist", "bin", "out",
-    # version control
     ".git", ".svn", ".hg",
-    # editors
     ".idea", ".vscode", ".vs",
-    # infrastructure
     ".terraform", ".serverless",
-    # caches
     ".cache", "coverage",
-    # operating system
     ".DS_Store", "Thumbs.db",
 )
 

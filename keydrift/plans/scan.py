@@ -34,7 +34,7 @@ class DriftScan:
     Nothing runs until a result is asked for; asking starts the jobs that write what it stands on.
     Text is read twice at most, once as code and once as config, in narrow
     projections that never shuffle it. The small tables that several results
-    read (``usages``, ``env``, ``ledger``, ``groups``) are written once, in a
+    read (``found``, ``usages``, ``env``, ``ledger``, ``groups``) are written once, in a
     folder of the scan's own that ``close`` removes; results that were not read
     before are gone with it. No table holds a variable's value as it is: what is
     written is redacted.
@@ -94,8 +94,10 @@ class DriftScan:
 
     @cached_property
     def usages(self) -> DataFrame:
-        found = usages.extract_usages(self.code_files)
-        flagged = files.apply_folder_rules(found, self.rules, self.hot_repos, "file", ["file", "line"])
+        found = self.staging.stage(usages.extract_usages(self.code_files), "found")
+        # what is spread is counted: a repository of few files may have very many usages
+        counts = found.groupBy("repo_id").agg(F.count(F.lit(1)).alias("n"))
+        flagged = files.apply_folder_rules(found, self.rules, hot_groups(counts, ["repo_id"]), "file", ["file", "line"])
         return self.staging.stage(flagged, "usages")
 
     @cached_property

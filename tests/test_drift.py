@@ -293,7 +293,7 @@ def test_no_value_is_written_in_clear_and_nothing_stays(spark, source):
             assert secret not in text and plain not in text
         folder = s.staging.path
         tables = sorted(os.listdir(folder))
-        assert {t.split("-")[0] for t in tables} == {"usages", "env", "ledger", "groups", "report", "sorted"}
+        assert {t.split("-")[0] for t in tables} == {"found", "usages", "env", "ledger", "groups", "report", "sorted"}
         for t in tables:
             text = str(spark.read.parquet(f"{folder}/{t}").collect())
             assert secret not in text and plain not in text, t
