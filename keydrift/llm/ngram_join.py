@@ -15,10 +15,13 @@
 4. *Postings.* Signatures meet in hash buckets as packed blocks; those of one set alone are dropped there.
 5. *Verification.* Each posting links its members to its smallest one; candidates that pass size and sketch are verified on
    the whole sets, and links are joined into components. Postings that still span several components are put together by
-   their smallest member and cut into cells of bounded bytes, each with its members' sets. Inside a cell, pairs across
-   components of which one looks the other up are verified, the closest first, unless links found there join them already.
+   their smallest member and cut into cells of bounded bytes, each with its members' sketches. Inside a cell, pairs across
+   components of which one looks the other up are compared, and those leave it that would join components, the closest
+   first, a forest: fewer than the members. They are verified, and this goes on as long as a tenth of them are links. At
+   last all pairs across components leave that the sketch can't tell from links: its buckets are at least four times the
+   set's size, so these are pairs that miss the similarity by little.
 
-Pairs are never rows of a table, but for one per member and posting's first; what leaves a cell are links that join something.
+No group emits all its pairs.
 
 Defined cases: texts without words have no shingles and link with nothing; each row is judged by its own text, rows that
 share a doc_id too; a null doc_id names no component, but its text links others; repeated rows are equal sets; an empty table
@@ -76,8 +79,8 @@ class Schemes:
 
 
 def odd_sketch(h: np.ndarray) -> bytes:
-    """Parities of a set over a power of two of buckets, at least its size and 64."""
-    size = max(64, 1 << (max(1, len(h)) - 1).bit_length())
+    """Parities of a set over a power of two of buckets, at least four times its size and 64."""
+    size = max(64, 1 << (4 * max(1, len(h)) - 1).bit_length())
     at = (mixed(h + OF_CONTENT) & U(size - 1)).astype(np.int64)
     return np.packbits(np.bincount(at, minlength=size).astype(np.uint8) & 1, bitorder="little").tobytes()
 
@@ -336,49 +339,59 @@ def _pairs(start: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np
         yield np.concatenate(p), np.concatenate(q)
 
 
-def _compared(members: pa.Table, whole: pa.Table) -> pa.Table:
-    """The links inside a part's cells that join something. ``members``: first, cell, sig, id, comp, looks, block, across;
-    ``whole``: member, n, odd, set."""
-    ids, size = whole.column("member").to_numpy(), whole.column("n").to_numpy()
-    odd = whole.column("odd").to_pylist()
-    sets = [np.frombuffer(s, np.uint64) for s in whole.column("set").to_pylist()]
-    order = np.argsort(ids)
-    names = ("first", "cell", "sig", "id", "comp", "looks", "block", "across")
-    rows = [members.column(c).to_numpy(zero_copy_only=False) for c in names]
-    by = np.lexsort((rows[2], rows[1], rows[0]))
-    first, cell, sig, who, comp, looks, block, across = (v[by] for v in rows)
-    who = order[np.searchsorted(ids[order], who)]
-    cut = np.flatnonzero(np.r_[True, (sig[1:] != sig[:-1]) | (cell[1:] != cell[:-1]) | (first[1:] != first[:-1])])
-    runs = np.diff(np.r_[cut, len(sig)])
-    mixed_run = np.maximum.reduceat(comp, cut) != np.minimum.reduceat(comp, cut)
-    component = np.zeros(len(ids), np.int64)
-    component[who] = comp
-    found = [np.zeros((3, 0), np.int64)]
-    for x, y in _pairs(cut[mixed_run], runs[mixed_run]):
-        ok = (comp[x] != comp[y]) & (looks[x] | looks[y]) & (~across[x] | (block[x] != block[y]))
-        x, y = who[x[ok]], who[y[ok]]
-        ok = _fits(size[x], size[y], np.zeros(len(x), np.int64))
-        pair = np.unique(np.minimum(x[ok], y[ok]) * len(ids) + np.maximum(x[ok], y[ok]))
-        x, y = pair // len(ids), pair % len(ids)
-        distance = _distances(odd, x, y)
-        ok = _fits(size[x], size[y], distance)
-        found.append(np.stack([distance[ok], x[ok], y[ok]]))
+def _compared(forest: bool):
+    """Candidate pairs (a, b) inside a part's cells, across components. ``members``: first, cell, sig, id, comp, looks,
+    block, across; ``whole``: member, n, odd. ``forest``: only pairs that would join components, the closest first."""
+
+    def compare(members: pa.Table, whole: pa.Table) -> pa.Table:
+        ids, size = whole.column("member").to_numpy(), whole.column("n").to_numpy()
+        odd = whole.column("odd").to_pylist()
+        order = np.argsort(ids)
+        names = ("first", "cell", "sig", "id", "comp", "looks", "block", "across")
+        rows = [members.column(c).to_numpy(zero_copy_only=False) for c in names]
+        by = np.lexsort((rows[2], rows[1], rows[0]))
+        first, cell, sig, who, comp, looks, block, across = (v[by] for v in rows)
+        who = order[np.searchsorted(ids[order], who)]
+        cut = np.flatnonzero(np.r_[True, (sig[1:] != sig[:-1]) | (cell[1:] != cell[:-1]) | (first[1:] != first[:-1])])
+        runs = np.diff(np.r_[cut, len(sig)])
+        mixed_run = np.maximum.reduceat(comp, cut) != np.minimum.reduceat(comp, cut)
+        component = np.zeros(len(ids), np.int64)
+        component[who] = comp
+        found = [np.zeros((3, 0), np.int64)]
+        for x, y in _pairs(cut[mixed_run], runs[mixed_run]):
+            ok = (comp[x] != comp[y]) & (looks[x] | looks[y]) & (~across[x] | (block[x] != block[y]))
+            x, y = who[x[ok]], who[y[ok]]
+            ok = _fits(size[x], size[y], np.zeros(len(x), np.int64))
+            pair = np.unique(np.minimum(x[ok], y[ok]) * len(ids) + np.maximum(x[ok], y[ok]))
+            x, y = pair // len(ids), pair % len(ids)
+            distance = _distances(odd, x, y)
+            ok = _fits(size[x], size[y], distance)
+            found.append(np.stack([distance[ok], x[ok], y[ok]]))
+        _, x, y = np.unique(np.concatenate(found, axis=1), axis=1)
+        if forest:
+            joins = _joining(component[x], component[y])
+            x, y = x[joins], y[joins]
+        return pa.table({"a": np.minimum(ids[x], ids[y]), "b": np.maximum(ids[x], ids[y])})
+
+    return compare
+
+
+def _joining(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which edges between components, in this order, join what no earlier one did."""
     root: dict[int, int] = {}
 
-    def top(x: int) -> int:
-        while root.setdefault(x, x) != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    a, b = [], []
-    for _, x, y in np.unique(np.concatenate(found, axis=1), axis=1).T.tolist():
-        u, v = top(int(component[x])), top(int(component[y]))
-        if u != v and _similar(sets[x], sets[y]):
-            root[u] = v
-            a.append(ids[x])
-            b.append(ids[y])
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    def top(c: int) -> int:
+        while root.setdefault(c, c) != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    out = np.zeros(len(x), bool)
+    for k, (a, b) in enumerate(zip(x.tolist(), y.tolist(), strict=True)):
+        a, b = top(a), top(b)
+        if a != b:
+            root[a], out[k] = b, True
+    return out
 
 
 def only(docs: DataFrame, ids: DataFrame, column: str | list[str], how: str) -> DataFrame:
@@ -437,8 +450,8 @@ def _allocated(groups: DataFrame, nodes: DataFrame) -> DataFrame:
     return ranked.union(groups.where(F.col("g") <= SHORT).select("sig", "id", "first", F.lit(True).alias("looks")))
 
 
-def _unsettled(texts: DataFrame, nodes: DataFrame, groups: DataFrame, comp: DataFrame) -> DataFrame:
-    """Links inside postings that span several components, in cells of two blocks of a group each."""
+def _unsettled(nodes: DataFrame, groups: DataFrame, comp: DataFrame, forest: bool) -> DataFrame:
+    """Candidate edges inside postings that span several components, from cells of two blocks of a group each."""
     rows = groups.join(comp, "id", "left").select("sig", "id", "first", "looks", F.coalesce("comp", "id").alias("comp"))
     open_ = rows.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("looks").alias("any")).where("lo != hi and any")
     rows = tables.stored(rows.join(open_.select("sig"), "sig"))
@@ -451,16 +464,31 @@ def _unsettled(texts: DataFrame, nodes: DataFrame, groups: DataFrame, comp: Data
     placed = placed.withColumn("o", F.explode(F.expr("sequence(0L, k - 1)"))).withColumn("across", F.col("block") != F.col("o"))
     cell = F.least("block", "o") * F.col("k") + F.greatest("block", "o")
     volume = sizes.agg(F.sum(F.col("volume") * F.col("k"))).first()[0] or 0
-    parts = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(volume) // (4 * BLOCK_SHINGLES)))
-    placed = tables.stored(placed.select(
+    parts = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(volume) // (16 * BLOCK_SHINGLES)))
+    placed = placed.select(
         "first", cell.alias("cell"), "sig", "id", "comp", "looks", "block", "across",
         F.pmod(F.xxhash64("first", cell), F.lit(parts)).alias("part"),
-    ))
-    sets = _whole_sets(texts, placed.select("id").distinct())
+    )
     homes = placed.select(F.col("part").alias("home"), F.col("id").alias("member")).distinct()
-    whole = homes.join(nodes.select(F.col("id").alias("member"), "n", "odd"), "member").join(sets.withColumnRenamed("id", "member"), "member")
-    met = placed.groupBy("part").cogroup(whole.select("home", "member", "n", "odd", "set").groupBy("home"))
-    return tables.stored(met.applyInArrow(_compared, "a long, b long").distinct())
+    whole = homes.join(nodes.select(F.col("id").alias("member"), "n", "odd"), "member")
+    met = placed.groupBy("part").cogroup(whole.select("home", "member", "n", "odd").groupBy("home"))
+    return met.applyInArrow(_compared(forest), "a long, b long").distinct()
+
+
+def _links(texts: DataFrame, nodes: DataFrame, groups: DataFrame) -> DataFrame:
+    """Links enough to join every two sets that links join: to the smallest member of each posting, then forests inside the
+    postings that are left as long as a tenth of them are links, at last all that the sketch can't tell from links."""
+    asked = groups.where("looks").select("sig").distinct()
+    tried = groups.join(asked, "sig", "left_semi").where("id != first").select(F.least("first", "id").alias("a"), F.greatest("first", "id").alias("b"))
+    tried = tables.stored(tried.distinct())
+    links, forest = _confirmed(texts, nodes, tried), True
+    while True:
+        more = tables.stored(_unsettled(nodes, groups, components(links), forest).join(tried, ["a", "b"], "left_anti"))
+        found = _confirmed(texts, nodes, more)
+        links = tables.stored(links.union(found))
+        if not forest:
+            return links
+        tried, forest = tables.stored(tried.union(more)), 10 * found.count() > more.count()
 
 
 def _sets_linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -487,10 +515,7 @@ def _sets_linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     index = texts.mapInArrow(_indexed(largest, buckets), "bucket long, sigs binary, ids binary")
     groups = tables.stored(index.groupBy("bucket").applyInArrow(_grouped, "sig long, side int, id long, first long, g long"))
     groups = tables.stored(_allocated(groups, nodes))
-    asked = groups.where("looks").select("sig").distinct()
-    tried = groups.join(asked, "sig", "left_semi").where("id != first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
-    links = _confirmed(texts, nodes, tables.stored(tried))
-    comp = components(links.union(_unsettled(texts, nodes, groups, components(links))))
+    comp = components(_links(texts, nodes, groups))
     return profile, nodes.join(comp, "id", "left").select("node", "doc_id", F.coalesce("comp", "id").alias("comp"))
 
 
