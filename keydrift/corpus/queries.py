@@ -326,7 +326,7 @@ _COMPOSE = f"file_type = 'docker-compose' AND {{}}(path = 'docker-compose.yml' A
 def _from_leaves(parser, file_type: str, columns: list[str] = DEF) -> Callable[[DriftScan], DataFrame]:
     def run(s: DriftScan) -> DataFrame:
         env_files = s.env_files.filter(F.col("file_type") == file_type)
-        entries = text.let(definitions.yaml.leaves(), parser)
+        entries = text.let(definitions.yaml.leaves(whole=definitions.ENTRY_DEPTH), parser)
         return definitions.parse_with(env_files, entries).select(*columns)
 
     return run

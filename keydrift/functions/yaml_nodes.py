@@ -508,11 +508,36 @@ def _share(nodes: int) -> float:
     return FEW_SHARE - (FEW_SHARE - MANY_SHARE) * along
 
 
-def leaves(text: str) -> list[tuple[list[str], str, bool, bool]]:
-    """(path, value, quoted, named) of every leaf in the order of the text; none when the text is invalid.
+def _printed(node: Node | Alias) -> str:
+    """A collection in one piece: ``map[a:1 b:2]``, keys ascending, ``[x y]``, ``<nil>`` for null."""
+    pieces: list[str] = []
+    todo: list[Node | Alias | str] = [node]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            pieces.append(x)
+            continue
+        x = _target(x)
+        if len(pieces) > FEW_NODES:
+            raise Invalid
+        if x.kind == "scalar":
+            pieces.append("<nil>" if not x.string and re.fullmatch(NULL, x.text) else x.text)
+            continue
+        entries = [["", item] for item in x.items]
+        entries += [[f"{_target(k).text}:", v] for k, v in sorted(x.pairs, key=lambda p: _target(p[0]).text)]
+        todo.append("]")
+        for k, (name, value) in reversed(list(enumerate(entries))):
+            todo += [value, (" " if k else "") + name]
+        todo.append("[" if x.kind == "list" else "map[")
+    return "".join(pieces)
+
+
+def leaves(text: str, whole: int | None = None) -> list[tuple[list[str], str, bool, bool, bool]]:
+    """(path, value, quoted, named, collection) of every leaf in the order of the text; none when the text is invalid.
 
     ``quoted``: the value can only be a string; ``named``: all maps on the path below the outermost have strings as keys.
-    Items of lists have the path's part ``ITEM``. An alias stands for all leaves of its node.
+    Items of lists have the path's part ``ITEM``. An alias stands for all leaves of its node. A collection at a path of
+    length ``whole`` is one leaf, printed in one piece (``collection``).
     """
     text = text.removeprefix("\ufeff").replace("\r\n", "\n").replace("\r", "\n")
     try:
@@ -521,7 +546,7 @@ def leaves(text: str) -> list[tuple[list[str], str, bool, bool]]:
         root = _Reader(text).document()
         if root is None or root.kind != "map":
             return []
-        found: list[tuple[list[str], str, bool, bool]] = []
+        found: list[tuple[list[str], str, bool, bool, bool]] = []
         todo: list[tuple[Node | Alias, tuple[str, ...], bool, bool]] = [(root, (), True, False)]
         nodes = aliased = 0
         while todo:
@@ -535,7 +560,9 @@ def leaves(text: str) -> list[tuple[list[str], str, bool, bool]]:
             if aliased > FREE_NODES and nodes > 10 * FREE_NODES and aliased / nodes > _share(nodes):
                 raise Invalid
             if node.kind == "scalar":
-                found.append((list(path), node.text or ("" if node.string else "null"), node.string, named))
+                found.append((list(path), node.text or ("" if node.string else "null"), node.string, named, False))
+            elif len(path) == whole:
+                found.append((list(path), _printed(node), True, named, True))
             elif node.kind == "list":
                 todo += [(item, (*path, ITEM), named, inside) for item in reversed(node.items)]
             else:

@@ -163,6 +163,7 @@ def parse_compose_map(leaves: Column) -> Column:
         leaves,
         lambda leaf: _in_environment(leaf, listed=False),
         lambda leaf: leaf["yaml_path"][3],
+        # a collection is printed already, and counts as quoted
         lambda leaf: yaml.scalar_text(leaf["value"], leaf["quoted"]),
     )
 
@@ -176,7 +177,7 @@ def parse_compose_list(leaves: Column) -> Column:
 
     return _leaf_entries(
         leaves,
-        lambda leaf: _in_environment(leaf, listed=True) & leaf["value"].contains("="),
+        lambda leaf: _in_environment(leaf, listed=True) & leaf["value"].contains("=") & ~leaf["collection"],
         lambda leaf: trim_space(F.substring_index(leaf["value"], "=", 1)),
         rest,
     )
@@ -206,6 +207,8 @@ def parse_k8s_secret(leaves: Column) -> Column:
 
 
 YAML_TYPES = ("docker-compose", "k8s")
+# Length of the path of an entry of ``services.*.environment``; what is below is its value.
+ENTRY_DEPTH = 4
 
 
 def parse_yaml(file_type: Column) -> Column:
@@ -216,7 +219,7 @@ def parse_yaml(file_type: Column) -> Column:
         k8s = F.concat(parse_k8s_configmap(leaves), parse_k8s_secret(leaves))
         return F.when(file_type == "docker-compose", compose).otherwise(k8s)
 
-    return let(yaml.leaves(F.when(file_type.isin(*YAML_TYPES), F.col("content"))), entries)
+    return let(yaml.leaves(F.when(file_type.isin(*YAML_TYPES), F.col("content")), ENTRY_DEPTH), entries)
 
 
 def parse_with(env_files: DataFrame, entries: Column) -> DataFrame:

@@ -1,4 +1,4 @@
-"""YAML as array expressions: content -> array of (yaml_path, value, quoted, named) leaves, and what a scalar's text means.
+"""YAML as array expressions: content -> array of (yaml_path, value, quoted, named, ...) leaves, and what a scalar's text means.
 
 A stack of open collections, anchors and aliases is no regular language and no fold of small state; one Arrow function
 reads a text's nodes in one pass (``functions.yaml_nodes``). Only YAML files reach it: it gets null for all others, and a
@@ -22,21 +22,24 @@ _LEAVES = ArrayType(
             StructField("value", StringType()),
             StructField("quoted", BooleanType()),
             StructField("named", BooleanType()),
+            StructField("collection", BooleanType()),
         ]
     )
 )
-_ARROW = pa.list_(pa.struct([("yaml_path", pa.list_(pa.string())), ("value", pa.string()), ("quoted", pa.bool_()), ("named", pa.bool_())]))
-_NAMES = ("yaml_path", "value", "quoted", "named")
+_NAMES = ("yaml_path", "value", "quoted", "named", "collection")
+_KINDS = (pa.list_(pa.string()), pa.string(), pa.bool_(), pa.bool_(), pa.bool_())
+_ARROW = pa.list_(pa.struct(list(zip(_NAMES, _KINDS, strict=True))))
 
 
-def _read(contents: pa.Array) -> pa.Array:
-    read = (nodes.leaves(text) if text else [] for text in contents.to_pylist())
-    return pa.array([[dict(zip(_NAMES, leaf, strict=True)) for leaf in leaves] for leaves in read], _ARROW)
+def leaves(content: Column | None = None, whole: int | None = None) -> Column:
+    """All leaves of a text (column ``content``) in document order; none when it is null or not valid YAML. With ``whole``,
+    a collection at a path of that length is one leaf."""
 
+    def read(contents: pa.Array) -> pa.Array:
+        found = (nodes.leaves(text, whole) if text else [] for text in contents.to_pylist())
+        return pa.array([[dict(zip(_NAMES, leaf, strict=True)) for leaf in leaves] for leaves in found], _ARROW)
 
-def leaves(content: Column | None = None) -> Column:
-    """All leaves of a text (column ``content``) in document order; none when it is null or not valid YAML."""
-    return F.arrow_udf(_read, _LEAVES)(F.col("content") if content is None else content)
+    return F.arrow_udf(read, _LEAVES)(F.col("content") if content is None else content)
 
 
 # ------------------------------------------------------------- plain scalars

@@ -185,6 +185,13 @@ data:
     ]
 
 
+def test_collections_as_values(parse):
+    content = "x: &x {q: [1, ~]}\nservices:\n  a:\n    environment:\n      A: [1, two, [x=y]]\n      B: {z: 1, a: {k: v}}\n      C: *x\n      D: []\n  b:\n    environment:\n    - E=1\n    - [F=1]\n    - {G: H=1}\n"
+    assert parse("docker-compose.yml", content) == [
+        ("A", "[1 two [x=y]]"), ("B", "map[a:map[k:v] z:1]"), ("C", "map[q:[1 <nil>]]"), ("D", "[]"), ("E", "1"),
+    ]
+
+
 def test_keys_that_are_no_strings(parse):
     # a map with such a key is no map from names; the outermost one is read by name whatever its keys are
     env = "services:\n  a:\n    environment:\n      {}: 1\n      B: 2\n  b:\n    environment:\n      C: 3\n"
