@@ -17,9 +17,9 @@
    the whole sets, and links are joined into components. Postings that still span several components are put together by
    their smallest member and cut into cells of bounded bytes, each with its members' sketches. Inside a cell, pairs across
    components of which one looks the other up are compared, and those leave it that would join components, the closest
-   first, a forest: fewer than the members. They are verified, and this goes on as long as a tenth of them are links. At
-   last all pairs across components leave that the sketch can't tell from links: its buckets are at least four times the
-   set's size, so these are pairs that miss the similarity by little.
+   first, a forest: fewer than the members. They are verified. Then all pairs leave that are still across components and
+   that the sketch can't tell from links: its buckets are at least four times the set's size, so these are links, or pairs
+   that miss the similarity by little.
 
 No group emits all its pairs.
 
@@ -48,6 +48,8 @@ GROUP = 1000
 BLOCK_SHINGLES = 1 << 20
 #: Members of a posting that is no cost to look up.
 SHORT = 8
+#: Pairs of a cell from which it is compared as a whole; the result is the same.
+LARGE = 20_000
 #: Pairs that are held in memory at a time while a task compares sketches.
 PAIRS = 500_000
 #: Signatures of a bucket, and of a packed block.
@@ -339,6 +341,18 @@ def _pairs(start: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np
         yield np.concatenate(p), np.concatenate(q)
 
 
+def _cell_pairs(who: np.ndarray, looks: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a large cell's members of which one looks a run's signature up, each once however many runs have it: runs
+    are marked in a table of the cell's members, which are two blocks at most."""
+    members, at = np.unique(who, return_inverse=True)
+    met = np.zeros((len(members), len(members)), bool)
+    for first, n in zip(start.tolist(), size.tolist(), strict=True):
+        run = at[first : first + n]
+        met[np.ix_(run[looks[first : first + n]], run)] = True
+    x, y = np.nonzero(np.triu(met | met.T, 1))
+    return members[x], members[y]
+
+
 def _compared(forest: bool):
     """Candidate pairs (a, b) inside a part's cells, across components. ``members``: first, cell, sig, id, comp, looks,
     block, across; ``whole``: member, n, odd. ``forest``: only pairs that would join components, the closest first."""
@@ -358,15 +372,36 @@ def _compared(forest: bool):
         component = np.zeros(len(ids), np.int64)
         component[who] = comp
         found = [np.zeros((3, 0), np.int64)]
-        for x, y in _pairs(cut[mixed_run], runs[mixed_run]):
+        cut, runs = cut[mixed_run], runs[mixed_run]
+        # runs of one cell follow each other; a cell of many pairs is compared as a whole
+        new_cell = np.r_[True, (cell[cut][1:] != cell[cut][:-1]) | (first[cut][1:] != first[cut][:-1])] if len(cut) else np.zeros(0, bool)
+        number = np.cumsum(new_cell) - 1
+        large = np.bincount(number, weights=runs * (runs - 1) / 2)[number] > LARGE if len(cut) else new_cell
+
+        def compared(x: np.ndarray, y: np.ndarray) -> None:
+            for k in range(0, len(x), PAIRS):
+                a, b = x[k : k + PAIRS], y[k : k + PAIRS]
+                ok = (component[a] != component[b]) & _fits(size[a], size[b], np.zeros(len(a), np.int64))
+                a, b = a[ok], b[ok]
+                distance = _distances(odd, a, b)
+                ok = _fits(size[a], size[b], distance)
+                found.append(np.stack([distance[ok], np.minimum(a[ok], b[ok]), np.maximum(a[ok], b[ok])]))
+
+        for x, y in _pairs(cut[~large], runs[~large]):
             ok = (comp[x] != comp[y]) & (looks[x] | looks[y]) & (~across[x] | (block[x] != block[y]))
             x, y = who[x[ok]], who[y[ok]]
-            ok = _fits(size[x], size[y], np.zeros(len(x), np.int64))
-            pair = np.unique(np.minimum(x[ok], y[ok]) * len(ids) + np.maximum(x[ok], y[ok]))
-            x, y = pair // len(ids), pair % len(ids)
-            distance = _distances(odd, x, y)
-            ok = _fits(size[x], size[y], distance)
-            found.append(np.stack([distance[ok], x[ok], y[ok]]))
+            pair = np.unique(np.minimum(x, y) * len(ids) + np.maximum(x, y))
+            compared(pair // len(ids), pair % len(ids))
+        half = np.zeros(len(ids), np.int64)
+        for k in np.unique(number[large]).tolist():
+            of = number == k
+            lo, hi = cut[of][0], cut[of][-1] + runs[of][-1]
+            x, y = _cell_pairs(who[lo:hi], looks[lo:hi], cut[of] - lo, runs[of])
+            half[who[lo:hi]] = block[lo:hi]
+            if across[lo]:
+                ok = half[x] != half[y]
+                x, y = x[ok], y[ok]
+            compared(x, y)
         _, x, y = np.unique(np.concatenate(found, axis=1), axis=1)
         if forest:
             joins = _joining(component[x], component[y])
@@ -476,19 +511,17 @@ def _unsettled(nodes: DataFrame, groups: DataFrame, comp: DataFrame, forest: boo
 
 
 def _links(texts: DataFrame, nodes: DataFrame, groups: DataFrame) -> DataFrame:
-    """Links enough to join every two sets that links join: to the smallest member of each posting, then forests inside the
-    postings that are left as long as a tenth of them are links, at last all that the sketch can't tell from links."""
+    """Links enough to join every two sets that links join: to the smallest member of each posting, then a forest inside
+    the postings that are left, at last all that the sketch can't tell from links."""
     asked = groups.where("looks").select("sig").distinct()
     tried = groups.join(asked, "sig", "left_semi").where("id != first").select(F.least("first", "id").alias("a"), F.greatest("first", "id").alias("b"))
     tried = tables.stored(tried.distinct())
-    links, forest = _confirmed(texts, nodes, tried), True
-    while True:
+    links = _confirmed(texts, nodes, tried)
+    for forest in (True, False):
         more = tables.stored(_unsettled(nodes, groups, components(links), forest).join(tried, ["a", "b"], "left_anti"))
-        found = _confirmed(texts, nodes, more)
-        links = tables.stored(links.union(found))
-        if not forest:
-            return links
-        tried, forest = tables.stored(tried.union(more)), 10 * found.count() > more.count()
+        links = tables.stored(links.union(_confirmed(texts, nodes, more)))
+        tried = tried.union(more)
+    return links
 
 
 def _sets_linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -73,6 +73,7 @@ def test_hot_groups(spark, monkeypatch, sent):
     """A passage that makes up half of many unlike texts, a large group of near copies, and many exact copies; groups cut
     into small blocks, with and without identifiers sent to the tasks."""
     monkeypatch.setattr(ngram_join, "GROUP", 40)
+    monkeypatch.setattr(ngram_join, "LARGE", 500_000 if sent < 0 else 30)
     monkeypatch.setattr(ngram_join, "SENT", sent)
     rnd = random.Random(6)
     passage, copied = ([rnd.choice(WORDS) for _ in range(n)] for n in (60, 80))
