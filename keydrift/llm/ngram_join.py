@@ -52,8 +52,9 @@ SHORT = 8
 LARGE = 20_000
 #: Pairs that are held in memory at a time while a task compares sketches.
 PAIRS = 500_000
-#: Signatures of a bucket, and of a packed block.
+#: Signatures of a bucket, and those that a task holds before it packs them.
 BUCKET = 2_000_000
+PACKED = 500_000
 #: Identifiers that may be broadcast: 8 bytes each.
 SENT = 500_000
 SEED = [U(0), *(mixed(np.arange(1, 65, dtype=np.uint64) * U(0xD6E8FEB86659FD93)))]
@@ -234,7 +235,7 @@ def _indexed(largest: int, buckets: int):
                 sigs, of = signatures(h, n, schemes)
                 waiting.append((sigs, named(batch.column("name")[a:b], _cut(h, n))[of]))
                 size += len(sigs)
-                if size >= BUCKET:
+                if size >= PACKED:
                     yield _packed(np.concatenate([s for s, _ in waiting]), np.concatenate([i for _, i in waiting]), buckets)
                     waiting, size = [], 0
         if size:
@@ -249,12 +250,14 @@ def _grouped(table: pa.Table) -> pa.Table:
     bucket = table.column("bucket")[0].as_py()
     parts = [_unpacked(s.as_py(), i.as_py()) for s, i in zip(table.column("sigs"), table.column("ids"), strict=True)]
     sigs, ids = np.concatenate([s for s, _ in parts]), np.concatenate([i for _, i in parts])
+    del parts
     order = np.argsort(sigs, kind="stable")
-    sigs, ids = sigs[order], ids[order]
+    sigs = sigs[order]
     twin = np.zeros(len(sigs), bool)
     twin[1:] |= sigs[1:] == sigs[:-1]
     twin[:-1] |= sigs[1:] == sigs[:-1]
-    sigs, ids = sigs[twin], ids[twin]
+    sigs, ids = sigs[twin], ids[order[twin]]
+    del order, twin
     order = np.lexsort((ids, sigs))
     sigs, ids = sigs[order], ids[order]
     if len(sigs):

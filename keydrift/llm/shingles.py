@@ -17,7 +17,7 @@ FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -95,8 +95,13 @@ def _short(words: np.ndarray) -> int:
 def slices(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Pieces of a text column of about ``SLICE`` bytes, or one text: first, end, bytes, offsets. Nulls are empty."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    column = column.cast(pa.large_string()).fill_null("")
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    if not len(column):
+        return
+    column = column if pa.types.is_large_string(column.type) else column.cast(pa.string())
+    column = column.fill_null("") if column.null_count else column
+    # the text stays where it is: a copy of a whole batch would be held as long as its pieces are read
+    width = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    offsets = np.frombuffer(column.buffers()[1], width)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
     a = 0
     while a < len(column):

@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -199,3 +200,32 @@ def test_pipeline_stages_on_no_rows_and_odd_columns(spark):
     for _, stage in corpus_pipeline.STAGES:
         stage(spark, docs, sf).write.format("noop").mode("overwrite").save()
         assert stage(spark, docs.limit(0), sf).count() == 0
+
+
+def test_indexing_holds_little_beside_its_batch():
+    """What a task holds while it indexes is bounded by its blocks, not by a bucket's signatures nor by copies of the batch."""
+    rng = np.random.default_rng(3)
+    text = pa.array([" ".join(map(str, rng.integers(0, 1 << 40, 150))) for _ in range(8000)])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8000)), text], ["name", "text"])
+    index = ngram_join._indexed(200, 64)
+    list(index(iter([batch.slice(0, 10)])))
+    tracemalloc.start()
+    held = pa.total_allocated_bytes()
+    signatures, most = 0, 0
+    for block in index(iter([batch])):
+        signatures += sum(len(s) // 6 for s in block.column("sigs").to_pylist())
+        most = max(most, pa.total_allocated_bytes() - held)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert signatures > 900_000, signatures
+    assert (peak < 50e6, most < 10e6) == (True, True), (peak, most)
+
+
+def test_slices_of_any_string_column():
+    texts = ["a b", None, "", "é " * 300_000, "c"]
+    for kind in (pa.string(), pa.large_string()):
+        column = pa.array(["x", *texts], kind).slice(1)
+        for c in (column, pa.chunked_array([column.slice(0, 2), column.slice(2)])):
+            parts = [bytes(data[o[k] : o[k + 1]]).decode() for _, _, data, o in shingles.slices(c) for k in range(len(o) - 1)]
+            assert parts == [t or "" for t in texts]
+    assert not list(shingles.slices(pa.array([], pa.string())))
