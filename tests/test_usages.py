@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from keydrift.functions import languages
+from keydrift.functions import accesses, languages
 from keydrift.operators import files, usages
 
 
@@ -272,3 +272,15 @@ def test_work_grows_with_the_text():
         small, large = seconds(piece * n + end, languages.JAVASCRIPT), seconds(piece * 4 * n + end, languages.JAVASCRIPT)
         # nested accesses that are operands return the text of each: that output alone is quadratic
         assert large < (24 if name == "accesses" else 9) * small + 0.05, (name, small, large)
+
+
+def test_literals_and_comments_outside_are_passed_over_at_once(monkeypatch):
+    """What no argument holds costs no step of the scan, whatever its number."""
+    steps = []
+    code = accesses._Scan.code
+    monkeypatch.setattr(accesses._Scan, "code", lambda scan, pos: steps.append(pos) or code(scan, pos))
+    for rule, access in ((languages.JAVASCRIPT, 'process.env["A"]'), (languages.GO, 'os.Getenv("A")'), (languages.JAVA, 'System.getenv("A")')):
+        steps.clear()
+        text = 'let x = "filler"; // more\n' * 500 + f"/* c */ /a'b/ \n{access}; // last"
+        found = accesses.accesses(text, rule)
+        assert [(expr, key) for _, expr, _, key, _ in found] == [('"A"', True)] and len(steps) < 20, rule.names
