@@ -1,5 +1,6 @@
 import base64
 import json
+import os
 import random
 
 import pytest
@@ -346,3 +347,13 @@ def test_containment_plans_each_step_once(spark, tmp_path):
     assert ("r", "Y_VA", False) not in left(open_groups) and ("s", ".b", False) in left(open_groups)
     grams = {(r.repo_id, r.name, r.gram) for r in spark.read.parquet(written["grams"]).collect()}
     assert {g for r, n, g in grams if n == "MY_VAR" and r == "r"} == {"MY_V", "Y_VA", "_VAR"} and not any(r == "s" and n == "MY_VAR" for r, n, g in grams)
+
+
+def test_rules_files_are_parsed_once(spark, source):
+    tree = {".envdrift.config": "ignores:\n  missing:\n    - A\n  folders:\n    - gen/x\n", "gen/x/a.js": "process.env.B", "a.js": "process.env.A"}
+    with DriftScan(source(tree), spark.createDataFrame([], "repo_id string, key string")) as s:
+        assert [(r.ignored_missing, r.ignored_from_folders) for r in s.summary.collect()] == [(1, 1)]
+        assert {(r.path, r.in_ignored_path) for r in s.scanned_files.collect()} == {("a.js", False), ("gen/x/a.js", True)}
+        folder = s.lookups.path
+        assert sum(t.startswith("rules-") for t in os.listdir(folder)) == 1
+    assert not os.path.exists(folder)
