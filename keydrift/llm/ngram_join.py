@@ -480,19 +480,24 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _allocated(groups: DataFrame, nodes: DataFrame) -> DataFrame:
     """The postings with ``looks``: whether a member looks the signature up. Of those of one scheme it gives up as many as
-    it can do without, the longest first; the short ones cost nothing and are all looked up."""
+    it can do without, the longest first; the short ones cost nothing and are all looked up. ``wide`` are those of more than
+    two members."""
     less = nodes.select("id", F.posexplode(F.array("less0", "less1")).alias("side", "less")).where("less > 0")
     rank = F.row_number().over(Window.partitionBy("id", "side").orderBy(F.desc("g"), "sig"))
     ranked = groups.where(F.col("g") > SHORT).withColumn("rank", rank).join(less.hint("merge"), ["id", "side"], "left")
-    ranked = ranked.select("sig", "id", "first", (F.col("rank") > F.coalesce("less", F.lit(0))).alias("looks"))
-    return ranked.union(groups.where(F.col("g") <= SHORT).select("sig", "id", "first", F.lit(True).alias("looks")))
+    ranked = ranked.select("sig", "id", "first", (F.col("rank") > F.coalesce("less", F.lit(0))).alias("looks"), F.lit(True).alias("wide"))
+    return ranked.union(groups.where(F.col("g") <= SHORT).select("sig", "id", "first", F.lit(True).alias("looks"), (F.col("g") > 2).alias("wide")))
 
 
-def _unsettled(nodes: DataFrame, groups: DataFrame, comp: DataFrame, forest: bool) -> DataFrame:
-    """Candidate edges inside postings that span several components, from cells of two blocks of a group each."""
+def _open(groups: DataFrame, comp: DataFrame) -> DataFrame:
+    """The postings that span several components and that a member looks up, with the component of each member."""
     rows = groups.join(comp, "id", "left").select("sig", "id", "first", "looks", F.coalesce("comp", "id").alias("comp"))
     open_ = rows.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("looks").alias("any")).where("lo != hi and any")
-    rows = tables.stored(rows.join(open_.select("sig"), "sig"))
+    return tables.stored(rows.join(open_.select("sig"), "sig"))
+
+
+def _unsettled(nodes: DataFrame, rows: DataFrame, forest: bool) -> DataFrame:
+    """Candidate edges inside open postings, from cells of two blocks of a group each."""
     sizes = rows.select("first", "id").distinct().join(nodes.select("id", "n"), "id").groupBy("first").agg(
         F.greatest(F.ceil(F.count(F.lit(1)) / GROUP), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("k"), F.sum("n").alias("volume")
     )
@@ -520,8 +525,11 @@ def _links(texts: DataFrame, nodes: DataFrame, groups: DataFrame) -> DataFrame:
     tried = groups.join(asked, "sig", "left_semi").where("id != first").select(F.least("first", "id").alias("a"), F.greatest("first", "id").alias("b"))
     tried = tables.stored(tried.distinct())
     links = _confirmed(texts, nodes, tried)
+    # the only pair of a posting of two members has been tried; a posting that is settled stays so
+    rows = groups.where("wide").drop("wide")
     for forest in (True, False):
-        more = tables.stored(_unsettled(nodes, groups, components(links), forest).join(tried, ["a", "b"], "left_anti"))
+        rows = _open(rows.drop("comp"), components(links))
+        more = tables.stored(_unsettled(nodes, rows, forest).join(tried, ["a", "b"], "left_anti"))
         links = tables.stored(links.union(_confirmed(texts, nodes, more)))
         tried = tried.union(more)
     return links
@@ -532,14 +540,15 @@ def _sets_linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     (node, doc_id, comp): the smallest doc_id each has, and a number that those share that links join."""
     docs = docs.select("doc_id", "text")
     profile = tables.stored(docs.withColumn("key", F.xxhash64("text")).mapInArrow(_profiles, "doc_id long, key long, node long, n long, less0 long, less1 long, odd binary"))
-    kept = (F.first(c).alias(c) for c in ("n", "less0", "less1", "odd"))
-    nodes = tables.stored(profile.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), *kept))
     # sets of rows that share a doc_id, or have none, are known by their hashes
-    shared = tables.stored(nodes.where("doc_id >= 0").groupBy("doc_id").count().where("count > 1").select("doc_id").withColumn("shared", F.lit(True)))
+    by_node = profile.where("n > 0").groupBy("node")
+    first_of = tables.stored(by_node.agg(F.min("doc_id").alias("doc_id")))
+    shared = tables.stored(first_of.where("doc_id >= 0").groupBy("doc_id").count().where("count > 1").select("doc_id").withColumn("shared", F.lit(True)))
     hashed = F.lit(-1) - F.shiftrightunsigned("node", 1)
     alone = F.col("shared").isNull() & (F.col("doc_id") >= 0)
-    nodes = nodes.join(shared, "doc_id", "left").withColumn("id", F.when(alone, F.col("doc_id")).otherwise(hashed)).drop("shared")
-    nodes = tables.stored(nodes)
+    named_sets = first_of.join(shared, "doc_id", "left").select("node", "doc_id", F.when(alone, F.col("doc_id")).otherwise(hashed).alias("id"))
+    kept = (F.first(c).alias(c) for c in ("n", "less0", "less1", "odd"))
+    nodes = tables.stored(by_node.agg(*kept).join(named_sets, "node"))
     size = profile.agg(F.max("n"), F.sum("n")).first()
     largest, total = size[0] or 0, size[1] or 0
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET))

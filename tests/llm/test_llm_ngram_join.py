@@ -103,6 +103,17 @@ def test_one_text_of_each_component_stays(spark):
     assert kept == sorted(map(repr, [(3, a), (5, b), (9, c), (9, d), (None, None), (5, ""), (5, ""), (None, "e f g"), (-7, "h i j k l m n")]))
 
 
+def test_postings_of_two_members_need_no_cell(spark, monkeypatch):
+    rnd = random.Random(8)
+    rows, unsettled, met = [], ngram_join._unsettled, []
+    for k in range(20):
+        shared = [f"s{k}x{i}" for i in range(60)]
+        rows += [(2 * k + j, " ".join(shared + [f"o{rnd.random()}" for _ in range(60)])) for j in (0, 1)]
+    monkeypatch.setattr(ngram_join, "_unsettled", lambda nodes, rows, forest: met.append(rows.count()) or unsettled(nodes, rows, forest))
+    assert _linked(spark, rows) == _brute(rows)
+    assert met == [0, 0]
+
+
 def test_a_passage_that_many_share_is_not_looked_up(spark):
     """A hot passage in half of 2,000 unlike texts, and near copies among them."""
     rnd = random.Random(12)
