@@ -5,7 +5,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from keydrift.functions import paths, text
+from keydrift.functions import accesses, languages, paths, text
 
 
 def test_redact_value(evaluate):
@@ -126,3 +126,9 @@ def test_glob_regex_agrees_with_fnmatch(glob, name):
     import re
 
     assert bool(re.match(paths.glob_regex(glob), name)) == fnmatch.fnmatchcase(name, glob)
+
+
+def test_literals_and_comments_are_passed_over_at_once():
+    text = 'let x = "a"; // b\n' * 50 + "let y = process.env.KEY; /* c */ /['\"]/.test(process.env['Z'])"
+    assert accesses._patterns(languages.JAVASCRIPT)["over code"].match(text).end() == text.index("process.env.KEY")
+    assert [a[1] for a in accesses.accesses(text, languages.JAVASCRIPT)] == ["KEY", "'Z'"]
